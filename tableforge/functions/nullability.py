@@ -8,10 +8,10 @@ from pyspark.sql.types import StructField
 
 
 def _nullable(field: StructField) -> Column:
-    # A CASE without ELSE is nullable when analysed; the optimizer folds it back
-    # to the bare column, so no row is touched.
+    # Nullable when analysed; the optimizer folds it back to the bare column, so no row
+    # is touched.
     quoted = "`" + field.name.replace("`", "``") + "`"
-    return F.when(F.lit(True), F.col(quoted)).alias(field.name, metadata=field.metadata)
+    return F.expr(f"if(true, {quoted}, null)").alias(field.name, metadata=field.metadata)
 
 
 def relax_nullability(df: DataFrame) -> DataFrame:

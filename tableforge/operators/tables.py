@@ -28,6 +28,9 @@ CSV_OPTIONS = {
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
 }
+# A null is written as nothing and an empty text as "". The reader tells them apart only
+# if its mark for null is not the empty text itself.
+CSV_NULL = {"nullValue": "\x00null\x00"}
 # Text formats would cut timestamps to milliseconds, and CSV values at a line break.
 _TIMESTAMPS = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
@@ -37,6 +40,7 @@ FORMAT_OPTIONS: dict[str, dict[str, str]] = {
     "csv": {**CSV_OPTIONS, **_TIMESTAMPS, "multiLine": "true"},
     "json": _TIMESTAMPS,
 }
+READ_OPTIONS: dict[str, dict[str, str]] = {"csv": CSV_NULL}
 
 
 def quoted(name: str) -> str:
@@ -126,15 +130,17 @@ def save_table(
     differ, the table is left as it was.
     """
     spark, fmt = df.sparkSession, fmt.lower()
-    options = {**FORMAT_OPTIONS.get(fmt, {}), **(options or {})}
+    options = options or {}
+    writing = {**FORMAT_OPTIONS.get(fmt, {}), **options}
+    reading = {**FORMAT_OPTIONS.get(fmt, {}), **READ_OPTIONS.get(fmt, {}), **options}
     folder = fresh_table_folder(spark, table)
     written = Observation()
     counted = df.observe(written, F.count(F.lit(1)).alias("rows"))
-    counted.write.format(fmt).options(**options).save(folder)
-    landed = spark.read.format(fmt).schema(df.schema).options(**options).load(folder).count()
+    counted.write.format(fmt).options(**writing).save(folder)
+    landed = spark.read.format(fmt).schema(df.schema).options(**reading).load(folder).count()
     if landed != written.get["rows"]:
         raise RuntimeError(f"{table}: wrote {written.get['rows']} rows but read back {landed}")
-    point_table(spark, table, folder, fmt, df.schema, options)
+    point_table(spark, table, folder, fmt, df.schema, reading)
     return landed
 
 
@@ -151,7 +157,7 @@ def create_strict(df: DataFrame, table: str, fmt: str = "parquet", drop_first: b
     writer = df.writeTo(table).using(fmt)
     if in_session_catalog(spark, table):
         # A failed create leaves its folder behind; the next attempt must not meet it.
-        writer = writer.tableProperty("location", fresh_table_folder(spark, table))
+        writer = writer.option("path", fresh_table_folder(spark, table))
     writer.create()
     return spark.table(table).count()
 
@@ -211,4 +217,4 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
 
 def read_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """Read what ``write_csv`` wrote."""
-    return spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
+    return spark.read.options(**CSV_OPTIONS, **CSV_NULL).schema(schema).csv(path)

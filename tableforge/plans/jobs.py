@@ -78,14 +78,16 @@ def _run_units(
     work: Callable[[str], Outcome],
     parallel: int,
     raise_on_failure: bool,
+    skipped: Sequence[tuple[str, str]] = (),
 ) -> DataFrame:
     # Spark schedules the jobs; the threads only keep several of them submitted.
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         run = inheritable_thread_target(spark)(_guarded(work))
-        outcomes = list(pool.map(run, units))
-    rows = [(i, unit, *outcome) for i, (unit, outcome) in enumerate(zip(units, outcomes))]
+        outcomes = list(zip(units, pool.map(run, units)))
+    outcomes += [(unit, Outcome(0, SKIP, reason)) for unit, reason in skipped]
+    rows = [(i, unit, *outcome) for i, (unit, outcome) in enumerate(outcomes)]
     results = spark.createDataFrame(rows, _RESULT.format(unit=label))
-    failed = [unit for unit, outcome in zip(units, outcomes) if outcome.status == FAIL]
+    failed = [unit for unit, outcome in outcomes if outcome.status == FAIL]
     if failed and raise_on_failure:
         raise MaterializeError(results, failed)
     return results
@@ -99,7 +101,7 @@ def materialize_catalog(
     tables: str = "all",
     fmt: str = "parquet",
     strict: bool = False,
-    parallel: int = 4,
+    parallel: int = 8,
     raise_on_failure: bool = False,
 ) -> DataFrame:
     """Copy tables of one scale into real tables and count what landed in each.
@@ -124,14 +126,10 @@ def materialize_catalog(
             rows = save_table(df, target, fmt)
         return Outcome(rows, OK, None, table_location(spark, target))
 
-    results = _run_units(spark, "table_name", chosen.tables, copy, parallel, raise_on_failure)
-    if not chosen.missing:
-        return results
-    skipped = [
-        (len(chosen.tables) + i, name, 0, SKIP, "not in the source catalog", None)
-        for i, name in enumerate(chosen.missing)
-    ]
-    return results.unionByName(spark.createDataFrame(skipped, _RESULT.format(unit="table_name")))
+    skipped = [(name, "not in the source catalog") for name in chosen.missing]
+    return _run_units(
+        spark, "table_name", chosen.tables, copy, parallel, raise_on_failure, skipped
+    )
 
 
 def totals(results: DataFrame) -> DataFrame:
@@ -184,7 +182,7 @@ def write_formats(
     database: str,
     formats: str = "iceberg,delta,hudi,paimon",
     targets: dict[str, FormatTarget] | None = None,
-    parallel: int = 4,
+    parallel: int = 8,
     raise_on_failure: bool = False,
 ) -> DataFrame:
     """Write one frame as ``<database>.t_<format>`` in each requested format.

@@ -112,14 +112,15 @@ class KeyedTable:
         return folder, int(folder.rpartition("/upto=")[2])
 
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """Add one micro-batch, or replace it if it was added before."""
+        """Add one micro-batch, or replace it if it was added before.
+
+        With ``order_by`` the rows go to the log as they come, without a shuffle; versions
+        of a key are told apart when the log is read or published.
+        """
         spark = batch.sparkSession
-        columns = spark.table(self.name).columns
-        batch = batch.select(*columns)
-        if self.order_by:
-            rows = latest_by_key(batch, self.keys, self.order_by)
-        else:
-            rows = _unique_per_key(batch, self.keys)
+        rows = batch.select(*spark.table(self.name).columns)
+        if not self.order_by:
+            rows = _unique_per_key(rows, self.keys)
         folder = f"{self.path}/log/{_BATCH}={batch_id}/try-{uuid.uuid4().hex}"
         rows.write.parquet(folder)
         partition, place = f"PARTITION ({_BATCH} = {batch_id})", literal(folder)
