@@ -28,8 +28,10 @@ from tableforge.operators.tables import (
 from tableforge.operators.words import distinct_words, tokens, top_words, word_count
 from tableforge.plans.jobs import (
     MaterializeError,
+    generated_stream_job,
     materialize_catalog,
     select_tables,
+    table_job,
     totals,
     word_count_job,
     write_formats,
@@ -67,6 +69,7 @@ __all__ = [
     "ensure_database",
     "fetch_lines",
     "first_with_prefix",
+    "generated_stream_job",
     "latest_by_key",
     "lines_from_values",
     "materialize_catalog",
@@ -82,6 +85,7 @@ __all__ = [
     "starts_with_any",
     "stream_insert",
     "stream_upsert",
+    "table_job",
     "table_location",
     "to_money",
     "tokens",

@@ -57,7 +57,8 @@ def _parts(name: str) -> list[str]:
     return re.findall(r"`(?:[^`]|``)+`|[^.`]+", name)
 
 
-def _database_of(table: str) -> str:
+def database_of(table: str) -> str:
+    """The database part of a ``database.table`` or ``catalog.database.table`` name."""
     parts = _parts(table)
     if len(parts) < 2:
         raise ValueError(f"expected a database.table name, got {table!r}")
@@ -82,9 +83,12 @@ def _database_location(spark: SparkSession, database: str) -> str:
 
 
 def fresh_table_folder(spark: SparkSession, table: str) -> str:
-    """An unused folder for one attempt at writing ``table``, inside its database's location."""
+    """An unused folder for one attempt at writing ``table``, in its database's location.
+
+    It lies beside the folder of a managed table of that name, which dropping would delete.
+    """
     name = _parts(table)[-1].strip("`")
-    return f"{_database_location(spark, _database_of(table))}/{name}/attempt-{uuid.uuid4().hex}"
+    return f"{_database_location(spark, database_of(table))}/{name}-{uuid.uuid4().hex}"
 
 
 def _provider(spark: SparkSession, table: str) -> str:
@@ -92,8 +96,15 @@ def _provider(spark: SparkSession, table: str) -> str:
     return row["data_type"].strip().lower() if row else ""
 
 
-def _same_columns(a: StructType, b: StructType) -> bool:
-    return [(f.name, f.dataType) for f in a] == [(f.name, f.dataType) for f in b]
+def _can_move(spark: SparkSession, table: str, fmt: str, schema: StructType) -> bool:
+    """Whether the table would show plain files of this format and schema just as they are."""
+    if fmt not in ("parquet", "orc") or _provider(spark, table) != fmt:
+        return False
+    columns = spark.catalog.listColumns(table)
+    if any(c.isPartition or c.isBucket for c in columns):
+        return False
+    now = spark.table(table).schema
+    return [(f.name, f.dataType) for f in now] == [(f.name, f.dataType) for f in schema]
 
 
 def point_table(
@@ -106,11 +117,11 @@ def point_table(
 ) -> None:
     """Make ``table`` show the files of ``folder``.
 
-    With the columns and format unchanged that is one catalog update. Otherwise the
+    With the same columns, format and layout that is one catalog update. Otherwise the
     table is dropped and created again, and its name is absent for a moment.
     """
     if spark.catalog.tableExists(table):
-        if _provider(spark, table) == fmt and _same_columns(spark.table(table).schema, schema):
+        if _can_move(spark, table, fmt, schema):
             spark.sql(f"ALTER TABLE {table} SET LOCATION {literal(folder)}")
             spark.catalog.refreshTable(table)
             return
@@ -164,7 +175,7 @@ def create_strict(df: DataFrame, table: str, fmt: str = "parquet", drop_first: b
 
 def in_session_catalog(spark: SparkSession, table: str) -> bool:
     """Whether a 2- or 3-part name lives in the built-in catalog."""
-    database = _parts(_database_of(table))
+    database = _parts(database_of(table))
     return len(database) == 1 or database[0].strip("`") == "spark_catalog"
 
 
@@ -177,7 +188,7 @@ def register_external(
     partitioned_by: Sequence[str] = (),
 ) -> None:
     """Register files written elsewhere as a table, with the partitions found in the folder."""
-    _database_of(table)
+    database_of(table)
     partitions = ""
     if partitioned_by:
         partitions = f"PARTITIONED BY ({', '.join(quoted(c) for c in partitioned_by)})"

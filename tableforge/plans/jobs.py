@@ -10,10 +10,12 @@ from typing import NamedTuple
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tableforge.functions.nullability import relax_nullability
 from tableforge.operators.tables import (
     create_strict,
+    database_of,
     ensure_database,
     quoted,
     read_csv,
@@ -23,6 +25,8 @@ from tableforge.operators.tables import (
 )
 from tableforge.operators.words import top_words, word_count
 from tableforge.sources.catalogs import SourceCatalog
+from tableforge.sources.generated import ROWS_PER_SECOND, SEQUENCE_END, datagen_stream
+from tableforge.streaming.keyed import KeyedTable, stream_upsert
 
 OK, FAIL, SKIP = "OK", "FAIL", "SKIP"
 FAILED_ROWS = -1
@@ -216,6 +220,40 @@ def write_formats(
     return _run_units(spark, "format", requested, write, parallel, raise_on_failure)
 
 
+def table_job(df: DataFrame, table: str, fmt: str = "parquet") -> DataFrame:
+    """Write one table, creating its database, and report ``table_name, rows, location``."""
+    spark = df.sparkSession
+    ensure_database(spark, database_of(table))
+    landed = save_table(df, table, fmt)
+    row = (table, landed, table_location(spark, table))
+    return spark.createDataFrame([row], "table_name string, rows bigint, location string")
+
+
+def generated_stream_job(
+    spark: SparkSession,
+    table: str,
+    path: str,
+    checkpoint: str,
+    rows_per_second: int = ROWS_PER_SECOND,
+    end: int = SEQUENCE_END,
+    buckets: int = 2,
+    bounded: bool = False,
+    publish_every: int | None = None,
+) -> tuple[KeyedTable, StreamingQuery]:
+    """Stream generated rows into a table keyed by ``id``; the newest ``order_time`` wins.
+
+    Wait for the query with ``awaitTermination``, or with ``await_sequence_end`` to stop
+    it after the last id. ``bounded`` runs one replayable micro-batch instead.
+    """
+    stream = datagen_stream(spark, rows_per_second, end=end, replayable=bounded)
+    ensure_database(spark, database_of(table))
+    keyed = KeyedTable.create_if_absent(
+        spark, table, stream.schema, ["id"], path, ["order_time"], buckets
+    )
+    query = stream_upsert(stream, keyed, checkpoint, bounded, publish_every=publish_every)
+    return keyed, query
+
+
 @dataclass(frozen=True)
 class WordCountReport:
     """What a word count job leaves: the whole result as written, its top words, its size."""
@@ -251,8 +289,10 @@ __all__ = [
     "Selection",
     "WordCountReport",
     "format_targets",
+    "generated_stream_job",
     "materialize_catalog",
     "select_tables",
+    "table_job",
     "totals",
     "word_count_job",
     "write_formats",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import urllib.request
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
@@ -9,9 +10,13 @@ from typing import BinaryIO
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The fetching functions travel with the plan, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LINE_SCHEMA = "value string"
 
 # An opener gets (url, first byte, last byte or None for a whole read) and returns a stream.

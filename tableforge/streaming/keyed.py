@@ -15,6 +15,8 @@ import json
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,12 +106,20 @@ class KeyedTable:
     def log(self) -> str:
         return f"{self.name}_log"
 
-    def _snapshot(self) -> tuple[str, int]:
-        """The folder of the published snapshot and the last batch in it, -1 before the first."""
+    def _folder(self) -> str:
         described = self.spark.sql(f"DESCRIBE FORMATTED {self.name}")
         place = described.filter("col_name = 'Location' AND data_type LIKE '%/upto=%'").first()
-        folder = place["data_type"].strip()
-        return folder, int(folder.rpartition("/upto=")[2])
+        return place["data_type"].strip()
+
+    def _snapshot(self) -> tuple[DataFrame, int]:
+        """The published rows and the last batch in them, -1 before the first publish."""
+        while True:
+            folder = self._folder()
+            self.spark.catalog.refreshTable(self.name)
+            rows = self.spark.table(self.name)
+            # Rows and batch number belong together unless a publish came in between.
+            if self._folder() == folder:
+                return rows, int(folder.rpartition("/upto=")[2])
 
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:
         """Add one micro-batch, or replace it if it was added before.
@@ -118,7 +128,13 @@ class KeyedTable:
         of a key are told apart when the log is read or published.
         """
         spark = batch.sparkSession
-        rows = batch.select(*spark.table(self.name).columns)
+        checked = [
+            F.coalesce(F.col(c), F.raise_error(F.lit(f"null in key column {c}"))).alias(c)
+            if c in self.keys
+            else F.col(c)
+            for c in spark.table(self.name).columns
+        ]
+        rows = batch.select(*checked)
         if not self.order_by:
             rows = _unique_per_key(rows, self.keys)
         folder = f"{self.path}/log/{_BATCH}={batch_id}/try-{uuid.uuid4().hex}"
@@ -132,15 +148,30 @@ class KeyedTable:
         return self._merged(F.lit(True))
 
     def _merged(self, batches: Column) -> DataFrame:
-        # The snapshot is read by its folder: whatever is published meanwhile, the folder
-        # and the first batch after it belong together.
-        folder, upto = self._snapshot()
-        later = self.spark.table(self.log).filter(F.col(_BATCH) > upto).filter(batches)
-        if upto >= 0:
-            schema = self.spark.table(self.name).schema
-            snapshot = self.spark.read.schema(schema).parquet(folder)
-            later = later.unionByName(snapshot.withColumn(_BATCH, F.lit(upto).cast("bigint")))
-        return latest_by_key(later, self.keys, [*self.order_by, _BATCH]).drop(_BATCH)
+        """The snapshot with the given later batches applied.
+
+        Only the batches are aggregated. The snapshot holds a key once and joins them by
+        its buckets, so with enough buckets for the cluster it is not shuffled at all.
+        """
+        snapshot, upto = self._snapshot()
+        later = self.spark.table(self.log).filter((F.col(_BATCH) > upto) & batches)
+        later = latest_by_key(later, self.keys, [*self.order_by, _BATCH]).drop(_BATCH)
+        if upto < 0:
+            return later
+        old, new = snapshot.alias("old"), later.alias("new")
+        same_key = reduce(and_, [F.col(f"old.{k}") == F.col(f"new.{k}") for k in self.keys])
+        first_key = self.keys[0]
+        keep_old = F.col(f"new.{first_key}").isNull()
+        if self.order_by:
+            ahead = F.struct(*[f"old.{c}" for c in self.order_by]) > F.struct(
+                *[f"new.{c}" for c in self.order_by]
+            )
+            keep_old = keep_old | (F.col(f"old.{first_key}").isNotNull() & ahead)
+        columns = [
+            F.when(keep_old, F.col(f"old.{c}")).otherwise(F.col(f"new.{c}")).alias(c)
+            for c in snapshot.columns
+        ]
+        return old.join(new, same_key, "full_outer").select(*columns)
 
     def publish(self) -> int:
         """Fold the log into a new snapshot, which readers of the table see from then on.
@@ -156,8 +187,8 @@ class KeyedTable:
             return upto
         folder = f"{self.path}/snapshot/{uuid.uuid4().hex}/upto={last}"
         stage = f"{self.name}_stage_{uuid.uuid4().hex[:8]}"
-        rows = self._merged(F.col(_BATCH) <= last)
-        rows.write.bucketBy(self.buckets, *self.keys).option("path", folder).saveAsTable(stage)
+        bucketed = self._merged(F.col(_BATCH) <= last).write.bucketBy(self.buckets, *self.keys)
+        bucketed.sortBy(*self.keys).option("path", folder).saveAsTable(stage)
         self.spark.sql(f"ALTER TABLE {self.name} SET LOCATION {literal(folder)}")
         drop_table(self.spark, stage)
         return last
@@ -169,11 +200,21 @@ def stream_upsert(
     checkpoint: str,
     bounded: bool = False,
     interval: str = COMMIT_INTERVAL,
+    publish_every: int | None = None,
 ) -> StreamingQuery:
-    """Keep a keyed table up to date from a stream; a batch counts once however often it runs."""
+    """Keep a keyed table up to date from a stream; a batch counts once however often it runs.
+
+    ``publish_every=n`` publishes a snapshot after every n-th batch.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        table.write_batch(batch, batch_id)
+        if publish_every and (batch_id + 1) % publish_every == 0:
+            table.publish()
+
     return (
         stream.writeStream.option("checkpointLocation", checkpoint)
         .trigger(**trigger_options(bounded, interval))
-        .foreachBatch(table.write_batch)
+        .foreachBatch(apply)
         .start()
     )

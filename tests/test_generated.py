@@ -13,6 +13,7 @@ from tableforge import (
     datagen_columns,
     datagen_stream,
     demo_rows,
+    generated_stream_job,
     stream_insert,
 )
 from tableforge.workspace import fresh_folder
@@ -68,6 +69,18 @@ def test_paced_stream_ends_with_its_sequence(spark, database):
     assert ids == list(range(5, 405))
 
 
+def test_generated_stream_into_a_keyed_table(spark, database):
+    place = (f"{database}.orders_stream", fresh_folder(spark, "keyed"), fresh_folder(spark, "cp"))
+    for expected in (40, 80, 100):
+        keyed, query = generated_stream_job(spark, *place, rows_per_second=40, end=100, bounded=True)
+        query.awaitTermination(60)
+        assert keyed.current().count() == expected
+    assert keyed.publish() == 2
+    rows = spark.table(keyed.name)
+    assert [f.dataType for f in rows.schema] == [LongType(), IntegerType(), DecimalType(10, 2), TimestampNTZType()]
+    assert Counter(rows.drop("order_time").collect()) == Counter(datagen_batch(spark, 1, 100).collect())
+
+
 def test_waiting_gives_up_in_time(spark, database):
     query = stream_insert(
         datagen_stream(spark, rows_per_second=1), f"{database}.slow", fresh_folder(spark, "cp"),

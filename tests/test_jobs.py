@@ -12,6 +12,7 @@ from tableforge import (
     materialize_catalog,
     save_table,
     select_tables,
+    table_job,
     totals,
     write_formats,
 )
@@ -103,6 +104,15 @@ def test_a_scale_that_is_absent_fails(spark, root, database):
         materialize_catalog(spark, ScaleCatalog(spark, root), "77", database)
 
 
+def test_table_job(spark, database):
+    for rows in (5, 7):
+        report = table_job(demo_rows(spark, rows), f"{database}.demo").first()
+        assert (report.table_name, report.rows) == (f"{database}.demo", rows)
+        assert report.location.startswith("file:")
+    with pytest.raises(ValueError):
+        table_job(demo_rows(spark, 5), "demo")
+
+
 def test_named_catalog(spark, database):
     ensure_database(spark, "sf3", fresh_folder(spark, "sf3"))
     save_table(demo_rows(spark, 4), "sf3.one")

@@ -132,6 +132,51 @@ def test_a_replayed_batch_replaces_its_first_try(keyed, spark):
     assert _rows(t.current()) == [(1, 4.0, "second try")]
 
 
+def test_null_order_values_are_lowest_after_a_publish_too(keyed, spark):
+    t = keyed(["score", "note"])
+    t.write_batch(_frame(spark, [(1, None, "b"), (2, 1.0, None), (3, None, "z"), (4, 1.0, "a")]), 0)
+    t.publish()
+    t.write_batch(_frame(spark, [(1, None, "c"), (2, 1.0, "a"), (3, None, "y"), (4, None, "q")]), 1)
+    assert _rows(t.current()) == [(1, None, "c"), (2, 1.0, "a"), (3, None, "z"), (4, 1.0, "a")]
+
+
+def test_a_null_key_is_refused(keyed, spark):
+    t = keyed(["score"])
+    with pytest.raises(Exception, match="null in key column id"):
+        t.write_batch(_frame(spark, [(None, 1.0, "a")]), 0)
+    assert t.current().count() == 0
+
+
+def test_two_part_key(spark, database):
+    schema = "a int, b string, o int, v string"
+    t = KeyedTable.create_if_absent(
+        spark, f"{database}.two", spark.createDataFrame([], schema).schema, ["a", "b"],
+        fresh_folder(spark, "keyed"), ["o"], buckets=4,
+    )
+    t.write_batch(spark.createDataFrame([(1, "x", 1, "p"), (1, "y", 1, "q")], schema), 0)
+    t.publish()
+    t.write_batch(spark.createDataFrame([(1, "x", 2, "r"), (2, "x", 0, "s")], schema), 1)
+    expected = [(1, "x", 2, "r"), (1, "y", 1, "q"), (2, "x", 0, "s")]
+    assert _rows(t.current()) == expected
+    t.publish()
+    assert _rows(spark.table(t.name)) == expected
+
+
+def test_a_snapshot_with_enough_buckets_is_not_shuffled(spark, database):
+    t = KeyedTable.create_if_absent(
+        spark, f"{database}.wide", _frame(spark, []).schema, ["id"], fresh_folder(spark, "keyed"),
+        ["score"], buckets=16,
+    )
+    t.write_batch(_frame(spark, [(i, 1.0, "a") for i in range(200)]), 0)
+    t.publish()
+    t.write_batch(_frame(spark, [(i, 2.0, "b") for i in range(150, 250)]), 1)
+    plan = t.current()._jdf.queryExecution().executedPlan().toString()
+    old = plan[plan.index("FullOuter"):plan.index("wide[id")]
+    assert "Exchange" not in old and "Bucketed: true" in plan
+    notes = Counter(r.note for r in t.current().collect())
+    assert notes == {"a": 150, "b": 100}
+
+
 def test_a_failed_batch_shows_no_row(keyed, spark):
     t = keyed(["score"])
     t.write_batch(_frame(spark, [(1, 1.0, "a")]), 0)
@@ -228,6 +273,15 @@ def test_upsert_in_four_batches_and_a_restart(spark, database, events):
     assert Counter(tuple(r) for r in t.current().collect()) == _latest_events(events.unionByName(late))
 
 
+def test_publishing_while_the_stream_runs(spark, database, events):
+    feed, t = _feed(spark, events, 4), _events_table(spark, database, events)
+    stream_upsert(
+        _stream(spark, feed, events.schema), t, fresh_folder(spark, "cp"), bounded=True, publish_every=2
+    ).awaitTermination(120)
+    assert Counter(tuple(r) for r in spark.table(t.name).collect()) == _latest_events(events)
+    assert t.publish() == 3
+
+
 def test_a_crash_between_write_and_commit_leaves_no_duplicates(spark, database, events):
     feed, checkpoint = _feed(spark, events, 4), fresh_folder(spark, "cp")
     t = _events_table(spark, database, events)

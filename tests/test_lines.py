@@ -133,3 +133,22 @@ def test_an_unreadable_url_fails_the_job(spark, tmp_path):
     urls = spark.createDataFrame([(f"file://{tmp_path}/absent",), (_data_url("ok"),)], "url string")
     with pytest.raises(Exception, match="absent"):
         fetch_lines(urls).collect()
+
+
+def test_fetching_needs_no_package_on_the_executors(tmp_path):
+    import pickle
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(_piece_lines))
+    code = (
+        "import io, pickle, sys\n"
+        "lines = pickle.load(open('f', 'rb'))\n"
+        "assert 'tableforge' not in sys.modules\n"
+        "print(list(lines(io.BytesIO(b'a\\nb'), 0, None, None)))"
+    )
+    assert pickle.loads((tmp_path / "f").read_bytes()) is not None
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
+    assert out.stdout.strip() == "['a', 'b']", out.stderr

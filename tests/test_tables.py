@@ -44,6 +44,23 @@ def test_save_with_other_columns_or_format(spark, database):
     assert sorted(r.id for r in spark.table(t).collect()) == [1, 2, 3]
 
 
+@pytest.mark.parametrize("layout", ["partitionBy", "bucketBy"])
+def test_save_over_a_table_of_another_layout(spark, database, layout):
+    t = f"{database}.demo"
+    writer = demo_rows(spark, 5).select("name", "score", "id").write
+    writer = writer.partitionBy("id") if layout == "partitionBy" else writer.bucketBy(2, "id")
+    writer.saveAsTable(t)
+    assert save_table(demo_rows(spark, 7).select("name", "score", "id"), t) == 7
+    assert sorted(r.id for r in spark.table(t).collect()) == list(range(1, 8))
+
+
+def test_save_over_a_csv_table_with_other_options(spark, database):
+    t = f"{database}.demo"
+    demo_rows(spark, 5).write.option("sep", "|").format("csv").saveAsTable(t)
+    assert save_table(demo_rows(spark, 7), t, "csv") == 7
+    assert sorted(r.name for r in spark.table(t).collect()) == sorted(f"name_{i}" for i in range(1, 8))
+
+
 def test_a_failed_save_keeps_the_old_table(spark, database):
     t = f"{database}.demo"
     save_table(demo_rows(spark, 5), t)
