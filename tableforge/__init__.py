@@ -8,15 +8,15 @@ from tableforge.functions.columns import (
     any_like,
     bounded_decimal,
     bounded_int,
-    first_with_prefix,
     starts_with_any,
     to_money,
 )
 from tableforge.functions.nullability import relax_nullability
-from tableforge.operators.latest import latest_by_key
+from tableforge.operators.latest import latest_by_key, write_keyed
 from tableforge.operators.tables import (
     create_strict,
     ctas,
+    drop_table,
     ensure_database,
     read_csv,
     register_external,
@@ -66,9 +66,9 @@ __all__ = [
     "demo_columns",
     "demo_rows",
     "distinct_words",
+    "drop_table",
     "ensure_database",
     "fetch_lines",
-    "first_with_prefix",
     "generated_stream_job",
     "latest_by_key",
     "lines_from_values",
@@ -95,4 +95,5 @@ __all__ = [
     "word_count_job",
     "write_csv",
     "write_formats",
+    "write_keyed",
 ]

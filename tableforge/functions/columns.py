@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -14,18 +14,10 @@ def any_like(conditions: Sequence[tuple[str, str]]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(name).like(pattern) for name, pattern in conditions])
 
 
-def _cleaned(column: str) -> Column:
-    return F.trim(F.coalesce(F.col(column), F.lit("")))
-
-
 def starts_with_any(column: str, prefixes: Sequence[str]) -> Column:
     """True where the trimmed value (null read as empty) starts with one of the prefixes."""
-    return reduce(lambda a, b: a | b, [_cleaned(column).startswith(p) for p in prefixes])
-
-
-def first_with_prefix(df: DataFrame, column: str, prefixes: Sequence[str]) -> DataFrame:
-    """At most one row: a trimmed value of ``column`` that starts with one of the prefixes."""
-    return df.filter(starts_with_any(column, prefixes)).select(_cleaned(column).alias(column)).limit(1)
+    cleaned = F.trim(F.coalesce(F.col(column), F.lit("")))
+    return reduce(lambda a, b: a | b, [cleaned.startswith(p) for p in prefixes])
 
 
 def to_money(column: str | Column) -> Column:

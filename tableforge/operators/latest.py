@@ -1,4 +1,4 @@
-"""The latest row per key."""
+"""The latest row per key, and tables that hold it."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
+from tableforge.operators.tables import save_table
+
 
 def _orderable(kind: DataType) -> bool:
     if isinstance(kind, ArrayType):
@@ -37,3 +39,10 @@ def latest_by_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -
         ties = [c for c in rest if _orderable(types[c])]
         newest = F.max_by(F.struct(*ordering, *rest), F.struct(*ordering, *ties))
     return df.groupBy(*keys).agg(newest.alias("_newest")).select(*keys, "_newest.*").select(*df.columns)
+
+
+def write_keyed(
+    df: DataFrame, table: str, keys: Sequence[str], order_by: Sequence[str], fmt: str = "parquet"
+) -> int:
+    """Replace a table by the latest row per key; returns the rows that landed."""
+    return save_table(latest_by_key(df, keys, order_by), table, fmt)

@@ -16,10 +16,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tableforge.functions.columns import first_with_prefix
-
 UNKNOWN_LOCATION = "<unknown>"
-LOCATION_PREFIXES = ("abfss://", "file:", "hdfs:", "s3://", "s3a://", "gs://", "wasbs://", "oss://")
+LOCATION_PATTERN = "^[A-Za-z][A-Za-z0-9+.-]*:/"
 
 # Words survive a round trip only if quotes are doubled and blanks are kept.
 CSV_OPTIONS = {
@@ -209,11 +207,14 @@ def table_location(spark: SparkSession, table: str) -> str:
     """Where a table's files are, or ``<unknown>``."""
     try:
         described = spark.sql(f"DESCRIBE FORMATTED {table}")
-        named = described.filter("col_name LIKE '%Location%' OR col_name LIKE '%location%'")
-        found = first_with_prefix(named, "data_type", LOCATION_PREFIXES).first()
     except AnalysisException:
         return UNKNOWN_LOCATION
-    return found["data_type"] if found else UNKNOWN_LOCATION
+    # A column may be called location too; its type does not look like a path.
+    found = described.filter(
+        "(col_name LIKE '%Location%' OR col_name LIKE '%location%') AND "
+        f"trim(coalesce(data_type, '')) RLIKE '{LOCATION_PATTERN}'"
+    ).selectExpr("trim(data_type) AS location").limit(1).collect()
+    return found[0].location if found else UNKNOWN_LOCATION
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:

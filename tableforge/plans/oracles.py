@@ -95,6 +95,9 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT 'absent', false, 0""",
     "relax_nullability": "SELECT * FROM lineitem",
     "latest_by_key": _LATEST_EVENT.format(order="value DESC, event_id DESC"),
+    "keyed_write": """
+        SELECT * FROM orders QUALIFY row_number()
+        OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
     "stream_insert": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
     "keyed_upsert": _LATEST_EVENT.format(order="ts DESC, event_id DESC"),
     "keyed_snapshot": _LATEST_EVENT.format(order="ts DESC, event_id DESC"),

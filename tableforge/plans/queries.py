@@ -18,7 +18,7 @@ from tableforge.functions.columns import any_like, starts_with_any, to_money
 from tableforge.functions.nullability import relax_nullability
 from tableforge.operators import tables as tb
 from tableforge.operators import words as wd
-from tableforge.operators.latest import latest_by_key
+from tableforge.operators.latest import latest_by_key, write_keyed
 from tableforge.plans import jobs
 from tableforge.sources.catalogs import ScaleCatalog
 from tableforge.sources.generated import datagen_columns, demo_columns
@@ -246,6 +246,13 @@ def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_by_key(_table(spark, sf_dir, "events"), ["user_id"], ["value", "event_id"])
 
 
+def keyed_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = f"{_database(spark, 'keyed_write')}.latest_orders"
+    orders = _table(spark, sf_dir, "orders")
+    write_keyed(orders, target, ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    return spark.table(target)
+
+
 def inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = f"events_{uuid.uuid4().hex[:12]}"
     _stream(spark, sf_dir, "events").createOrReplaceTempView(view)
@@ -266,10 +273,10 @@ def _upserted(spark: SparkSession, sf_dir: str) -> KeyedTable:
     feed = fresh_folder(spark, "upsert-feed")
     share = -(-events.count() // UPSERT_BATCHES)
     events.write.option("maxRecordsPerFile", max(share, 1)).parquet(feed)
-    files = len(spark.read.parquet(feed).inputFiles())
+    files_per_batch = -(-events.rdd.getNumPartitions() // UPSERT_BATCHES)
     stream = (
         spark.readStream.schema(events.schema)
-        .option("maxFilesPerTrigger", -(-files // UPSERT_BATCHES))
+        .option("maxFilesPerTrigger", files_per_batch)
         .parquet(feed)
     )
     table = KeyedTable.create_if_absent(
@@ -325,6 +332,7 @@ QUERIES: dict[str, Query] = {
     "table_location": table_location,
     "relax_nullability": relaxed,
     "latest_by_key": latest,
+    "keyed_write": keyed_write,
     "stream_insert": inserted,
     "keyed_upsert": keyed_upsert,
     "keyed_snapshot": keyed_snapshot,
