@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from threading import Lock
 from typing import NamedTuple
 
 from pyspark import inheritable_thread_target
@@ -65,12 +66,16 @@ def select_tables(request: str, available: Sequence[str]) -> Selection:
     return Selection([w for w in wanted if w in known], [w for w in wanted if w not in known])
 
 
-def _guarded(work: Callable[[str], Outcome]) -> Callable[[str], Outcome]:
+def _guarded(work: Callable[[str], Outcome], units: Sequence[str]) -> Callable[[str], Outcome]:
+    # A unit asked for twice runs twice, one after the other: both write the same table.
+    turns = {unit: Lock() for unit in units}
+
     def run(unit: str) -> Outcome:
-        try:
-            return work(unit)
-        except Exception as error:  # one unit's failure must not stop the others
-            return Outcome(FAILED_ROWS, FAIL, str(error))
+        with turns[unit]:
+            try:
+                return work(unit)
+            except Exception as error:  # one unit's failure must not stop the others
+                return Outcome(FAILED_ROWS, FAIL, str(error))
 
     return run
 
@@ -86,7 +91,7 @@ def _run_units(
 ) -> DataFrame:
     # Spark schedules the jobs; the threads only keep several of them submitted.
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        run = inheritable_thread_target(spark)(_guarded(work))
+        run = inheritable_thread_target(spark)(_guarded(work, units))
         outcomes = list(zip(units, pool.map(run, units)))
     outcomes += [(unit, Outcome(0, SKIP, reason)) for unit, reason in skipped]
     rows = [(i, unit, *outcome) for i, (unit, outcome) in enumerate(outcomes)]
@@ -149,19 +154,24 @@ def totals(results: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class FormatTarget:
-    """How one format is written: where its tables live and with which writer."""
+    """How one format is written.
+
+    ``catalog`` is where its tables live, the built-in one if unset. ``strict`` drops and
+    creates the table. ``own_log`` leaves the replacing to the format, whose commit log does
+    it; a plain file format gets a fresh folder instead.
+    """
 
-    strict: bool = False
     catalog: str | None = None
+    strict: bool = False
+    own_log: bool = False
     options: dict[str, str] = field(default_factory=dict)
 
 
 def format_targets(key: str = "id", ordering: str = "score") -> dict[str, FormatTarget]:
-    """The known formats. The four lake formats need their jars and catalogs in the session.
-
-    The option names of the keyed format are fixed by that format.
-    """
+    """The known formats. The four lake formats need their jars and catalogs in the session."""
+    # The option names of the keyed format.
     keyed = {
+        "hoodie.table.name": "t_hudi",
         "hoodie.datasource.write.recordkey.field": key,
         "hoodie.datasource.write.precombine.field": ordering,
         "hoodie.datasource.write.table.type": "COPY_ON_WRITE",
@@ -171,16 +181,13 @@ def format_targets(key: str = "id", ordering: str = "score") -> dict[str, Format
         "orc": FormatTarget(),
         "csv": FormatTarget(),
         "json": FormatTarget(),
-        "iceberg": FormatTarget(strict=True, catalog="ice"),
-        "paimon": FormatTarget(strict=True, catalog="paimon"),
-        "delta": FormatTarget(),
-        "hudi": FormatTarget(options=keyed),
+        "iceberg": FormatTarget(catalog="ice", strict=True),
+        "paimon": FormatTarget(catalog="paimon", strict=True),
+        "delta": FormatTarget(own_log=True),
+        "hudi": FormatTarget(own_log=True, options=keyed),
     }
 
 
-FILE_FORMATS = ("parquet", "orc", "csv", "json")
-
-
 def write_formats(
     df: DataFrame,
     database: str,
@@ -208,13 +215,12 @@ def write_formats(
         table = f"{home}.{quoted(f't_{fmt}')}"
         if target.strict:
             rows = create_strict(df, table, fmt, drop_first=True)
-        elif fmt in FILE_FORMATS:
-            rows = save_table(df, table, fmt, target.options)
-        else:
-            # A format with its own commit log replaces its tables atomically by itself.
-            named = {**target.options, "hoodie.table.name": f"t_{fmt}"} if target.options else {}
-            df.write.format(fmt).mode("overwrite").options(**named).saveAsTable(table)
+        elif target.own_log:
+            writer = df.write.format(fmt).options(**target.options)
+            writer.mode("overwrite").saveAsTable(table)
             rows = spark.table(table).count()
+        else:
+            rows = save_table(df, table, fmt, target.options)
         return Outcome(rows, OK, None, table_location(spark, table))
 
     return _run_units(spark, "format", requested, write, parallel, raise_on_failure)

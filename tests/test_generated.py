@@ -77,7 +77,8 @@ def test_generated_stream_into_a_keyed_table(spark, database):
         assert keyed.current().count() == expected
     assert keyed.publish() == 2
     rows = spark.table(keyed.name)
-    assert [f.dataType for f in rows.schema] == [LongType(), IntegerType(), DecimalType(10, 2), TimestampNTZType()]
+    types = [LongType(), IntegerType(), DecimalType(10, 2), TimestampNTZType()]
+    assert [f.dataType for f in rows.schema] == types
     assert Counter(rows.drop("order_time").collect()) == Counter(datagen_batch(spark, 1, 100).collect())
 
 

@@ -93,6 +93,16 @@ def test_failures_stay_apart(spark, root, database, strict):
     assert spark.table(f"{database}.nation").count() == 25
 
 
+def test_a_table_asked_for_twice_is_copied_twice(spark, root, database):
+    results = materialize_catalog(
+        spark, ScaleCatalog(spark, root), "0.001", database, "region,nation,region,region"
+    )
+    assert [(r.table_name, r.rows) for r in results.orderBy("position").collect()] == [
+        ("region", 5), ("nation", 25), ("region", 5), ("region", 5),
+    ]
+    assert spark.table(f"{database}.region").count() == 5
+
+
 def test_a_failed_copy_keeps_the_table_of_before(spark, root, database):
     materialize_catalog(spark, ScaleCatalog(spark, root), "0.001", database, "nation")
     materialize_catalog(spark, Broken(spark, root), "0.001", database, "nation")
@@ -134,7 +144,9 @@ def _by_format(results):
 
 
 def test_file_formats_and_unknown(spark, database):
-    results = write_formats(demo_rows(spark, 5), database, " Parquet,orc,csv,json,wat,", raise_on_failure=True)
+    results = write_formats(
+        demo_rows(spark, 5), database, " Parquet,orc,csv,json,wat,", raise_on_failure=True
+    )
     found = _by_format(results)
     assert [(f, found[f].rows, found[f].status) for f in found] == [
         ("parquet", 5, "OK"), ("orc", 5, "OK"), ("csv", 5, "OK"), ("json", 5, "OK"), ("wat", 0, "SKIP"),
@@ -157,3 +169,11 @@ def test_strict_target_in_a_named_catalog(spark, database):
     for rows in (5, 6):
         results = write_formats(demo_rows(spark, rows), database, "parquet", targets)
         assert _by_format(results)["parquet"].rows == rows
+
+
+def test_a_format_that_replaces_its_own_tables(spark, database):
+    targets = {"orc": FormatTarget(own_log=True, options={"compression": "zlib"})}
+    for rows in (5, 6):
+        found = _by_format(write_formats(demo_rows(spark, rows), database, "orc", targets))
+        assert (found["orc"].rows, found["orc"].status) == (rows, "OK")
+        assert found["orc"].location.startswith("file:")

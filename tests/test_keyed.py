@@ -309,7 +309,8 @@ def test_insert_restarts_with_new_rows_only(spark, database, events):
         if expected > 10000:
             events.limit(500).coalesce(1).write.mode("append").parquet(feed)
         _stream(spark, feed, events.schema).createOrReplaceTempView("feed_view")
-        stream_insert(spark.sql("SELECT * FROM feed_view"), target, checkpoint, bounded=True).awaitTermination(120)
+        fed = spark.sql("SELECT * FROM feed_view")
+        stream_insert(fed, target, checkpoint, bounded=True).awaitTermination(120)
         assert spark.table(target).count() == expected
 
 

@@ -126,7 +126,8 @@ def test_http_resource_without_ranges_is_read_whole(spark):
 
 def test_copies_of_one_url_are_all_fetched(spark):
     urls = spark.range(300).selectExpr(f"'{_data_url('same')}' AS url")
-    assert [tuple(r) for r in fetch_lines(urls).groupBy("value").count().collect()] == [("same", 300)]
+    counts = fetch_lines(urls).groupBy("value").count().collect()
+    assert [tuple(r) for r in counts] == [("same", 300)]
 
 
 def test_an_unreadable_url_fails_the_job(spark, tmp_path):
@@ -150,5 +151,7 @@ def test_fetching_needs_no_package_on_the_executors(tmp_path):
         "print(list(lines(io.BytesIO(b'a\\nb'), 0, None, None)))"
     )
     assert pickle.loads((tmp_path / "f").read_bytes()) is not None
-    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
+    out = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60
+    )
     assert out.stdout.strip() == "['a', 'b']", out.stderr

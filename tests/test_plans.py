@@ -50,11 +50,10 @@ def test_spread_only_where_the_scan_is_narrow(spark, texts, tmp_path):
 
 
 def test_copies_of_one_text_spread_evenly(spark, tmp_path):
-    spark.range(0, 4000, 1, 1).selectExpr("if(id % 3 = 0, 'copy', concat('t', id)) AS text").write.parquet(f"{tmp_path}/c")
-    sizes = [
-        r.n for r in spread(spark.read.parquet(f"{tmp_path}/c"))
-        .groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
-    ]
+    texts = spark.range(0, 4000, 1, 1).selectExpr("if(id % 3 = 0, 'copy', concat('t', id)) AS text")
+    texts.write.parquet(f"{tmp_path}/c")
+    dealt = spread(spark.read.parquet(f"{tmp_path}/c")).groupBy(F.spark_partition_id())
+    sizes = [r.n for r in dealt.agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == 8 and max(sizes) - min(sizes) <= 8
 
 

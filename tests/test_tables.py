@@ -23,7 +23,8 @@ from tableforge.workspace import fresh_folder
 
 
 def _failing(df):
-    return df.withColumn("name", F.when(F.col("id") == 3, F.raise_error(F.lit("boom"))).otherwise(F.col("name")))
+    boom = F.when(F.col("id") == 3, F.raise_error(F.lit("boom"))).otherwise(F.col("name"))
+    return df.withColumn("name", boom)
 
 
 def test_save_creates_then_replaces(spark, database):

@@ -18,6 +18,7 @@ from tableforge import (
 )
 from tableforge.workspace import fresh_folder
 
+COUNTS = "word string, count bigint"
 EDGE_LINES = [
     "  two leading blanks",
     "a\ttab\tand\t\ttabs",
@@ -95,7 +96,7 @@ def test_csv_files_follow_the_order(spark, sf_dir):
     assert len(files) == 1
     with open(f"{one.path}/{files[0]}", encoding="utf-8") as f:
         assert f.readline() == "word,count\n"
-    rows = [tuple(r) for r in spark.read.option("header", True).option("escape", '"').schema("word string, count bigint").csv(f"{one.path}/{files[0]}").collect()]
+    rows = [tuple(r) for r in read_csv(spark, f"{one.path}/{files[0]}", COUNTS).collect()]
     assert [n for _, n in rows] == sorted((n for _, n in rows), reverse=True)
     assert rows[:20] == [tuple(r) for r in one.top.collect()]
 
@@ -104,4 +105,4 @@ def test_csv_overwrites(spark):
     path = fresh_folder(spark, "csv")
     for words in (["a b c"], ["z"]):
         write_csv(word_count(lines_from_values(spark, words)), path)
-    assert [tuple(r) for r in read_csv(spark, path, "word string, count bigint").collect()] == [("z", 1)]
+    assert [tuple(r) for r in read_csv(spark, path, COUNTS).collect()] == [("z", 1)]
