@@ -9,6 +9,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def quoted(name: str) -> str:
+    """One column name, or one part of a table name, quoted for SQL."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def named(*names: str) -> list[Column]:
+    """Columns by their exact names, dots and all."""
+    return [F.col(quoted(name)) for name in names]
+
+
 def any_like(conditions: Sequence[tuple[str, str]]) -> Column:
     """True where at least one ``(column, LIKE pattern)`` pair matches."""
     return reduce(lambda a, b: a | b, [F.col(name).like(pattern) for name, pattern in conditions])

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField
 
+from tableforge.functions.columns import quoted
+
 
 def _nullable(field: StructField) -> Column:
     # Nullable when analysed; the optimizer folds it back to the bare column, so no row
     # is touched.
-    quoted = "`" + field.name.replace("`", "``") + "`"
-    return F.expr(f"if(true, {quoted}, null)").alias(field.name, metadata=field.metadata)
+    return F.expr(f"if(true, {quoted(field.name)}, null)").alias(field.name, metadata=field.metadata)
 
 
 def relax_nullability(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
+from tableforge.functions.columns import named
 from tableforge.operators.tables import save_table
 
 
@@ -28,17 +29,19 @@ def latest_by_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -
     """
     if not order_by:
         raise ValueError("order_by names no column")
-    rest = [c for c in df.columns if c not in keys and c not in order_by]
     ordering = [c for c in order_by if c not in keys]
+    rest = [c for c in df.columns if c not in keys and c not in order_by]
     if not ordering and not rest:
-        return df.select(*keys).distinct()
+        return df.select(*named(*keys)).distinct()
     types = {f.name: f.dataType for f in df.schema.fields}
-    if all(_orderable(types[c]) for c in rest):
-        newest = F.max(F.struct(*ordering, *rest))
+    ties = [c for c in rest if _orderable(types[c])]
+    newest = F.struct(*named(*ordering, *rest))
+    if ties == rest:
+        newest = F.max(newest)
     else:
-        ties = [c for c in rest if _orderable(types[c])]
-        newest = F.max_by(F.struct(*ordering, *rest), F.struct(*ordering, *ties))
-    return df.groupBy(*keys).agg(newest.alias("_newest")).select(*keys, "_newest.*").select(*df.columns)
+        newest = F.max_by(newest, F.struct(*named(*ordering, *ties)))
+    latest = df.groupBy(*named(*keys)).agg(newest.alias("_newest"))
+    return latest.select(*named(*keys), "_newest.*").select(*named(*df.columns))
 
 
 def write_keyed(

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tableforge.functions.columns import quoted
+
 UNKNOWN_LOCATION = "<unknown>"
 LOCATION_PATTERN = "^[A-Za-z][A-Za-z0-9+.-]*:/"
 
@@ -41,11 +43,6 @@ FORMAT_OPTIONS: dict[str, dict[str, str]] = {
 READ_OPTIONS: dict[str, dict[str, str]] = {"csv": CSV_NULL}
 
 
-def quoted(name: str) -> str:
-    """One part of a table name, quoted for SQL."""
-    return "`" + name.replace("`", "``") + "`"
-
-
 def literal(text: str) -> str:
     """A SQL string literal."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tableforge.functions.columns import quoted
 from tableforge.functions.nullability import relax_nullability
 from tableforge.operators.tables import (
     create_strict,
     database_of,
     ensure_database,
-    quoted,
     read_csv,
     save_table,
     table_location,

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableforge.functions.columns import any_like, starts_with_any, to_money
+from tableforge.functions.columns import any_like, quoted, starts_with_any, to_money
 from tableforge.functions.nullability import relax_nullability
 from tableforge.operators import tables as tb
 from tableforge.operators import words as wd
@@ -137,7 +137,7 @@ def save_table_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ctas_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = f"{_database(spark, 'ctas')}.lineitem"
-    tb.ctas(spark, target, f"SELECT * FROM parquet.{tb.quoted(f'{sf_dir}/lineitem.parquet')}")
+    tb.ctas(spark, target, f"SELECT * FROM parquet.{quoted(f'{sf_dir}/lineitem.parquet')}")
     return spark.table(target)
 
 

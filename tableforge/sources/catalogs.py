@@ -6,7 +6,8 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableforge.operators.tables import quoted, show_tables
+from tableforge.functions.columns import quoted
+from tableforge.operators.tables import show_tables
 
 
 class SourceCatalog(Protocol):

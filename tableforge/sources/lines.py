@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
@@ -61,9 +62,12 @@ def open_url(url: str, first: int, last: int | None) -> BinaryIO:
 def url_size(url: str) -> int | None:
     """The size of a URL whose server answers byte ranges, else None (read it in one piece)."""
     head = urllib.request.Request(url, method="HEAD")
-    with urllib.request.urlopen(head, timeout=60) as answer:
-        size = answer.headers.get("Content-Length")
-        ranged = answer.headers.get("Accept-Ranges", "").lower() == "bytes"
+    try:
+        with urllib.request.urlopen(head, timeout=60) as answer:
+            size = answer.headers.get("Content-Length")
+            ranged = answer.headers.get("Accept-Ranges", "").lower() == "bytes"
+    except urllib.error.HTTPError:  # the server may refuse HEAD alone; the read will tell
+        return None
     return int(size) if ranged and size else None
 
 

@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from tableforge.functions.columns import named, quoted
 from tableforge.operators.latest import latest_by_key
-from tableforge.operators.tables import drop_table, literal, quoted
+from tableforge.operators.tables import drop_table, literal
 from tableforge.streaming.inserts import COMMIT_INTERVAL, trigger_options
 
 _BATCH = "_batch_id"
@@ -33,10 +34,10 @@ _DECLARATION = "tableforge.keyed"
 
 def _unique_per_key(batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The batch itself, failing at run time if a key occurs twice in it."""
-    named = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
-    message = F.concat(F.lit("key occurs twice in a batch, and there is no order_by: "), named)
-    counted = batch.groupBy(*keys).agg(
-        F.any_value(F.struct(*batch.columns)).alias("_row"), F.count("*").alias("_rows")
+    key_text = F.concat_ws(", ", *[k.cast("string") for k in named(*keys)])
+    message = F.concat(F.lit("key occurs twice in a batch, and there is no order_by: "), key_text)
+    counted = batch.groupBy(*named(*keys)).agg(
+        F.any_value(F.struct(*named(*batch.columns))).alias("_row"), F.count("*").alias("_rows")
     )
     checked = F.when(F.col("_rows") > 1, F.raise_error(message)).otherwise(F.col("_row"))
     return counted.select(checked.alias("_row")).select("_row.*")
@@ -128,11 +129,12 @@ class KeyedTable:
         of a key are told apart when the log is read or published.
         """
         spark = batch.sparkSession
+        columns = spark.table(self.name).columns
         checked = [
-            F.coalesce(F.col(c), F.raise_error(F.lit(f"null in key column {c}"))).alias(c)
+            F.coalesce(column, F.raise_error(F.lit(f"null in key column {c}"))).alias(c)
             if c in self.keys
-            else F.col(c)
-            for c in spark.table(self.name).columns
+            else column
+            for c, column in zip(columns, named(*columns))
         ]
         rows = batch.select(*checked)
         if not self.order_by:
@@ -158,20 +160,24 @@ class KeyedTable:
         later = latest_by_key(later, self.keys, [*self.order_by, _BATCH]).drop(_BATCH)
         if upto < 0:
             return later
-        old, new = snapshot.alias("old"), later.alias("new")
-        same_key = reduce(and_, [F.col(f"old.{k}") == F.col(f"new.{k}") for k in self.keys])
-        first_key = self.keys[0]
-        keep_old = F.col(f"new.{first_key}").isNull()
+        def old(name: str) -> Column:
+            return F.col(f"old.{quoted(name)}")
+
+        def new(name: str) -> Column:
+            return F.col(f"new.{quoted(name)}")
+
+        same_key = reduce(and_, [old(k) == new(k) for k in self.keys])
+        keep_old = new(self.keys[0]).isNull()
         if self.order_by:
-            ahead = F.struct(*[f"old.{c}" for c in self.order_by]) > F.struct(
-                *[f"new.{c}" for c in self.order_by]
-            )
-            keep_old = keep_old | (F.col(f"old.{first_key}").isNotNull() & ahead)
-        columns = [
-            F.when(keep_old, F.col(f"old.{c}")).otherwise(F.col(f"new.{c}")).alias(c)
-            for c in snapshot.columns
-        ]
-        return old.join(new, same_key, "full_outer").select(*columns)
+            ahead = F.struct(*map(old, self.order_by)) > F.struct(*map(new, self.order_by))
+            keep_old = keep_old | (old(self.keys[0]).isNotNull() & ahead)
+        columns = [F.when(keep_old, old(c)).otherwise(new(c)).alias(c) for c in snapshot.columns]
+        joined = snapshot.alias("old").join(later.alias("new"), same_key, "full_outer")
+        return joined.select(*columns)
+
+    def _batches(self) -> DataFrame:
+        number = F.split_part("partition", F.lit("="), F.lit(2)).cast("bigint")
+        return self.spark.sql(f"SHOW PARTITIONS {self.log}").select(number.alias(_BATCH))
 
     def publish(self) -> int:
         """Fold the log into a new snapshot, which readers of the table see from then on.
@@ -179,9 +185,7 @@ class KeyedTable:
         Returns the last batch in it. Reading the current rows costs as much as the
         batches since the last publish, so a running stream needs one now and then.
         """
-        number = F.split_part("partition", F.lit("="), F.lit(2)).cast("bigint")
-        batches = self.spark.sql(f"SHOW PARTITIONS {self.log}")
-        last = batches.agg(F.max(number).alias("last")).first()["last"]
+        last = self._batches().agg(F.max(_BATCH).alias("last")).first()["last"]
         _, upto = self._snapshot()
         if last is None or last <= upto:
             return upto
@@ -193,6 +197,19 @@ class KeyedTable:
         drop_table(self.spark, stage)
         return last
 
+    def trim_log(self) -> int:
+        """Take the batches that the snapshot holds out of the log; returns how many.
+
+        Call it once no frame that ``current`` made before the last publish is in use. The
+        files stay for their owner to delete.
+        """
+        _, upto = self._snapshot()
+        merged = [row[0] for row in self._batches().filter(F.col(_BATCH) <= upto).collect()]
+        for first in range(0, len(merged), 500):
+            parts = ", ".join(f"PARTITION ({_BATCH} = {n})" for n in merged[first : first + 500])
+            self.spark.sql(f"ALTER TABLE {self.log} DROP IF EXISTS {parts}")
+        return len(merged)
+
 
 def stream_upsert(
     stream: DataFrame,

@@ -215,6 +215,22 @@ def test_reading_while_a_new_snapshot_is_published(keyed, spark):
     assert _rows(before) == [(1, 1.0, "a"), (2, 1.0, "b")]
 
 
+def test_trimming_the_log(keyed, spark):
+    t = keyed(["score"])
+    for batch in range(3):
+        t.write_batch(_frame(spark, [(batch, 1.0, "a"), (9, float(batch), "b")]), batch)
+    assert t.trim_log() == 0
+    t.publish()
+    t.write_batch(_frame(spark, [(9, 5.0, "c")]), 3)
+    assert t.trim_log() == 3
+    expected = [(0, 1.0, "a"), (1, 1.0, "a"), (2, 1.0, "a"), (9, 5.0, "c")]
+    assert _rows(t.current()) == expected
+    t.write_batch(_frame(spark, [(2, 1.0, "a"), (9, 2.0, "b")]), 2)  # a late replay
+    assert _rows(t.current()) == expected
+    assert t.publish() == 3 and t.trim_log() == 2 and t.publish() == 3
+    assert _rows(t.current()) == expected
+
+
 def test_snapshot_is_bucketed_by_key(keyed, spark):
     t = keyed(["score"])
     t.write_batch(_frame(spark, [(i, 1.0, "a") for i in range(100)]), 0)
@@ -223,6 +239,19 @@ def test_snapshot_is_bucketed_by_key(keyed, spark):
     assert "Bucketed: true" in plan and "Exchange" not in plan
 
 
+def test_awkward_column_names(spark, database):
+    df = spark.createDataFrame([(1, 2, "x"), (1, 3, "y"), (2, 1, "z")], "`a.b` int, `o p` int, `v-w` string")
+    expected = [(1, 3, "y"), (2, 1, "z")]
+    assert _rows(latest_by_key(df, ["a.b"], ["o p"])) == expected
+    t = KeyedTable.create_if_absent(
+        spark, f"{database}.awkward", df.schema, ["a.b"], fresh_folder(spark, "keyed"), ["o p"]
+    )
+    t.write_batch(df, 0)
+    t.publish()
+    t.write_batch(df, 1)
+    assert _rows(t.current()) == expected
+
+
 def test_a_column_named_location(spark, database):
     df = spark.createDataFrame([(1, "x")], "id bigint, Location string")
     t = KeyedTable.create_if_absent(

@@ -8,6 +8,7 @@ import re
 import pytest
 
 from tableforge import fetch_lines, lines_from_values, read_lines
+from tableforge.sources import lines
 from tableforge.sources.lines import _piece_lines
 from tableforge.workspace import fresh_folder
 
@@ -103,10 +104,10 @@ def test_big_http_resource_is_read_in_ranges(spark, tmp_path):
         return stream
 
     urls = spark.createDataFrame([("http://example.com/resource",)], "url string")
-    lines = fetch_lines(
+    fetched = fetch_lines(
         urls, piece_bytes=4096, partitions=8, opener=opener, size_of=lambda url: len(data)
     )
-    assert sorted(r.value for r in lines.collect()) == sorted(_brute(data))
+    assert sorted(r.value for r in fetched.collect()) == sorted(_brute(data))
     import os
 
     assert len(os.listdir(asked)) == -(-len(data) // 4096)
@@ -120,8 +121,48 @@ def test_http_resource_without_ranges_is_read_whole(spark):
         return io.BytesIO(b"p\nq\n")
 
     urls = spark.createDataFrame([("https://example.com/x",)], "url string")
-    lines = fetch_lines(urls, opener=opener, size_of=lambda url: None)
-    assert sorted(r.value for r in lines.collect()) == ["p", "q"]
+    fetched = fetch_lines(urls, opener=opener, size_of=lambda url: None)
+    assert sorted(r.value for r in fetched.collect()) == ["p", "q"]
+
+
+class _Answer(io.BytesIO):
+    def __init__(self, data=b"", status=200, **headers):
+        super().__init__(data)
+        self.status = status
+        self.headers = {k.replace("_", "-"): v for k, v in headers.items()}
+
+
+def test_size_is_used_only_where_ranges_are_served(monkeypatch):
+    def answer_with(answer):
+        def urlopen(request, timeout):
+            assert request.get_method() == "HEAD"
+            if isinstance(answer, Exception):
+                raise answer
+            return answer
+
+        monkeypatch.setattr(lines.urllib.request, "urlopen", urlopen)
+        return lines.url_size("http://example.com/x")
+
+    assert answer_with(_Answer(Content_Length="12", Accept_Ranges="bytes")) == 12
+    assert answer_with(_Answer(Content_Length="12")) is None
+    assert answer_with(_Answer(Accept_Ranges="bytes")) is None
+    refused = lines.urllib.error.HTTPError("http://example.com/x", 405, "no HEAD", {}, None)
+    assert answer_with(refused) is None
+
+
+def test_a_range_must_be_answered_with_a_range(monkeypatch):
+    asked = []
+
+    def urlopen(request, timeout):
+        asked.append(request.get_header("Range"))
+        return _Answer(b"x", status=206 if len(asked) == 1 else 200)
+
+    monkeypatch.setattr(lines.urllib.request, "urlopen", urlopen)
+    assert lines.open_url("http://example.com/x", 5, 9).read() == b"x"
+    with pytest.raises(OSError, match="range"):
+        lines.open_url("http://example.com/x", 5, 9)
+    lines.open_url("http://example.com/x", 0, None)
+    assert asked == ["bytes=5-9", "bytes=5-9", None]
 
 
 def test_copies_of_one_url_are_all_fetched(spark):
