@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -214,13 +214,20 @@ def table_location(spark: SparkSession, table: str) -> str:
     return found[0].location if found else UNKNOWN_LOCATION
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """Overwrite a CSV folder with a header.
+def write_csv(
+    df: DataFrame, path: str, order_by: Sequence[Column] = (), single_file: bool = False
+) -> None:
+    """Overwrite a CSV folder with a header, in the given order.
 
-    A sorted frame gives files in its order. ``single_file`` makes one task write the
-    whole result; leave it off for anything big.
+    All tasks write files that follow each other in that order. ``single_file`` makes one
+    task sort and write the whole result; leave it off for anything big.
     """
-    out = df.coalesce(1) if single_file else df
+    if single_file:
+        # Sorted where it is written: coalescing a sorted frame may mix its partitions up.
+        out = df.repartition(1)
+        out = out.sortWithinPartitions(*order_by) if order_by else out
+    else:
+        out = df.orderBy(*order_by) if order_by else df
     out.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 

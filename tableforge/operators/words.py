@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: words are separated by runs of whitespace.
@@ -20,9 +20,14 @@ def word_count(df: DataFrame, column: str = "value") -> DataFrame:
     return tokens(df, column).groupBy("word").count()
 
 
+def by_frequency() -> list[Column]:
+    """Most frequent first, equal counts by word."""
+    return [F.col("count").desc(), F.col("word")]
+
+
 def top_words(counts: DataFrame, k: int = 20) -> DataFrame:
-    """The ``k`` most frequent words of ``word, count``; equal counts are ordered by word."""
-    return counts.orderBy(F.col("count").desc(), "word").limit(k)
+    """The ``k`` most frequent words of ``word, count``."""
+    return counts.orderBy(*by_frequency()).limit(k)
 
 
 def distinct_words(df: DataFrame, column: str = "value") -> DataFrame:

@@ -24,7 +24,7 @@ from tableforge.operators.tables import (
     table_location,
     write_csv,
 )
-from tableforge.operators.words import top_words, word_count
+from tableforge.operators.words import by_frequency, top_words, word_count
 from tableforge.sources.catalogs import SourceCatalog
 from tableforge.sources.generated import ROWS_PER_SECOND, SEQUENCE_END, datagen_stream
 from tableforge.streaming.keyed import KeyedTable, stream_upsert
@@ -280,8 +280,7 @@ def word_count_job(
     once into even ranges for the sort.
     """
     spark = lines.sparkSession
-    ranked = word_count(lines, column).orderBy(F.col("count").desc(), "word")
-    write_csv(ranked, path, single_file)
+    write_csv(word_count(lines, column), path, by_frequency(), single_file)
     counts = read_csv(spark, path, "word string, count bigint")
     return WordCountReport(path, counts, top_words(counts, k), counts.agg(F.count("*").alias("n")))
 

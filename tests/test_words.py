@@ -98,9 +98,23 @@ def test_csv_files_follow_the_order(spark, sf_dir):
         assert f.readline() == "word,count\n"
     rows = [tuple(r) for r in read_csv(spark, f"{one.path}/{files[0]}", COUNTS).collect()]
     assert [n for _, n in rows] == sorted((n for _, n in rows), reverse=True)
+    assert rows == sorted(rows, key=lambda r: (-r[1], r[0].encode()))
     assert rows[:20] == [tuple(r) for r in one.top.collect()]
 
 
+def test_many_csv_files_follow_each_other(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = spark.range(0, 5000, 1, 8).selectExpr("concat('w', id % 700, ' v', id % 90) AS value")
+        path = word_count_job(lines, fresh_folder(spark, "csv")).path
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    files = _csv_files(path)
+    assert len(files) == 8
+    rows = [tuple(r) for f in files for r in read_csv(spark, f"{path}/{f}", COUNTS).collect()]
+    assert rows == sorted(rows, key=lambda r: (-r[1], r[0])) and len(rows) == 790
+
+
 def test_csv_overwrites(spark):
     path = fresh_folder(spark, "csv")
     for words in (["a b c"], ["z"]):
