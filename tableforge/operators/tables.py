@@ -60,6 +60,12 @@ def database_of(table: str) -> str:
     return ".".join(parts[:-1])
 
 
+def in_session_catalog(table: str) -> bool:
+    """Whether a 2- or 3-part name lives in the built-in catalog."""
+    database = _parts(database_of(table))
+    return len(database) == 1 or database[0].strip("`") == "spark_catalog"
+
+
 def ensure_database(spark: SparkSession, database: str, location: str | None = None) -> str:
     """Create a database, plain or catalog-qualified, if it is absent; returns its name."""
     where = f" LOCATION {literal(location)}" if location else ""
@@ -135,6 +141,8 @@ def save_table(
     Rows are counted on their way out and again in the written files. Should the two
     differ, the table is left as it was.
     """
+    if not in_session_catalog(table):
+        raise ValueError(f"{table} is in a catalog of its own: use create_strict")
     spark, fmt = df.sparkSession, fmt.lower()
     options = options or {}
     writing = {**FORMAT_OPTIONS.get(fmt, {}), **options}
@@ -161,19 +169,13 @@ def create_strict(df: DataFrame, table: str, fmt: str = "parquet", drop_first: b
     if drop_first:
         drop_table(spark, table)
     writer = df.writeTo(table).using(fmt)
-    if in_session_catalog(spark, table):
+    if in_session_catalog(table):
         # A failed create leaves its folder behind; the next attempt must not meet it.
         writer = writer.option("path", fresh_table_folder(spark, table))
     writer.create()
     return spark.table(table).count()
 
 
-def in_session_catalog(spark: SparkSession, table: str) -> bool:
-    """Whether a 2- or 3-part name lives in the built-in catalog."""
-    database = _parts(database_of(table))
-    return len(database) == 1 or database[0].strip("`") == "spark_catalog"
-
-
 def register_external(
     spark: SparkSession,
     table: str,

@@ -32,6 +32,10 @@ _BATCH = "_batch_id"
 _DECLARATION = "tableforge.keyed"
 
 
+def _upto(folder: str) -> int:
+    return int(folder.rpartition("/upto=")[2])
+
+
 def _unique_per_key(batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The batch itself, failing at run time if a key occurs twice in it."""
     key_text = F.concat_ws(", ", *[k.cast("string") for k in named(*keys)])
@@ -112,15 +116,19 @@ class KeyedTable:
         place = described.filter("col_name = 'Location' AND data_type LIKE '%/upto=%'").first()
         return place["data_type"].strip()
 
+    def _published(self) -> int:
+        """The last batch in the snapshot, -1 before the first publish."""
+        return _upto(self._folder())
+
     def _snapshot(self) -> tuple[DataFrame, int]:
-        """The published rows and the last batch in them, -1 before the first publish."""
+        """The published rows and the last batch in them."""
         while True:
             folder = self._folder()
             self.spark.catalog.refreshTable(self.name)
             rows = self.spark.table(self.name)
             # Rows and batch number belong together unless a publish came in between.
             if self._folder() == folder:
-                return rows, int(folder.rpartition("/upto=")[2])
+                return rows, _upto(folder)
 
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:
         """Add one micro-batch, or replace it if it was added before.
@@ -129,7 +137,7 @@ class KeyedTable:
         of a key are told apart when the log is read or published.
         """
         spark = batch.sparkSession
-        columns = spark.table(self.name).columns
+        columns = [c for c in spark.table(self.log).columns if c != _BATCH]
         checked = [
             F.coalesce(column, F.raise_error(F.lit(f"null in key column {c}"))).alias(c)
             if c in self.keys
@@ -160,6 +168,7 @@ class KeyedTable:
         later = latest_by_key(later, self.keys, [*self.order_by, _BATCH]).drop(_BATCH)
         if upto < 0:
             return later
+
         def old(name: str) -> Column:
             return F.col(f"old.{quoted(name)}")
 
@@ -186,14 +195,15 @@ class KeyedTable:
         batches since the last publish, so a running stream needs one now and then.
         """
         last = self._batches().agg(F.max(_BATCH).alias("last")).first()["last"]
-        _, upto = self._snapshot()
+        upto = self._published()
         if last is None or last <= upto:
             return upto
         folder = f"{self.path}/snapshot/{uuid.uuid4().hex}/upto={last}"
         stage = f"{self.name}_stage_{uuid.uuid4().hex[:8]}"
         bucketed = self._merged(F.col(_BATCH) <= last).write.bucketBy(self.buckets, *self.keys)
         bucketed.sortBy(*self.keys).option("path", folder).saveAsTable(stage)
-        self.spark.sql(f"ALTER TABLE {self.name} SET LOCATION {literal(folder)}")
+        if self._published() < last:  # another publish may have been faster
+            self.spark.sql(f"ALTER TABLE {self.name} SET LOCATION {literal(folder)}")
         drop_table(self.spark, stage)
         return last
 
@@ -203,7 +213,7 @@ class KeyedTable:
         Call it once no frame that ``current`` made before the last publish is in use. The
         files stay for their owner to delete.
         """
-        _, upto = self._snapshot()
+        upto = self._published()
         merged = [row[0] for row in self._batches().filter(F.col(_BATCH) <= upto).collect()]
         for first in range(0, len(merged), 500):
             parts = ", ".join(f"PARTITION ({_BATCH} = {n})" for n in merged[first : first + 500])

@@ -83,6 +83,11 @@ def test_no_rows(spark, database):
     assert spark.table(f"{database}.empty").columns == ["id", "name", "score"]
 
 
+def test_other_catalogs_need_a_strict_create(spark):
+    with pytest.raises(ValueError, match="create_strict"):
+        save_table(demo_rows(spark, 1), "ice.demo.t")
+
+
 def test_a_name_needs_a_database(spark):
     with pytest.raises(ValueError, match="database.table"):
         save_table(demo_rows(spark, 1), "lonely")
