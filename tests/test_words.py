@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import random
 import re
 from collections import Counter
 
@@ -85,6 +86,26 @@ def test_csv_keeps_every_word(spark, single_file):
     assert report.distinct.first().n == len(NASTY)
 
 
+def test_csv_keeps_words_of_any_characters(spark):
+    rng = random.Random(11)
+    blanks = set(" \t\n\x0b\f\r")
+    pools = ["\"\\,'#a", "".join(map(chr, range(1, 256))), None]
+    words = set()
+    while len(words) < 3000:
+        pool = rng.choice(pools)
+        word = ""
+        for _ in range(rng.randrange(1, 8)):
+            code = rng.choice([rng.randrange(0xD800), rng.randrange(0xE000, 0x110000)])
+            letter = rng.choice(pool) if pool else chr(code)
+            word += "" if letter in blanks else letter
+        if word:
+            words.add(word)
+    lines = lines_from_values(spark, sorted(words))
+    report = word_count_job(lines, fresh_folder(spark, "csv"))
+    assert {r.word for r in report.counts.collect()} == words
+    assert report.distinct.first().n == len(words)
+
+
 def _csv_files(folder):
     return sorted(f for f in os.listdir(folder) if f.endswith(".csv"))
 
