@@ -27,6 +27,7 @@ from tableforge.operators.tables import (
 from tableforge.operators.words import by_frequency, top_words, word_count
 from tableforge.sources.catalogs import SourceCatalog
 from tableforge.sources.generated import ROWS_PER_SECOND, SEQUENCE_END, datagen_stream
+from tableforge.streaming.inserts import COMMIT_INTERVAL
 from tableforge.streaming.keyed import KeyedTable, stream_upsert
 
 OK, FAIL, SKIP = "OK", "FAIL", "SKIP"
@@ -244,6 +245,7 @@ def generated_stream_job(
     end: int = SEQUENCE_END,
     buckets: int = 2,
     bounded: bool = False,
+    interval: str = COMMIT_INTERVAL,
     publish_every: int | None = None,
 ) -> tuple[KeyedTable, StreamingQuery]:
     """Stream generated rows into a table keyed by ``id``; the newest ``order_time`` wins.
@@ -256,7 +258,7 @@ def generated_stream_job(
     keyed = KeyedTable.create_if_absent(
         spark, table, stream.schema, ["id"], path, ["order_time"], buckets
     )
-    query = stream_upsert(stream, keyed, checkpoint, bounded, publish_every=publish_every)
+    query = stream_upsert(stream, keyed, checkpoint, bounded, interval, publish_every)
     return keyed, query
 
 

@@ -82,6 +82,18 @@ def test_generated_stream_into_a_keyed_table(spark, database):
     assert Counter(rows.drop("order_time").collect()) == Counter(datagen_batch(spark, 1, 100).collect())
 
 
+def test_paced_stream_into_a_keyed_table_ends_too(spark, database):
+    place = (f"{database}.paced", fresh_folder(spark, "keyed"), fresh_folder(spark, "cp"))
+    keyed, query = generated_stream_job(
+        spark, *place, rows_per_second=100, end=150, interval="500 milliseconds"
+    )
+    try:
+        assert await_sequence_end(query, 150, timeout=60)
+    finally:
+        query.stop()
+    assert sorted(r.id for r in keyed.current().select("id").collect()) == list(range(1, 151))
+
+
 def test_waiting_gives_up_in_time(spark, database):
     query = stream_insert(
         datagen_stream(spark, rows_per_second=1), f"{database}.slow", fresh_folder(spark, "cp"),
