@@ -83,11 +83,13 @@ def _piece_lines(stream: BinaryIO, start: int, end: int | None, size: int | None
         position += len(stream.readline())
     while end is None or position < end:
         raw = stream.readline()
-        if not raw:
+        position += len(raw)
+        if not raw.endswith(b"\n"):
+            # The stream is at its end, which must be the end of the resource too.
             if getattr(stream, "length", None) or (size is not None and position < size):
                 raise OSError("download ended before the announced size")
-            return
-        position += len(raw)
+            if not raw:
+                return
         line = raw.removesuffix(b"\n").removesuffix(b"\r").decode("utf-8", "replace")
         yield from line.split("\r")
 
@@ -134,14 +136,10 @@ def fetch_lines(
                     )
 
     url = F.col(url_column)
-    over_http = F.when(url.startswith("http://") | url.startswith("https://"), url)
+    over_http = F.expr("if(url LIKE 'http://%' OR url LIKE 'https://%', url, null)")
     whole = F.expr(f"cast(array(struct(0L, null, null)) as {pieces_type})")
-    return (
-        urls.filter(url.isNotNull())
-        .select(url.alias("url"), F.explode(F.coalesce(ranges(over_http), whole)).alias("piece"))
-        .select("url", "piece.*")
-        # A row here is up to piece_bytes of work: a fixed count, which AQE keeps, dealt in
-        # turn so that copies of one URL do not meet in one task.
-        .repartition(partitions)
-        .mapInArrow(fetch, LINE_SCHEMA)
-    )
+    # A URL is a request to make and a piece up to piece_bytes to read, so both are dealt out:
+    # to a fixed count of tasks, which AQE keeps, and in turn, so that copies do not meet.
+    asked = urls.filter(url.isNotNull()).select(url.alias("url")).repartition(partitions)
+    pieces = asked.select("url", F.explode(F.coalesce(ranges(over_http), whole)).alias("piece"))
+    return pieces.select("url", "piece.*").repartition(partitions).mapInArrow(fetch, LINE_SCHEMA)

@@ -69,9 +69,33 @@ def test_any_text_in_pieces(text, size):
     assert _pieces(text.encode(), size) == _brute(text.encode())
 
 
-def test_a_short_download_is_an_error():
+@pytest.mark.parametrize("cut", range(1, 17))
+def test_a_short_download_is_an_error(cut):
+    data = b"first\nsecond\nlast"
+    for start, end in ((0, 4), (0, 18), (4, 12), (6, 13), (13, 18)):
+        stream = io.BytesIO(data[max(start - 1, 0):cut])
+        try:
+            got = list(_piece_lines(stream, start, end, len(data)))
+        except OSError:
+            continue
+        # Whatever is not refused is whole: the cut came after the piece's last line.
+        assert got == list(_piece_lines(io.BytesIO(data[max(start - 1, 0):]), start, end, len(data)))
+
+
+def test_a_whole_read_must_use_up_its_length():
+    stream = io.BytesIO(b"a\nhal")
     with pytest.raises(OSError):
-        list(_piece_lines(io.BytesIO(b"only this"), 0, 20, 20))
+        list(_piece_lines(_Sized(b"a\nhal", left=3), 0, None, None))
+    assert list(_piece_lines(_Sized(b"a\nb", left=0), 0, None, None)) == ["a", "b"]
+    assert list(_piece_lines(stream, 0, None, None)) == ["a", "hal"]
+
+
+class _Sized(io.BytesIO):
+    """A stream that tells how many bytes have not come yet, as an HTTP answer does."""
+
+    def __init__(self, data, left):
+        super().__init__(data)
+        self.length = left
 
 
 def test_memory_lines(spark):
