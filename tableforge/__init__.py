@@ -23,6 +23,7 @@ from tableforge.operators.tables import (
     save_table,
     show_tables,
     table_location,
+    vacuum,
     write_csv,
 )
 from tableforge.operators.words import distinct_words, tokens, top_words, word_count
@@ -91,6 +92,7 @@ __all__ = [
     "tokens",
     "top_words",
     "totals",
+    "vacuum",
     "word_count",
     "word_count_job",
     "write_csv",

@@ -2,7 +2,7 @@
 
 A table is replaced by writing a fresh folder, counting what landed there, and only then
 pointing the table at it. A failed or repeated attempt leaves the old table as it was,
-and a query may read the table it replaces. Superseded folders stay for a later clean-up.
+and a query may read the table it replaces. Superseded folders stay until ``vacuum``.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tableforge.functions.columns import quoted
+from tableforge.workspace import delete_folder, folder_names
 
 UNKNOWN_LOCATION = "<unknown>"
 LOCATION_PATTERN = "^[A-Za-z][A-Za-z0-9+.-]*:/"
@@ -158,6 +159,26 @@ def save_table(
     return landed
 
 
+def vacuum(spark: SparkSession, table: str) -> int:
+    """Delete the folders that earlier ``save_table`` calls for a table left behind.
+
+    Returns how many. Call it while nobody writes the table or still reads an older state.
+    """
+    home = _database_location(spark, database_of(table))
+    live = table_location(spark, table)
+    if live == UNKNOWN_LOCATION:
+        raise ValueError(f"{table} has no known location")
+    attempt = re.compile(re.escape(_parts(table)[-1].strip("`")) + "-[0-9a-f]{32}")
+    old = [
+        name
+        for name in folder_names(spark, home)
+        if attempt.fullmatch(name) and not live.endswith(f"/{name}")
+    ]
+    for name in old:
+        delete_folder(spark, f"{home}/{name}")
+    return len(old)
+
+
 def ctas(spark: SparkSession, table: str, query: str, fmt: str = "parquet") -> int:
     """``CREATE TABLE table USING fmt AS query``, replacing the table once the query succeeded."""
     return save_table(spark.sql(query), table, fmt)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tableforge.functions.columns import quoted
 from tableforge.operators.tables import show_tables
+from tableforge.workspace import folder_names
 
 
 class SourceCatalog(Protocol):
@@ -37,10 +38,8 @@ class ScaleCatalog:
 
     def tables(self, scale: str) -> list[str]:
         """Table names in order; one listing of the folder, not of the files in the tables."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder(scale))
-        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [status.getPath().getName() for status in files.listStatus(path)]
-        return sorted(n.removesuffix(self.suffix) for n in names if n.endswith(self.suffix))
+        names = folder_names(self.spark, self.folder(scale))
+        return [n.removesuffix(self.suffix) for n in names if n.endswith(self.suffix)]
 
     def read(self, scale: str, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder(scale)}/{table}{self.suffix}")

@@ -31,3 +31,20 @@ def shared_root(spark: SparkSession) -> str:
 def fresh_folder(spark: SparkSession, label: str) -> str:
     """A folder name below the shared root that nobody has used yet."""
     return f"{shared_root(spark)}/tableforge/{label}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folder_names(spark: SparkSession, folder: str) -> list[str]:
+    """The names directly in a folder, in order, from one listing."""
+    path, files = _file_system(spark, folder)
+    return sorted(status.getPath().getName() for status in files.listStatus(path))
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder and what is in it."""
+    path, files = _file_system(spark, folder)
+    files.delete(path, True)

@@ -17,6 +17,7 @@ from tableforge import (
     save_table,
     show_tables,
     table_location,
+    vacuum,
 )
 from tableforge.operators.tables import drop_table
 from tableforge.workspace import fresh_folder
@@ -78,6 +79,22 @@ def test_a_table_can_be_rewritten_from_itself(spark, database):
     assert sorted(r.id for r in spark.table(t).collect()) == [3, 4, 5]
 
 
+def test_vacuum_leaves_the_live_folder_and_other_tables(spark, database):
+    t = f"{database}.demo"
+    save_table(demo_rows(spark, 1), f"{database}.demo2")
+    for rows in (1, 2, 3):
+        save_table(demo_rows(spark, rows), t)
+    with pytest.raises(Exception, match="boom"):
+        save_table(_failing(demo_rows(spark, 9)), t)
+    live = table_location(spark, t)
+    assert vacuum(spark, t) == 3
+    assert vacuum(spark, t) == 0
+    assert table_location(spark, t) == live
+    assert spark.table(t).count() == 3 and spark.table(f"{database}.demo2").count() == 1
+    with pytest.raises(ValueError):
+        vacuum(spark, f"{database}.absent")
+
+
 def test_no_rows(spark, database):
     assert save_table(demo_rows(spark, 0), f"{database}.empty") == 0
     assert spark.table(f"{database}.empty").columns == ["id", "name", "score"]
