@@ -27,6 +27,7 @@ from tableforge.functions.columns import named, quoted
 from tableforge.operators.latest import latest_by_key
 from tableforge.operators.tables import drop_table, literal
 from tableforge.streaming.inserts import COMMIT_INTERVAL, trigger_options
+from tableforge.workspace import delete_folder, folder_names
 
 _BATCH = "_batch_id"
 _DECLARATION = "tableforge.keyed"
@@ -211,7 +212,7 @@ class KeyedTable:
         """Take the batches that the snapshot holds out of the log; returns how many.
 
         Call it once no frame that ``current`` made before the last publish is in use. The
-        files stay for their owner to delete.
+        files stay until ``vacuum``.
         """
         upto = self._published()
         merged = [row[0] for row in self._batches().filter(F.col(_BATCH) <= upto).collect()]
@@ -220,6 +221,26 @@ class KeyedTable:
             self.spark.sql(f"ALTER TABLE {self.log} DROP IF EXISTS {parts}")
         return len(merged)
 
+    def vacuum(self) -> int:
+        """Delete older snapshots and the merged batches; returns how many folders.
+
+        Call it while nobody publishes and no older state is still being read.
+        """
+        self.trim_log()
+        folder = self._folder()
+        upto = _upto(folder)
+        if upto < 0:
+            return 0
+        live = folder.rpartition("/upto=")[0].rpartition("/")[2]
+        old = [f"snapshot/{n}" for n in folder_names(self.spark, f"{self.path}/snapshot") if n != live]
+        for name in folder_names(self.spark, f"{self.path}/log"):
+            prefix, _, number = name.partition("=")
+            if prefix == _BATCH and int(number) <= upto:
+                old.append(f"log/{name}")
+        for name in old:
+            delete_folder(self.spark, f"{self.path}/{name}")
+        return len(old)
+
 
 def stream_upsert(
     stream: DataFrame,

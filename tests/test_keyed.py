@@ -231,6 +231,21 @@ def test_trimming_the_log(keyed, spark):
     assert _rows(t.current()) == expected
 
 
+def test_vacuum_keeps_what_the_table_shows(keyed, spark):
+    t = keyed(["score"])
+    assert t.vacuum() == 0
+    for batch in range(4):
+        t.write_batch(_frame(spark, [(batch, 1.0, "a"), (9, float(batch), "b")]), batch)
+        if batch < 3:
+            t.publish()
+    expected = [(0, 1.0, "a"), (1, 1.0, "a"), (2, 1.0, "a"), (3, 1.0, "a"), (9, 3.0, "b")]
+    assert t.vacuum() == 5  # two older snapshots, three merged batches
+    assert _rows(t.current()) == expected
+    assert t.publish() == 3 and _rows(spark.table(t.name)) == expected
+    assert t.vacuum() == 2 and t.vacuum() == 0
+    assert _rows(t.current()) == expected
+
+
 def test_snapshot_is_bucketed_by_key(keyed, spark):
     t = keyed(["score"])
     t.write_batch(_frame(spark, [(i, 1.0, "a") for i in range(100)]), 0)
