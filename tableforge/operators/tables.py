@@ -105,8 +105,12 @@ def _can_move(spark: SparkSession, table: str, fmt: str, schema: StructType) ->
     columns = spark.catalog.listColumns(table)
     if any(c.isPartition or c.isBucket for c in columns):
         return False
-    now = spark.table(table).schema
-    return [(f.name, f.dataType) for f in now] == [(f.name, f.dataType) for f in schema]
+
+    def shape(columns: StructType) -> list[tuple[str, str]]:
+        # Files give every field back as nullable, so nullability is left out.
+        return [(f.name, f.dataType.simpleString()) for f in columns]
+
+    return shape(spark.table(table).schema) == shape(schema)
 
 
 def point_table(

@@ -63,6 +63,16 @@ def test_save_over_a_csv_table_with_other_options(spark, database):
     assert sorted(r.name for r in spark.table(t).collect()) == sorted(f"name_{i}" for i in range(1, 8))
 
 
+def test_nested_columns_are_replaced_in_one_update(spark, database):
+    t = f"{database}.nested"
+    df = demo_rows(spark, 5).selectExpr("id", "array(named_struct('a', id, 'b', name)) AS items")
+    save_table(df, t)
+    created = spark.sql(f"DESCRIBE FORMATTED {t}").filter("col_name = 'Created Time'").first()
+    save_table(df.filter("id < 3"), t)
+    assert spark.table(t).count() == 2
+    assert spark.sql(f"DESCRIBE FORMATTED {t}").filter("col_name = 'Created Time'").first() == created
+
+
 def test_a_failed_save_keeps_the_old_table(spark, database):
     t = f"{database}.demo"
     save_table(demo_rows(spark, 5), t)
