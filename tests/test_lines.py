@@ -6,7 +6,7 @@ import random
 import re
 
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tableforge import fetch_lines, lines_from_values, read_lines
@@ -59,11 +59,13 @@ def test_random_bytes_in_pieces():
         assert _pieces(data, size) == _brute(data), (data, size)
 
 
+@settings(deadline=None)
 @given(st.binary(max_size=200), st.integers(1, 60))
 def test_any_bytes_in_pieces(data, size):
     assert _pieces(data, size) == _brute(data)
 
 
+@settings(deadline=None)
 @given(st.text(alphabet="a\u00e9\u65e5\n\r\x0b\x85\u2028", max_size=80), st.integers(1, 30))
 def test_any_text_in_pieces(text, size):
     assert _pieces(text.encode(), size) == _brute(text.encode())
