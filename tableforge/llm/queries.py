@@ -6,23 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tableforge.llm.language import language_query
 from tableforge.llm.lines import LINE_SQL, line_digest
 from tableforge.llm.mixing import MIX_SQL, mix_digest
+from tableforge.llm.near import near_query
 from tableforge.llm.quality import quality_query
 from tableforge.llm.search import TOP_SQL, top_k
 from tableforge.llm.secrets import secrets_digest
+from tableforge.llm.suffixes import repeats_digest
 from tableforge.llm.texts import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": lambda spark, d: language_query(read(spark, d, "documents")),
     "op2_mix_sources": lambda spark, d: mix_digest(read(spark, d, "documents")),
     "op5_line_dedup": lambda spark, d: line_digest(read(spark, d, "documents")),
+    "op6_near_dedup": lambda spark, d: near_query(read(spark, d, "documents")),
     "op7_top_k": lambda spark, d: top_k(read(spark, d, "embeddings")),
     "op8_quality_rules": lambda spark, d: quality_query(
         read(spark, d, "documents"), read(spark, d, "labels")
     ),
     "op9_secret_scan": lambda spark, d: secrets_digest(read(spark, d, "documents")),
+    "op10_repeat_removal": lambda spark, d: repeats_digest(read(spark, d, "documents")),
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": MIX_SQL,
