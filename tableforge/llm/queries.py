@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tableforge.llm.language import language_query
 from tableforge.llm.lines import LINE_SQL, line_digest
+from tableforge.llm.lm import lm_query
 from tableforge.llm.mixing import MIX_SQL, mix_digest
 from tableforge.llm.near import near_query
+from tableforge.llm.pieces import pieces_query
 from tableforge.llm.quality import quality_query
 from tableforge.llm.search import TOP_SQL, top_k
 from tableforge.llm.secrets import secrets_digest
@@ -21,6 +23,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "op1_language_id": lambda spark, d: language_query(read(spark, d, "documents")),
     "op2_mix_sources": lambda spark, d: mix_digest(read(spark, d, "documents")),
+    "op3_lm_scores": lambda spark, d: lm_query(read(spark, d, "documents")),
+    "op4_pieces": lambda spark, d: pieces_query(read(spark, d, "documents")),
     "op5_line_dedup": lambda spark, d: line_digest(read(spark, d, "documents")),
     "op6_near_dedup": lambda spark, d: near_query(read(spark, d, "documents")),
     "op7_top_k": lambda spark, d: top_k(read(spark, d, "embeddings")),
