@@ -210,6 +210,15 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return fit(sample(docs.filter(~held_out(F.col(doc_id))), text, lang))
 
 
+def accepted_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``docs`` without those whose language is rejected: no letter, or a score below the floor."""
+    label = "found"
+    while label in docs.columns:
+        label += "_"
+    judged = detect(docs, train(docs, doc_id, text, lang), text, label)
+    return judged.filter(F.col(f"{label}.accepted")).drop(label)
+
+
 def language_query(docs: DataFrame) -> DataFrame:
     model = train(docs)
     only = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")

@@ -79,6 +79,23 @@ def dedup_lines(
     )
 
 
+def with_lines_deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with the texts that ``dedup_lines`` keeps; a null text stays null.
+
+    A column ``n_chars`` is set to the length of a text that has lost lines.
+    """
+    out = dedup_lines(docs, doc_id, text, carry=docs.columns, **options)
+    columns = []
+    for field in docs.schema.fields:
+        value = F.col(f"carried.`{field.name}`")
+        if field.name == text:
+            value = F.when(value.isNotNull(), F.col("kept_text"))
+        elif field.name == "n_chars":
+            value = F.when(F.col("n_dropped") > 0, F.length("kept_text")).otherwise(value).cast(field.dataType)
+        columns.append(value.alias(field.name))
+    return out.select(*columns)
+
+
 def line_digest(docs: DataFrame) -> DataFrame:
     out = dedup_lines(docs)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -116,8 +116,8 @@ def mix(
     the start once the line is used up, so a document's words are taken in one run at the head of
     its text, and no document more than ``most`` times.
 
-    Returns ``doc_id``, ``source``, ``size`` and ``source_size`` (long), ``target`` (double) and
-    ``taken`` (long) for every row; other columns are ignored. A null text has no words and gives
+    Returns ``doc_id``, ``source``, ``print`` (a hash of the text), ``size`` and ``source_size`` (long),
+    ``target`` (double) and ``taken`` (long) for every row; other columns are ignored. A null text has no words and gives
     none. A null id is one id like any other; rows with the same id stand next to each other.
     A source without words has target 0. An empty table gives an empty result.
     """
@@ -125,6 +125,7 @@ def mix(
         docs.select(
             F.col(doc_id).alias("id"),
             F.col(source).alias("source"),
+            F.xxhash64(text).alias("print"),
             F.size(words_of(F.col(text))).cast("long").alias("size"),
             _place(F.col(doc_id)).alias("place"),
         ),
@@ -160,6 +161,7 @@ def mix(
     placed = sizes.join(sources, F.col("source").eqNullSafe(F.col("of"))).withColumn(
         "shard", F.col("place") % F.col("shards")
     )
+    # Equal rows differ in nothing, so their order on the line does not matter.
     shards = placed.groupBy("source", "shard", "block", "seats").agg(F.sum("size").alias("votes"))
     quotas = apportion(shards, ["source"], ["shard"]).select(
         F.col("source").alias("of"),
@@ -170,7 +172,7 @@ def mix(
     )
     on = F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("of_shard"))
     line = Window.partitionBy("source", "shard").orderBy(
-        "place", F.col("id").asc_nulls_first(), "size"
+        "place", F.col("id").asc_nulls_first(), "size", "print"
     ).rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum("size").over(line)
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("words") % F.col("line") - F.col("end") + F.col("size")))
@@ -181,6 +183,7 @@ def mix(
         .select(
             F.col("id").alias(doc_id),
             F.col("source").alias(source),
+            "print",
             "size",
             "source_size",
             "target",
@@ -192,6 +195,48 @@ def mix(
     )
 
 
+def mixed_documents(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options
+) -> DataFrame:
+    """The mix itself: the columns of ``docs``, each document as often as ``mix`` takes it.
+
+    Whole copies come first; what is left of the words taken is a row with the head of the text, cut
+    after its last word. Documents of which nothing is taken are not in the mix. A column ``n_chars`` is
+    set to the length of the text in a row that is cut. Equal rows share their words evenly.
+    """
+    takes = (
+        mix(docs, doc_id, text, source, **options)
+        .groupBy(F.col(doc_id).alias("_id"), F.col(source).alias("_source"), F.col("print").alias("_print"))
+        .agg(F.expr("sum(taken) div count(*)").alias("_taken"), F.first("size").alias("_size"))
+        .filter("_taken > 0")
+    )
+    held = docs.select(F.struct("*").alias("doc"))
+    same = (
+        F.col(f"doc.`{doc_id}`").eqNullSafe(F.col("_id"))
+        & F.col(f"doc.`{source}`").eqNullSafe(F.col("_source"))
+        & (F.xxhash64(F.col(f"doc.`{text}`")) == F.col("_print"))
+    )
+    copies = held.join(takes, same).select(
+        "doc", F.expr("_taken % _size").cast("int").alias("_rest"),
+        F.explode(F.expr("sequence(1L, cast(ceil(_taken / _size) as bigint))")).alias("_copy"),
+        F.expr("_taken div _size").alias("_whole"),
+    )
+    body = F.col(f"doc.`{text}`")
+    head = F.array_join(
+        F.slice(F.regexp_extract_all(body, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("_rest")), ""
+    )
+    cut = copies.withColumn("_text", F.when(F.col("_copy") <= F.col("_whole"), body).otherwise(head))
+    columns = []
+    for field in docs.schema.fields:
+        value = F.col(f"doc.`{field.name}`")
+        if field.name == text:
+            value = F.col("_text")
+        elif field.name == "n_chars":
+            value = F.when(F.col("_copy") <= F.col("_whole"), value).otherwise(F.length("_text")).cast(field.dataType)
+        columns.append(value.alias(field.name))
+    return cut.select(*columns)
+
+
 def mix_digest(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -266,5 +266,12 @@ def near_duplicates(
     )
 
 
+def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, the one with the smallest id."""
+    found = near_duplicates(docs, doc_id, text, **options)
+    gone = found.filter("NOT kept").select(F.col(doc_id).alias("_gone")).distinct()
+    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+
+
 def near_query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs, words=2)
