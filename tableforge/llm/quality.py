@@ -12,6 +12,8 @@ BUCKETS = 1 << 16
 # A log ratio of 1.0 as a whole number; whole numbers add up alike in any order.
 UNIT = 1 << 16
 THRESHOLD = -0.2
+# Documents from which the trusted model is learnt, at most.
+TRUSTED_DOCS = 20_000
 
 
 def _bucket(h: Column, buckets: int) -> Column:
@@ -48,33 +50,39 @@ def train(
     text: str = "text",
     buckets: int = BUCKETS,
     prior: float = 1.0,
+    trusted_docs: int = TRUSTED_DOCS,
 ) -> DataFrame:
     """The log ratio of each bucket: ``bucket``, ``ratio`` (long, in units of 1/65536).
 
-    Words and word pairs of all documents are hashed into ``buckets`` and counted, for
-    all documents and for those whose id ``trusted`` holds; ``prior`` is added to each count.
-    The counts are summed in each task, so a row per bucket and task is shuffled.
+    Words and word pairs of all documents are hashed into ``buckets`` and counted for the raw model;
+    those of at most ``trusted_docs`` documents whose id ``trusted`` holds, the ones with the smallest
+    hashes of their ids, are counted for the trusted model too. ``prior`` is added to each count.
+    The ids chosen are few, whatever the corpus, and go to all tasks; the counts are
+    summed in each task, so no text and only a row per bucket and task is shuffled.
     """
-    known = trusted.select(F.col(doc_id).alias("known")).filter("known IS NOT NULL").distinct()
+    known = (
+        trusted.select(F.col(doc_id).alias("known")).filter("known IS NOT NULL").distinct()
+        .orderBy(F.xxhash64("known"), "known")
+        .limit(trusted_docs)
+    )
     grams = (
         _with_hashes(
             docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(
-                known, F.col("id") == F.col("known"), "left"
+                F.broadcast(known), F.col("id") == F.col("known"), "left"
             )
         )
         .select(F.col("known").isNotNull().cast("long").alias("good"), F.explode("grams").alias("g"))
         .select("good", _bucket(F.col("g"), buckets).alias("bucket"))
     )
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
-    sums = counts.agg(F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good"))
-    smooth = prior * buckets
-    ratio = F.log((F.col("good") + prior) / (F.col("all_good") + smooth)) - F.log(
-        (F.col("raw") + prior) / (F.col("all_raw") + smooth)
+    counts = stored(
+        grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")), "quality-counts"
     )
-    return (
-        counts.join(F.broadcast(sums))
-        .select("bucket", F.round(ratio * UNIT).cast("long").alias("ratio"))
+    sums = counts.agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).first()
+    smooth = prior * buckets
+    ratio = F.log((F.col("good") + prior) / ((sums["good"] or 0) + smooth)) - F.log(
+        (F.col("raw") + prior) / ((sums["raw"] or 0) + smooth)
     )
+    return counts.select("bucket", F.round(ratio * UNIT).cast("long").alias("ratio"))
 
 
 def quality(
@@ -172,8 +180,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    model = stored(train(docs, trusted_ids(labels)), "quality-model")
-    return quality(docs, model).select(
+    return quality(docs, train(docs, trusted_ids(labels))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "ratio",
     )
