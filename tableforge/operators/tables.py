@@ -29,9 +29,6 @@ CSV_OPTIONS = {
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
 }
-# A null is written as nothing and an empty text as "". The reader tells them apart only
-# if its mark for null is not the empty text itself.
-CSV_NULL = {"nullValue": "\x00null\x00"}
 # Text formats would cut timestamps to milliseconds, and CSV values at a line break.
 _TIMESTAMPS = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
@@ -41,7 +38,28 @@ FORMAT_OPTIONS: dict[str, dict[str, str]] = {
     "csv": {**CSV_OPTIONS, **_TIMESTAMPS, "multiLine": "true"},
     "json": _TIMESTAMPS,
 }
-READ_OPTIONS: dict[str, dict[str, str]] = {"csv": CSV_NULL}
+
+
+def _options(fmt: str, columns: int, given: Mapping[str, str]) -> tuple[dict[str, str], dict[str, str]]:
+    """The options to write a format with, and those to read it back.
+
+    In CSV a null is written as nothing and an empty text as "". The reader tells them apart only if
+    its mark for null is not the empty text, so it gets a new random one that no text holds.
+    A row that is nothing at all would not count as a row: one column has its nulls marked.
+    """
+    common = {**FORMAT_OPTIONS.get(fmt, {}), **given}
+    if fmt != "csv" or "nullValue" in given:
+        return common, common
+    mark = {"nullValue": uuid.uuid4().hex}
+    return {**common, **(mark if columns == 1 else {})}, {**common, **mark}
+
+
+def landed_rows(landed: DataFrame, table: str, written: int) -> int:
+    """The number of rows that landed, which must be the number written."""
+    found = landed.count()
+    if found != written:
+        raise RuntimeError(f"{table}: wrote {written} rows but read back {found}")
+    return found
 
 
 def literal(text: str) -> str:
@@ -149,18 +167,23 @@ def save_table(
     if not in_session_catalog(table):
         raise ValueError(f"{table} is in a catalog of its own: use create_strict")
     spark, fmt = df.sparkSession, fmt.lower()
-    options = options or {}
-    writing = {**FORMAT_OPTIONS.get(fmt, {}), **options}
-    reading = {**FORMAT_OPTIONS.get(fmt, {}), **READ_OPTIONS.get(fmt, {}), **options}
+    folder, reading, landed = _write_folder(df, table, fmt, options or {})
+    point_table(spark, table, folder, fmt, df.schema, reading)
+    return landed
+
+
+def _write_folder(
+    df: DataFrame, table: str, fmt: str, options: Mapping[str, str]
+) -> tuple[str, dict[str, str], int]:
+    """Write a fresh folder for a table and count what landed: folder, reading options, rows."""
+    spark = df.sparkSession
+    writing, reading = _options(fmt, len(df.columns), options)
     folder = fresh_table_folder(spark, table)
     written = Observation()
     counted = df.observe(written, F.count(F.lit(1)).alias("rows"))
     counted.write.format(fmt).options(**writing).save(folder)
-    landed = spark.read.format(fmt).schema(df.schema).options(**reading).load(folder).count()
-    if landed != written.get["rows"]:
-        raise RuntimeError(f"{table}: wrote {written.get['rows']} rows but read back {landed}")
-    point_table(spark, table, folder, fmt, df.schema, reading)
-    return landed
+    landed = spark.read.format(fmt).schema(df.schema).options(**reading).load(folder)
+    return folder, reading, landed_rows(landed, table, written.get["rows"])
 
 
 def vacuum(spark: SparkSession, table: str) -> int:
@@ -189,16 +212,39 @@ def ctas(spark: SparkSession, table: str, query: str, fmt: str = "parquet") -> i
 
 
 def create_strict(df: DataFrame, table: str, fmt: str = "parquet", drop_first: bool = False) -> int:
-    """Create a table that must not exist yet, in any catalog; returns the rows that landed."""
-    spark = df.sparkSession
-    if drop_first:
-        drop_table(spark, table)
-    writer = df.writeTo(table).using(fmt)
+    """Create a table that must not exist yet, in any catalog; returns the rows that landed.
+
+    ``drop_first`` replaces one that exists. Rows are counted on their way out and again in the
+    table; a difference raises. In the built-in catalog the files are written and counted
+    first, with the same options as in ``save_table``, so a failure leaves an old table as it
+    was. Another catalog replaces its table in one commit if it can; one that cannot has the
+    old table dropped before the new one is written, and a failure then leaves none.
+    """
+    spark, fmt = df.sparkSession, fmt.lower()
     if in_session_catalog(table):
-        # A failed create leaves its folder behind; the next attempt must not meet it.
-        writer = writer.option("path", fresh_table_folder(spark, table))
-    writer.create()
-    return spark.table(table).count()
+        exists = spark.catalog.tableExists(table)
+        if exists and not drop_first:
+            # Fails with the catalog's own error, before anything is written.
+            spark.catalog.createTable(table, source=fmt, schema=df.schema)
+        folder, reading, landed = _write_folder(df, table, fmt, {})
+        if drop_first:
+            point_table(spark, table, folder, fmt, df.schema, reading)
+        else:
+            spark.catalog.createTable(table, path=folder, source=fmt, schema=df.schema, **reading)
+        return landed
+    written = Observation()
+    writer = df.observe(written, F.count(F.lit(1)).alias("rows")).writeTo(table).using(fmt)
+    if not drop_first:
+        writer.create()
+    else:
+        try:
+            writer.createOrReplace()
+        except AnalysisException as error:
+            if "UNSUPPORTED" not in (error.getCondition() or ""):
+                raise
+            drop_table(spark, table)
+            writer.create()
+    return landed_rows(spark.table(table), table, written.get["rows"])
 
 
 def register_external(
@@ -233,12 +279,12 @@ def table_location(spark: SparkSession, table: str) -> str:
         described = spark.sql(f"DESCRIBE FORMATTED {table}")
     except AnalysisException:
         return UNKNOWN_LOCATION
-    # A column may be called location too; its type does not look like a path.
+    # The details of a table follow its columns, one of which may be called location too; a
+    # type does not look like a path.
     found = described.filter(
-        "(col_name LIKE '%Location%' OR col_name LIKE '%location%') AND "
-        f"trim(coalesce(data_type, '')) RLIKE '{LOCATION_PATTERN}'"
-    ).selectExpr("trim(data_type) AS location").limit(1).collect()
-    return found[0].location if found else UNKNOWN_LOCATION
+        (F.lower("col_name") == "location") & F.trim("data_type").rlike(LOCATION_PATTERN)
+    ).select(F.trim("data_type").alias("location")).first()
+    return found.location if found else UNKNOWN_LOCATION
 
 
 def write_csv(
@@ -260,4 +306,4 @@ def write_csv(
 
 def read_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """Read what ``write_csv`` wrote."""
-    return spark.read.options(**CSV_OPTIONS, **CSV_NULL).schema(schema).csv(path)
+    return spark.read.options(**CSV_OPTIONS, nullValue=uuid.uuid4().hex).schema(schema).csv(path)

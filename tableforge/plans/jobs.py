@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -9,7 +10,7 @@ from threading import Lock
 from typing import NamedTuple
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,6 +20,7 @@ from tableforge.operators.tables import (
     create_strict,
     database_of,
     ensure_database,
+    landed_rows,
     read_csv,
     save_table,
     table_location,
@@ -55,16 +57,23 @@ class Selection(NamedTuple):
     missing: list[str]
 
 
+def requested(request: str) -> list[str]:
+    """The names in a comma list, in order and with repeats; empty ones don't count."""
+    return re.findall(r"[^\s,](?:[^,]*[^\s,])?", request)
+
+
 def select_tables(request: str, available: Sequence[str]) -> Selection:
     """The requested tables in request order, and the requested names that do not exist.
 
     ``all`` in any case means every table. Names are trimmed, blanks dropped, case kept.
     """
-    if request.strip().lower() == "all":
-        return Selection(list(available), [])
-    wanted = [name.strip() for name in request.split(",") if name.strip()]
-    known = set(available)
-    return Selection([w for w in wanted if w in known], [w for w in wanted if w not in known])
+    names = requested(request)
+    if len(names) == 1 and names[0].lower() == "all":
+        names = list(available)
+    by_presence: dict[bool, list[str]] = {True: [], False: []}
+    for name in names:
+        by_presence[name in available].append(name)
+    return Selection(by_presence[True], by_presence[False])
 
 
 def _guarded(work: Callable[[str], Outcome], units: Sequence[str]) -> Callable[[str], Outcome]:
@@ -119,8 +128,11 @@ def materialize_catalog(
     The result has one row per requested table, in request order: ``position,
     table_name, rows, status, error, location``. A failed table has ``rows = -1`` and
     the message; a requested name the source lacks is a ``SKIP`` row and no failure.
-    ``strict`` makes every column nullable, drops the target and creates it anew, which
-    is what catalogs with their own table format need.
+    ``strict`` makes every column nullable and creates the target anew, which is what catalogs
+    with their own table format need. A failed copy leaves the old table as it was, in either
+    mode; see ``create_strict`` for catalogs that cannot replace a table. Columns are made nullable
+    after the read: a source that fails because a column it calls required holds nulls must
+    be read with a schema that allows them.
     """
     scale = scale.strip()
     database = database or quoted("tables_sf" + scale.replace(".", "_"))
@@ -170,7 +182,7 @@ class FormatTarget:
 
 def format_targets(key: str = "id", ordering: str = "score") -> dict[str, FormatTarget]:
     """The known formats. The four lake formats need their jars and catalogs in the session."""
-    # The option names of the keyed format.
+    # The option names of the keyed format, and the catalogs' usual names.
     keyed = {
         "hoodie.table.name": "t_hudi",
         "hoodie.datasource.write.recordkey.field": key,
@@ -205,7 +217,6 @@ def write_formats(
     """
     spark = df.sparkSession
     known = targets if targets is not None else format_targets()
-    requested = [f.strip().lower() for f in formats.split(",") if f.strip()]
 
     def write(fmt: str) -> Outcome:
         target = known.get(fmt)
@@ -217,14 +228,15 @@ def write_formats(
         if target.strict:
             rows = create_strict(df, table, fmt, drop_first=True)
         elif target.own_log:
-            writer = df.write.format(fmt).options(**target.options)
-            writer.mode("overwrite").saveAsTable(table)
-            rows = spark.table(table).count()
+            writing = Observation()
+            counted = df.observe(writing, F.count(F.lit(1)).alias("rows"))
+            counted.write.format(fmt).options(**target.options).mode("overwrite").saveAsTable(table)
+            rows = landed_rows(spark.table(table), table, writing.get["rows"])
         else:
             rows = save_table(df, table, fmt, target.options)
         return Outcome(rows, OK, None, table_location(spark, table))
 
-    return _run_units(spark, "format", requested, write, parallel, raise_on_failure)
+    return _run_units(spark, "format", requested(formats.lower()), write, parallel, raise_on_failure)
 
 
 def table_job(df: DataFrame, table: str, fmt: str = "parquet") -> DataFrame:
@@ -256,7 +268,7 @@ def generated_stream_job(
     stream = datagen_stream(spark, rows_per_second, end=end, replayable=bounded)
     ensure_database(spark, database_of(table))
     keyed = KeyedTable.create_if_absent(
-        spark, table, stream.schema, ["id"], path, ["order_time"], buckets
+        spark, table, stream.schema, ["id"], path, ["order_time"], buckets=buckets
     )
     query = stream_upsert(stream, keyed, checkpoint, bounded, interval, publish_every)
     return keyed, query

@@ -54,14 +54,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT text AS value FROM documents UNION ALL
         SELECT * FROM (VALUES ('  leading blanks'), ('a' || chr(9) || 'tab'), (''),
                               ('two  blanks'), ('end '), ('the end')) v(value)""",
-    "fetch_lines": r"""
-        SELECT unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS value
-        FROM documents WHERE text <> ''""",
+    "fetch_lines": """
+        SELECT unnest(string_split(text, chr(10))) AS value FROM documents WHERE text IS NOT NULL""",
     "demo_rows": """
         SELECT o_orderkey AS id, 'name_' || o_orderkey AS name, o_orderkey * 1.5::DOUBLE AS score
         FROM orders""",
     "datagen_batch": _GENERATED,
-    "datagen_stream": _GENERATED,
+    "datagen_stream": f"SELECT *, true AS whole_ms FROM ({_GENERATED})",
     "cast_decimal": """
         SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(10, 2)) AS price
         FROM lineitem""",
@@ -82,6 +81,7 @@ ORACLE_SQL: dict[str, str] = {
     "materialize_summary": _counts(more=", 'OK' AS status"),
     "materialize_with_failure": _counts(("orders", "lineitem"), ", 'OK' AS status")
     + " UNION ALL SELECT 'supplier', -1, 'FAIL'",
+    "strict_csv_copy": "SELECT * FROM documents",
     "materialize_totals": f"""
         SELECT count(*) AS ok, count(*) AS total, CAST(sum("rows") AS BIGINT) AS total_rows
         FROM ({_counts()})""",

@@ -22,6 +22,7 @@ from tableforge.operators.latest import latest_by_key, write_keyed
 from tableforge.plans import jobs
 from tableforge.sources.catalogs import ScaleCatalog
 from tableforge.sources.generated import datagen_columns, demo_columns
+from tableforge.sources.generated import datagen_stream as datagen_rows
 from tableforge.sources.lines import fetch_lines, lines_from_values, read_lines, spread
 from tableforge.streaming.inserts import stream_insert
 from tableforge.streaming.keyed import KeyedTable, stream_upsert
@@ -90,10 +91,12 @@ def memory_and_stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fetched_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Each text becomes a URL that carries it: the fetch path without any network.
-    encoded = F.base64(F.encode("text", "UTF-8"))
-    url = F.concat(F.lit("data:text/plain;charset=utf-8;base64,"), encoded)
-    return fetch_lines(_table(spark, sf_dir, "documents").select(url.alias("url")))
+    # The texts as files in the shared folder, each read as a URL of its own.
+    folder = fresh_folder(spark, "fetch-lines")
+    texts = _table(spark, sf_dir, "documents").select("text").filter("text IS NOT NULL")
+    texts.write.option("maxRecordsPerFile", 1000).text(folder)
+    files = spark.read.text(folder).inputFiles()
+    return fetch_lines(spark.createDataFrame([(f,) for f in files], "url string"))
 
 
 def demo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,12 +108,19 @@ def datagen_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def datagen_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    generated = datagen_columns(_stream(spark, sf_dir, "orders"), "o_orderkey")
+    # The generator itself, up to the last order; the orders then say which ids are kept.
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey")
+    start, end = orders.agg(F.coalesce(F.min("o_orderkey"), F.lit(0)), F.coalesce(F.max("o_orderkey"), F.lit(0))).first()
     target = f"{_database(spark, 'datagen_stream')}.orders_stream"
+    generated = datagen_rows(spark, end - start + 1, start, end, replayable=True)
     stream_insert(
         generated, target, fresh_folder(spark, "datagen-checkpoint"), bounded=True
     ).awaitTermination()
-    return spark.table(target)
+    whole = F.date_trunc("MILLISECOND", F.col("order_time")) == F.col("order_time")
+    known = F.col("id") == F.col("o_orderkey")
+    return spark.table(target).join(orders, known, "left_semi").select(
+        "id", "item_id", "price", whole.alias("whole_ms")
+    )
 
 
 def cast_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,10 +226,22 @@ class _BrokenSupplier(ScaleCatalog):
 def materialize_with_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog, scale = _BrokenSupplier.at(spark, sf_dir)
     database = _database(spark, "with_failure")
-    results = jobs.materialize_catalog(
-        spark, catalog, scale, database, tables="orders,supplier,lineitem"
+    try:
+        jobs.materialize_catalog(
+            spark, catalog, scale, database, tables="orders,supplier,lineitem", raise_on_failure=True
+        )
+    except jobs.MaterializeError as failed:
+        return failed.results.select("table_name", "rows", "status")
+    raise AssertionError("a failed table must fail the job")
+
+
+def strict_csv_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog, scale = ScaleCatalog.at(spark, sf_dir)
+    database = _database(spark, "strict_csv")
+    jobs.materialize_catalog(
+        spark, catalog, scale, database, "documents", "csv", strict=True, raise_on_failure=True
     )
-    return results.select("table_name", "rows", "status")
+    return spark.table(f"{database}.documents")
 
 
 def multi_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,19 +288,12 @@ def inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(target)
 
 
-def _upserted(spark: SparkSession, sf_dir: str) -> KeyedTable:
+def _upserted(
+    spark: SparkSession, sf_dir: str, streams: int = 1, publish_every: int | None = None
+) -> KeyedTable:
     # The events again as files that make several micro-batches: no shuffle, and no file
     # holds more than its share of the rows.
     events = _table(spark, sf_dir, "events")
-    feed = fresh_folder(spark, "upsert-feed")
-    share = -(-events.count() // UPSERT_BATCHES)
-    events.write.option("maxRecordsPerFile", max(share, 1)).parquet(feed)
-    files_per_batch = -(-events.rdd.getNumPartitions() // UPSERT_BATCHES)
-    stream = (
-        spark.readStream.schema(events.schema)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(feed)
-    )
     table = KeyedTable.create_if_absent(
         spark,
         f"{_database(spark, 'keyed_upsert')}.events_by_user",
@@ -286,19 +301,33 @@ def _upserted(spark: SparkSession, sf_dir: str) -> KeyedTable:
         keys=["user_id"],
         path=fresh_folder(spark, "keyed"),
         order_by=["ts", "event_id"],
-        buckets=2,
+        buckets=int(spark.conf.get("spark.sql.shuffle.partitions")),
     )
-    checkpoint = fresh_folder(spark, "upsert-checkpoint")
-    stream_upsert(stream, table, checkpoint, bounded=True).awaitTermination()
+    for i in range(streams):
+        fed = events.filter(F.pmod("event_id", F.lit(streams)) == i)
+        feed = fresh_folder(spark, "upsert-feed")
+        share = -(-fed.count() // UPSERT_BATCHES)
+        fed.write.option("maxRecordsPerFile", max(share, 1)).parquet(feed)
+        files_per_batch = -(-events.rdd.getNumPartitions() // UPSERT_BATCHES)
+        stream = (
+            spark.readStream.schema(events.schema)
+            .option("maxFilesPerTrigger", files_per_batch)
+            .parquet(feed)
+        )
+        checkpoint = fresh_folder(spark, "upsert-checkpoint")
+        stream_upsert(
+            stream, table, checkpoint, bounded=True, publish_every=publish_every
+        ).awaitTermination()
     return table
 
 
 def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _upserted(spark, sf_dir).current()
+    return _upserted(spark, sf_dir, streams=2).current()
 
 
 def keyed_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = _upserted(spark, sf_dir)
+    # Published between the batches, so later ones are merged into a snapshot.
+    table = _upserted(spark, sf_dir, publish_every=2)
     table.publish()
     return spark.table(table.name)
 
@@ -327,6 +356,7 @@ QUERIES: dict[str, Query] = {
     "catalog_subset": catalog_subset,
     "materialize_summary": materialize_summary,
     "materialize_with_failure": materialize_with_failure,
+    "strict_csv_copy": strict_csv_copy,
     "materialize_totals": materialize_totals,
     "multi_format": multi_format,
     "table_location": table_location,

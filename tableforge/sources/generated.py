@@ -69,10 +69,8 @@ def datagen_stream(
         )
     else:
         reader = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second)
-    ids = reader.load().filter(F.col("value") <= end - start).select((F.col("value") + start).alias("id"))
+    # The highest id on offer, kept or not: past the end there are no rows left to see it by.
+    offered = reader.load().select((F.col("value") + start).alias("id"))
+    ids = offered.observe("sequence", F.max("id").alias("last_id")).filter(F.col("id") <= end)
     order_time = F.date_trunc("MILLISECOND", F.localtimestamp()).cast("timestamp_ntz")
-    return (
-        datagen_columns(ids)
-        .withColumn("order_time", order_time)
-        .observe("sequence", F.max("id").alias("last_id"))
-    )
+    return datagen_columns(ids).withColumn("order_time", order_time)

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from tableforge.operators.tables import literal, table_location
+from tableforge.workspace import folder_names
+
 # Fixed value: how often a running stream commits.
 COMMIT_INTERVAL = "30 seconds"
+_OWNER = "tableforge.stream"
 
 
 def trigger_options(bounded: bool, interval: str = COMMIT_INTERVAL) -> dict:
@@ -16,6 +20,39 @@ def trigger_options(bounded: bool, interval: str = COMMIT_INTERVAL) -> dict:
     return {"availableNow": True} if bounded else {"processingTime": interval}
 
 
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    try:
+        return folder_names(spark, folder)
+    except Exception as error:
+        if "FileNotFoundException" in str(error) or "does not exist" in str(error):
+            return []
+        raise
+
+
+def _claim(spark: SparkSession, table: str, checkpoint: str, columns: str) -> None:
+    """Make the table this checkpoint's, or raise if rows would be lost.
+
+    A folder written by a stream lists its files in a log with the stream's batch numbers: a second
+    stream's batches would count as written already, and files of a batch write are not listed.
+    """
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
+        f"TBLPROPERTIES ('{_OWNER}' = {literal(checkpoint)})"
+    )
+    found = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+    files = _names(spark, table_location(spark, table))
+    streamed = "_spark_metadata" in files
+    if found.get(_OWNER) != checkpoint:
+        if streamed or any(not f.startswith(("_", ".")) for f in files):
+            raise ValueError(
+                f"{table} holds rows of {found.get(_OWNER) or 'another writer'}: go on with that "
+                "checkpoint, or insert into a keyed table, which any number of streams may feed"
+            )
+        spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{_OWNER}' = {literal(checkpoint)})")
+    elif streamed and "metadata" not in _names(spark, checkpoint):
+        raise ValueError(f"{table} holds rows of a checkpoint that is no longer in {checkpoint}")
+
+
 def stream_insert(
     stream: DataFrame,
     table: str,
@@ -26,8 +63,11 @@ def stream_insert(
     """Append a stream to a table, each row exactly once across restarts.
 
     The table is created if absent. Give a restart the same checkpoint folder, which
-    must be one all machines share.
+    must be one all machines share. A plain table belongs to one checkpoint: another one, or a table
+    that a batch job has filled, is refused with a ``ValueError`` before anything is written.
     """
+    checkpoint = checkpoint.rstrip("/")
+    _claim(stream.sparkSession, table, checkpoint, stream.schema.toDDL())
     return (
         stream.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
@@ -41,7 +81,7 @@ def await_sequence_end(
 ) -> bool:
     """Wait until a generated stream has committed id ``end``, then stop it.
 
-    Returns False if the query ended or the time ran out before that.
+    A stream that was restarted after its last id is done with its next batch. Returns False if the query ended or the time ran out before that.
     """
     deadline = None if timeout is None else time.monotonic() + timeout
     while deadline is None or time.monotonic() < deadline:

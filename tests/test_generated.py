@@ -103,3 +103,15 @@ def test_waiting_gives_up_in_time(spark, database):
         assert not await_sequence_end(query, 1_000_000, timeout=1)
     finally:
         query.stop()
+
+
+def test_a_finished_sequence_ends_at_once(spark, database):
+    table, checkpoint = f"{database}.finished", fresh_folder(spark, "cp")
+    for _ in range(2):
+        stream = datagen_stream(spark, rows_per_second=200, end=100)
+        query = stream_insert(stream, table, checkpoint, interval="200 milliseconds")
+        try:
+            assert await_sequence_end(query, 100, timeout=60)
+        finally:
+            query.stop()
+    assert sorted(r.id for r in spark.table(table).select("id").collect()) == list(range(1, 101))

@@ -76,7 +76,8 @@ def keyed(spark, database):
 
     def make(order_by=(), name="t"):
         return KeyedTable.create_if_absent(
-            spark, f"{database}.{name}", schema, ["id"], fresh_folder(spark, "keyed"), order_by
+            spark, f"{database}.{name}", schema, ["id"], fresh_folder(spark, "keyed"), order_by,
+            buckets=2,
         )
 
     return make
@@ -92,7 +93,8 @@ def test_declared_once(keyed, spark):
     t = keyed(["score"])
     t.write_batch(_frame(spark, [(1, 1.0, "a")]), 0)
     again = KeyedTable.create_if_absent(
-        spark, t.name, spark.table(t.name).schema, ["id"], fresh_folder(spark, "other"), ["note"]
+        spark, t.name, spark.table(t.name).schema, ["id"], fresh_folder(spark, "other"), ["note"],
+        buckets=2,
     )
     assert again == t == KeyedTable.open(spark, t.name)
     assert again.current().count() == 1
@@ -102,7 +104,7 @@ def test_declaration_is_checked(keyed, spark, database):
     with pytest.raises(ValueError, match="nope"):
         keyed(["nope"])
     with pytest.raises(ValueError):
-        KeyedTable.create_if_absent(spark, f"{database}.x", _frame(spark, []).schema, [], "/nowhere")
+        KeyedTable.create_if_absent(spark, f"{database}.x", _frame(spark, []).schema, [], "/nowhere", buckets=2)
 
 
 def test_highest_order_wins_whenever_it_arrives(keyed, spark):
@@ -227,7 +229,7 @@ def test_trimming_the_log(keyed, spark):
     assert _rows(t.current()) == expected
     t.write_batch(_frame(spark, [(2, 1.0, "a"), (9, 2.0, "b")]), 2)  # a late replay
     assert _rows(t.current()) == expected
-    assert t.publish() == 3 and t.trim_log() == 2 and t.publish() == 3
+    assert t.publish() == 3 and t.trim_log() == 1 and t.publish() == 3  # publish has trimmed the replay
     assert _rows(t.current()) == expected
 
 
@@ -259,7 +261,8 @@ def test_awkward_column_names(spark, database):
     expected = [(1, 3, "y"), (2, 1, "z")]
     assert _rows(latest_by_key(df, ["a.b"], ["o p"])) == expected
     t = KeyedTable.create_if_absent(
-        spark, f"{database}.awkward", df.schema, ["a.b"], fresh_folder(spark, "keyed"), ["o p"]
+        spark, f"{database}.awkward", df.schema, ["a.b"], fresh_folder(spark, "keyed"), ["o p"],
+        buckets=2,
     )
     t.write_batch(df, 0)
     t.publish()
@@ -270,7 +273,8 @@ def test_awkward_column_names(spark, database):
 def test_a_column_named_location(spark, database):
     df = spark.createDataFrame([(1, "x")], "id bigint, Location string")
     t = KeyedTable.create_if_absent(
-        spark, f"{database}.loc", df.schema, ["id"], fresh_folder(spark, "keyed"), ["Location"]
+        spark, f"{database}.loc", df.schema, ["id"], fresh_folder(spark, "keyed"), ["Location"],
+        buckets=2,
     )
     t.write_batch(df, 0)
     assert t.publish() == 0 and _rows(t.current()) == [(1, "x")]
@@ -299,7 +303,7 @@ def events(spark, sf_dir):
 def _events_table(spark, database, events):
     return KeyedTable.create_if_absent(
         spark, f"{database}.by_user", events.schema, ["user_id"], fresh_folder(spark, "keyed"),
-        ["ts", "event_id"],
+        ["ts", "event_id"], buckets=2,
     )
 
 
@@ -374,3 +378,93 @@ def test_insert_after_a_failed_run(spark, database, events):
     stream_insert(source(False), target, checkpoint, bounded=True).awaitTermination(120)
     got = spark.table(target).select(events.columns)
     assert Counter(got.collect()) == Counter(events.collect())
+
+
+def test_two_streams_feed_one_table(spark, database):
+    df = spark.range(200).selectExpr("id", "cast(id as double) AS score", "'x' AS note")
+    t = KeyedTable.create_if_absent(
+        spark, f"{database}.two_streams", df.schema, ["id"], fresh_folder(spark, "keyed"), ["score"], buckets=2
+    )
+    for part, publish in ((0, True), (1, False)):
+        feed = fresh_folder(spark, "feed")
+        df.filter(f"id div 100 = {part}").coalesce(1).write.parquet(feed)
+        stream_upsert(
+            _stream(spark, feed, df.schema), t, fresh_folder(spark, "cp"), bounded=True
+        ).awaitTermination(60)
+        if publish:
+            assert t.publish() == 0
+        assert t.current().count() == 100 * (part + 1)
+    assert t.publish() == 0 and spark.table(t.name).count() == 200 == t.current().count()
+    assert t.publish() == 0 and t.vacuum() > 0 and t.current().count() == 200
+
+
+def test_two_unpublished_streams_and_a_replay(keyed, spark):
+    t = keyed(["score"])
+    t.write_batch(_frame(spark, [(1, 1.0, "a")]), 0, "one")
+    t.write_batch(_frame(spark, [(2, 1.0, "b")]), 0, "two")
+    t.write_batch(_frame(spark, [(2, 2.0, "c")]), 0, "two")
+    assert _rows(t.current()) == [(1, 1.0, "a"), (2, 2.0, "c")]
+    t.publish()
+    t.write_batch(_frame(spark, [(3, 1.0, "d")]), 0, "three")
+    t.write_batch(_frame(spark, [(9, 9.0, "late replay")]), 0, "one")
+    assert _rows(t.current()) == [(1, 1.0, "a"), (2, 2.0, "c"), (3, 1.0, "d")]
+    t.publish()
+    assert _rows(spark.table(t.name)) == [(1, 1.0, "a"), (2, 2.0, "c"), (3, 1.0, "d")]
+
+
+def test_without_an_order_a_second_stream_is_refused(keyed, spark):
+    t = keyed()
+    t.write_batch(_frame(spark, [(1, 1.0, "a")]), 0, "one")
+    with pytest.raises(ValueError, match="no order_by"):
+        t.write_batch(_frame(spark, [(2, 1.0, "b")]), 0, "two")
+    t.publish()
+    with pytest.raises(ValueError, match="no order_by"):
+        t.write_batch(_frame(spark, [(2, 1.0, "b")]), 0, "two")
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_a_task_writes_one_bucket(spark, database, adaptive):
+    import re
+
+    from tableforge.workspace import folder_names
+
+    t = KeyedTable.create_if_absent(
+        spark, f"{database}.seven_{adaptive}", _frame(spark, []).schema, ["id"], fresh_folder(spark, "keyed"),
+        ["score"], buckets=7,
+    )
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        for batch in range(2):
+            t.write_batch(_frame(spark, [(i, float(batch), "a") for i in range(500)]), batch)
+            t.publish()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    parts = [re.match(r"part-(\d+)-.*_(\d+)\.c000", n) for n in folder_names(spark, t._folder())]
+    files = [(m[1], m[2]) for m in parts if m]
+    assert len({bucket for _, bucket in files}) == 7
+    assert len({task for task, _ in files}) == len(files) <= 14
+    assert t.current().count() == 500
+
+
+def test_a_plain_table_belongs_to_one_checkpoint(spark, database):
+    target = f"{database}.one_checkpoint"
+    feed, schema = fresh_folder(spark, "feed"), spark.range(1).schema
+    spark.range(100).coalesce(1).write.parquet(feed)
+    first = fresh_folder(spark, "cp")
+    stream_insert(_stream(spark, feed, schema), target, first, bounded=True).awaitTermination(60)
+    with pytest.raises(ValueError, match="holds rows of"):
+        stream_insert(_stream(spark, feed, schema), target, fresh_folder(spark, "cp"), bounded=True)
+    spark.range(100, 200).coalesce(1).write.mode("append").parquet(feed)
+    stream_insert(_stream(spark, feed, schema), target, first, bounded=True).awaitTermination(60)
+    assert spark.table(target).count() == 200
+
+
+def test_a_filled_table_is_not_hidden_by_a_stream(spark, database):
+    spark.range(5).write.saveAsTable(f"{database}.filled")
+    feed = fresh_folder(spark, "feed")
+    spark.range(3).write.parquet(feed)
+    with pytest.raises(ValueError, match="another writer"):
+        stream_insert(
+            _stream(spark, feed, spark.range(1).schema), f"{database}.filled", fresh_folder(spark, "cp"), bounded=True
+        )
+    assert spark.table(f"{database}.filled").count() == 5

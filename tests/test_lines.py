@@ -179,15 +179,60 @@ def test_size_is_used_only_where_ranges_are_served(monkeypatch):
             return answer
 
         monkeypatch.setattr(lines.urllib.request, "urlopen", urlopen)
-        return lines.url_size("http://example.com/x")
+        return lines.url_extent("http://example.com/x")
 
-    assert answer_with(_Answer(Content_Length="12", Accept_Ranges="bytes")) == 12
+    assert answer_with(_Answer(Content_Length="12", Accept_Ranges="bytes")) == (12, None)
     assert answer_with(_Answer(Content_Length="12")) is None
     assert answer_with(_Answer(Accept_Ranges="bytes")) is None
     refused = lines.urllib.error.HTTPError("http://example.com/x", 405, "no HEAD", {}, None)
     assert answer_with(refused) is None
 
 
+def test_the_tag_is_a_strong_etag_or_a_date(monkeypatch):
+    def extent(**headers):
+        answer = _Answer(Content_Length="12", Accept_Ranges="bytes", **headers)
+        monkeypatch.setattr(lines.urllib.request, "urlopen", lambda request, timeout: answer)
+        return lines.url_extent("http://example.com/x")
+
+    assert extent(ETag='"a"', Last_Modified="Monday") == (12, '"a"')
+    assert extent(ETag='W/"a"', Last_Modified="Monday") == (12, "Monday")
+    assert extent(ETag='W/"a"') == (12, None)
+
+
+def test_a_resource_that_changes_between_its_pieces_fails_the_job(spark):
+    def opener(url, first, last, tag):
+        if first > 0 and tag == "old":
+            raise OSError("changed since it was measured")
+        return io.BytesIO(b"one\ntwo\n"[first:])
+
+    urls = spark.createDataFrame([("http://example.com/x",)], "url string")
+    same = fetch_lines(urls, opener=opener, size_of=lambda url: (8, "new"), piece_bytes=4)
+    assert sorted(r.value for r in same.collect()) == ["one", "two"]
+    with pytest.raises(Exception, match="changed since"):
+        fetch_lines(urls, opener=opener, size_of=lambda url: (8, "old"), piece_bytes=4).collect()
+
+
+def test_lone_carriage_returns_are_read_once_and_in_blocks():
+    data = b"".join(b"line %d\r" % i for i in range(200_000))
+
+    class Counted(io.BytesIO):
+        read_bytes = 0
+
+        def read(self, size=-1):
+            block = super().read(size)
+            self.read_bytes += len(block)
+            return block
+
+    total, got = 0, []
+    step = len(data) // 8 + 1
+    for start in range(0, len(data), step):
+        stream = Counted(data[max(start - 1, 0):])
+        got += _piece_lines(stream, start, min(start + step, len(data)), len(data))
+        total += stream.read_bytes
+    assert got == [f"line {i}" for i in range(200_000)]
+    assert total < len(data) + 8 * 2 * 64 * 1024
+
+
 def test_a_range_must_be_answered_with_a_range(monkeypatch):
     asked = []
 

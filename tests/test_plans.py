@@ -73,3 +73,21 @@ def test_latest_shuffles_once(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     plan = _plan(latest_by_key(events, ["user_id"], ["value", "event_id"]))
     assert plan.count("Exchange") == 1 and "Window" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["tokens", "word_count", "top_words", "distinct_words"])
+def test_registered_text_queries_leave_a_wide_scan_alone(spark, texts, tmp_path, name):
+    # Four partitions for eight cores: half as many.
+    texts.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1GB")
+    try:
+        assert "RoundRobin" not in _plan(QUERIES[name](spark, str(tmp_path)))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_later_batch_joins_the_snapshot(spark, sf_dir):
+    from tableforge.plans.queries import _upserted
+
+    table = _upserted(spark, sf_dir, publish_every=3)
+    assert "FullOuter" in _plan(table.current())

@@ -233,3 +233,33 @@ def test_relax_nullability_touches_no_row(spark):
     df = spark.createDataFrame([(1, "u", (2,))], REQUIRED)
     plan = relax_nullability(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE" not in plan.upper() and "Project" not in plan
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+@pytest.mark.parametrize("name", ["documents", "pages", "conversations", "events"])
+def test_strict_copies_equal_their_source(spark, database, sf_dir, fmt, name):
+    source = spark.read.parquet(f"{sf_dir.replace('sf0.01', 'sf0.001')}/{name}.parquet")
+    target = f"{database}.{name}_{fmt}"
+    assert create_strict(source, target, fmt) == source.count()
+    copy = spark.table(target)
+    assert copy.exceptAll(source).isEmpty() and source.exceptAll(copy).isEmpty()
+
+
+def test_a_failed_strict_copy_keeps_the_old_table(spark, database):
+    t = f"{database}.kept"
+    create_strict(demo_rows(spark, 5), t)
+    with pytest.raises(Exception):
+        create_strict(_failing(demo_rows(spark, 7)), t, drop_first=True)
+    assert spark.table(t).count() == 5
+
+
+def test_any_word_and_a_lone_null_survive_csv(spark, database):
+    from tableforge import save_table
+
+    words = [("\x00null\x00",), (None,), ("",), (" a ",), ('"',), ("null",), ("a\nb",)]
+    one = spark.createDataFrame(words, "w string")
+    assert save_table(one, f"{database}.one_column", "csv") == len(words)
+    assert set(spark.table(f"{database}.one_column").collect()) == set(one.collect())
+    two = one.selectExpr("w", "1 AS n")
+    save_table(two, f"{database}.two_columns", "csv")
+    assert set(spark.table(f"{database}.two_columns").collect()) == set(two.collect())
