@@ -52,15 +52,13 @@ def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
 def ordinary_strings(docs: DataFrame, text: str = "text", n: int = TRAIN_DOCS) -> DataFrame:
     """Samples of ordinary identifiers: runs of letters, digits, - and _ in ``n`` documents.
 
-    The documents with the smallest text hashes are taken. Runs that a pattern for secrets
+    The different texts with the smallest hashes are taken. Runs that a pattern for secrets
     would take, and those of 32 or more characters, are left out.
     """
-    sample = (
-        docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("order"))
-        .filter("text IS NOT NULL")
-        .orderBy("order", "text")
-        .limit(n)
-    )
+    hashed = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("order")).filter("text IS NOT NULL")
+    # The hashes alone are ranked, once each, so that no task gets many texts.
+    cut = hashed.select("order").distinct().orderBy("order").limit(n).agg(F.max("order").alias("cut")).first()["cut"]
+    sample = hashed.filter(F.col("order") <= F.lit(cut)).dropDuplicates(["order"])
     found = sample.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_-]{3,}"), F.lit(0))).alias("s"))
     plain = (F.length("s") < 32) & ~F.col("s").rlike("AKIA[A-Z0-9]{12}") & ~F.col("s").rlike("[0-9a-f]{24}")
     return found.filter(plain)
