@@ -10,7 +10,7 @@ from tableforge.llm.language import language_query
 from tableforge.llm.lines import LINE_SQL, line_digest
 from tableforge.llm.lm import lm_query
 from tableforge.llm.mixing import MIX_SQL, mix_digest
-from tableforge.llm.near import near_query
+from tableforge.llm.near import NEAR_SQL, near_query
 from tableforge.llm.pieces import pieces_query
 from tableforge.llm.quality import quality_query
 from tableforge.llm.search import TOP_SQL, top_k
@@ -37,5 +37,6 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": MIX_SQL,
     "op5_line_dedup": LINE_SQL,
+    "op6_near_dedup": NEAR_SQL,
     "op7_top_k": TOP_SQL,
 }

@@ -111,7 +111,7 @@ def top_k(
     ignored. Equal scores go to the smaller id. Vectors that are null, hold null or non-finite
     components or have no id take no part. A shorter vector is filled up with zeros, so an empty one scores 0.
     Repeated rows are candidates each; an id that occurs more than once asks once, with its
-    smallest vector. Scores are exact; one outside the range of a long is shown as the nearest long.
+    smallest vector. Scores are exact; one outside the range of a long counts as the nearest long.
     """
     rows = vectors.select(
         F.col(vec_id).cast("long").alias("id"), _whole_numbers(F.col(embedding), scale).alias("v")
@@ -147,11 +147,14 @@ def top_k(
             else:
                 low = high = np.zeros(0, np.int64)
             for i, own in enumerate(asked["id"].to_numpy()):
-                found, scores = max_score(postings, ids, low, high, wanted[:, i], own, k)
-                out += [
-                    (int(own), int(f), min(max(int(s), _LONG[0]), _LONG[1]))
-                    for f, s in zip(found, scores, strict=True)
-                ]
+                if exact:
+                    found, scores = max_score(postings, ids, low, high, wanted[:, i], own, k)
+                else:
+                    other = np.flatnonzero(ids != own)
+                    scores = np.array([min(max(int(s), _LONG[0]), _LONG[1]) for s in wanted[:, i] @ postings[:, other]])
+                    best = _best(scores, ids[other], k)
+                    found, scores = ids[other][best], scores[best]
+                out += [(int(own), int(f), int(s)) for f, s in zip(found, scores, strict=True)]
         columns = list(zip(*out, strict=True)) or [[], [], []]
         names = ("query_id", "vec_id", "score")
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns, strict=True)})
