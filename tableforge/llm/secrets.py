@@ -18,7 +18,7 @@ KINDS = ("assign", "access", "hex", "random")
 SYMBOLS = 128
 # A log ratio of 1.0 as a whole number, and the mean log ratio per character of a secret.
 UNIT = 1 << 16
-THRESHOLD = 1.0
+THRESHOLD = 0.5
 TRAIN_DOCS = 2000
 RANDOM_STRINGS = 4000
 _BLOCK = 256
@@ -64,10 +64,11 @@ def ordinary_strings(docs: DataFrame, text: str = "text", n: int = TRAIN_DOCS) -
     return found.filter(plain)
 
 
-def train(random: DataFrame, ordinary: DataFrame, prior: float = 0.5) -> np.ndarray:
+def train(random: DataFrame, ordinary: DataFrame, prior: float = 0.5, weight: float = 4.0) -> np.ndarray:
     """The log ratio of each character pair (a, b) at 128 * a + b, in units of 1/65536.
 
-    Each model has P(b | a) = (count(a, b) + prior) / (count(a) + 128 * prior).
+    Each model has P(b) = (count(b) + prior) / (count + 128 * prior) and
+    P(b | a) = (count(a, b) + weight * P(b)) / (count(a) + weight).
     """
     counts = (
         _pairs_of(random).withColumn("kind", F.lit(0))
@@ -75,11 +76,13 @@ def train(random: DataFrame, ordinary: DataFrame, prior: float = 0.5) -> np.ndar
         .groupBy("kind", "a", "b")
         .agg(F.count("*").alias("n"))
     )
-    table = np.full((2, SYMBOLS, SYMBOLS), prior)
+    table = np.zeros((2, SYMBOLS, SYMBOLS))
     # At most 2 * 128 * 128 rows, whatever the corpus.
     for row in counts.collect():
-        table[row["kind"], row["a"], row["b"]] += row["n"]
-    log = np.log(table / table.sum(axis=2, keepdims=True))
+        table[row["kind"], row["a"], row["b"]] = row["n"]
+    alone = table.sum(axis=1, keepdims=True) + prior
+    alone /= alone.sum(axis=2, keepdims=True)
+    log = np.log((table + weight * alone) / (table.sum(axis=2, keepdims=True) + weight))
     return np.rint((log[0] - log[1]) * UNIT).astype(np.int64).ravel()
 
 

@@ -144,7 +144,10 @@ def test_ratios_of_the_markov_models(spark):
     model = sec.train(*frames).reshape(128, 128)
     for a in (0, 97, 98, 122):
         for b in (97, 98, 99):
-            p = [(c[a, b] + 0.5) / (sum(n for (x, _), n in c.items() if x == a) + 64) for c in counts]
+            p = []
+            for c in counts:
+                alone = (sum(n for (_, y), n in c.items() if y == b) + 0.5) / (sum(c.values()) + 64)
+                p.append((c[a, b] + 4 * alone) / (sum(n for (x, _), n in c.items() if x == a) + 4))
             assert model[a, b] == round((math.log(p[0]) - math.log(p[1])) * sec.UNIT)
 
 
