@@ -34,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least"))
         large = (
-            both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+            both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v"))
         )
         # Small star: every smaller neighbour of a node, and the node, is tied to the smallest one.
         least = large.groupBy("u").agg(F.min("v").alias("least"))

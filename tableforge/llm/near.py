@@ -93,6 +93,35 @@ def _set_rows(words: int):
     return rows
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            shingles = np.frombuffer(data, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(shingles), i, np.int64)), pa.array(shingles)], ["id", "shingle"]
+            )
+
+
+def _lone_shingles(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """How many shingles of each of these documents none of the others has: ``of``, ``lone``."""
+    return (
+        sets.join(ids, F.col("id") == F.col("rep"), "left_semi")
+        .mapInArrow(_exploded, "id long, shingle long")
+        .groupBy("shingle")
+        .agg(F.count("*").alias("holders"), F.min("id").alias("of"))
+        .filter("holders = 1")
+        .groupBy("of")
+        .agg(F.count("*").alias("lone"))
+    )
+
+
+def _similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    at = np.searchsorted(one, two)
+    at[at == len(one)] = 0
+    both = int((one[at] == two).sum())
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
 def _comparer(percent: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, centres = None, []
@@ -105,13 +134,8 @@ def _comparer(percent: int):
                 if own:
                     centres.append(shingles)
                     continue
-                for other in centres:
-                    at = np.searchsorted(other, shingles)
-                    at[at == len(other)] = 0
-                    both = int((other[at] == shingles).sum())
-                    if 100 * both >= percent * (len(other) + len(shingles) - both):
-                        found.append((centre, member))
-                        break
+                if any(_similar(other, shingles, percent) for other in centres):
+                    found.append((centre, member))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"]
             )
@@ -143,6 +167,101 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _candidates(halves: int, percent: int):
+    names = ("rep", "n", "label", "lone")
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packs, members, partners = [], [], []
+            for row in batch.to_pylist():
+                sides = []
+                for side in (row["left"], row["right"]):
+                    columns = [np.array([m[c] for m in side], np.int64) for c in names]
+                    sides.append((*columns, np.array([m["halves"] for m in side], np.int64)))
+                (rep, n, label, lone, keys), (other, m, other_label, other_lone, other_keys) = sides
+                equal = keys[:, None, :] == other_keys[None, :, :]
+                # Each pair meets once, at the first key of the first collection that both have.
+                met = (equal[..., :halves].argmax(axis=2) == row["i"]) & equal[..., halves:].any(axis=2)
+                met &= label[:, None] != other_label[None, :]
+                shared = np.minimum.outer(n - lone, m - other_lone)
+                met &= (100 + percent) * shared >= percent * np.add.outer(n, m)
+                if row["same"]:
+                    met &= rep[:, None] < other[None, :]
+                for j in np.flatnonzero(met.any(axis=0)):
+                    packs.append(row["pack"])
+                    members.append(int(other[j]))
+                    partners.append(rep[met[:, j]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(packs, pa.int64()), pa.array(members, pa.int64()), pa.array(partners, pa.list_(pa.int64()))],
+                ["pack", "of", "partners"],
+            )
+
+    return candidates
+
+
+def _pack_comparer(percent: int):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = None, {}
+        for batch in batches:
+            found = []
+            for pack, member, partners, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if pack != held:
+                    held, known = pack, {}
+                shingles = np.frombuffer(data, np.uint64)
+                if partners is None:
+                    known.setdefault(member, []).append(shingles)
+                    continue
+                for partner in partners:
+                    if any(_similar(other, shingles, percent) for other in known[partner]):
+                        found.append((partner, member))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return compare
+
+
+def _linked_across(open_: DataFrame, sets: DataFrame, halves: int, percent: int) -> DataFrame:
+    """The links between documents of different labels: ``a``, ``b``.
+
+    Documents that agree on a key of the first collection are put in packs of about 64. Two packs
+    of one key meet in a row, which lists for each document of the second its possible partners in the first:
+    those that agree on a key of the second collection too and are not too different in size.
+    Then each such document's set goes once to the pack, where its partners' sets are. So of all pairs in a
+    large group, none becomes a row but the links.
+    """
+    rows = open_.select(
+        "rep", "n", "label", "lone", "halves", F.posexplode(F.slice("halves", 1, halves)).alias("i", "key")
+    )
+    parts = rows.groupBy("i", "key").agg(F.ceil(F.count("*") / 64).cast("int").alias("parts"), F.count("*").alias("of"))
+    packed = stored(
+        rows.join(parts.filter("of > 1").drop("of"), ["i", "key"])
+        .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        .groupBy("i", "key", "part")
+        .agg(F.collect_list(F.struct("rep", "n", "label", "lone", "halves")).alias("members"))
+        .withColumn("pack", F.xxhash64("i", "key", "part")),
+        "near-packs",
+    )
+    left = packed.select("i", "key", "pack", "part", F.col("members").alias("left"))
+    right = packed.select("i", "key", F.col("part").alias("other"), F.col("members").alias("right"))
+    met = stored(
+        left.join(right, ["i", "key"])
+        .filter("part <= other")
+        .select("i", "pack", (F.col("part") == F.col("other")).alias("same"), "left", "right")
+        .mapInArrow(_candidates(halves, percent), "pack long, of long, partners array<long>"),
+        "near-met",
+    )
+    used = met.select("pack").distinct()
+    own = packed.join(used, "pack", "left_semi").select(
+        "pack", F.explode("members.rep").alias("of"), F.lit(None).cast("array<bigint>").alias("partners")
+    )
+    return (
+        sets.join(met.union(own), F.col("id") == F.col("of"))
+        .select("pack", "of", "partners", "shingles")
+        .repartition("pack")
+        .sortWithinPartitions("pack", F.col("partners").isNotNull())
+        .mapInArrow(_pack_comparer(percent), "a long, b long")
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -161,9 +280,10 @@ def near_duplicates(
 
     In every table bucket the classes are compared with its smallest id, on their full sets. The
     links' components are formed, and in buckets that still hold several components, neighbours
-    in a hashed order and then all pairs of different components that sizes allow are compared. So
-    every pair that shares a bucket is linked, directly or through others, if it is similar
-    enough, while copies that are already together cost nothing more.
+    in a hashed order and then the other pairs of different components are compared, but
+    for those that cannot be similar enough: their sizes, less the shingles that none of the others
+    in such buckets has, bound what they share. So every pair that shares a bucket is linked, directly or
+    through others, if it is similar enough, while copies that are together cost nothing more.
 
     Returns ``doc_id``, ``n_shingles`` (long), ``component_id`` (the smallest id reachable) and ``kept``
     (whether that is the document's own). Other columns are ignored. A null or blank text has no
@@ -202,7 +322,6 @@ def near_duplicates(
         "near-sets",
     )
 
-    fits = f"100 * least({{0}}, {{1}}) >= {percent} * greatest({{0}}, {{1}})"
     # Ids that stand for several classes are one document.
     own = real.join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select("id", "rep").distinct()
     links = (
@@ -217,6 +336,7 @@ def near_duplicates(
     groups = components(links)
 
     def mixed_buckets() -> DataFrame:
+        """Members of buckets with several components."""
         labelled = buckets.join(groups, F.col("rep") == F.col("id"), "left").select(
             "key", "rep", "n", F.coalesce("component", "rep").alias("label")
         )
@@ -226,31 +346,39 @@ def near_duplicates(
         )
         return stored(labelled.join(several, "key"), "near-mixed")
 
+    # Two documents share at most what each of them has in common with any other.
+    common, other = "(n - lone)", "(m - other_lone)"
+    fits = f"label <> other_label AND {100 + percent} * least({common}, {other}) >= {percent} * (n + m)"
+
     def hashed_neighbours(left: DataFrame) -> DataFrame:
         order = Window.partitionBy("key").orderBy(F.xxhash64("key", "rep"), "rep")
         before = left.select(
-            "*", F.lag("rep").over(order).alias("other"), F.lag("n").over(order).alias("m"),
-            F.lag("label").over(order).alias("other_label"),
+            "*", F.lag("rep").over(order).alias("b"), F.lag("n").over(order).alias("m"),
+            F.lag("label").over(order).alias("other_label"), F.lag("lone").over(order).alias("other_lone"),
         )
-        return before.filter(f"label <> other_label AND {fits.format('n', 'm')}").select(
-            F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")
+        return before.filter(fits).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
+
+    lone = None
+    for last in (False, True):
+        left = mixed_buckets()
+        if lone is None:
+            lone = stored(_lone_shingles(sets, left.select("rep")), "near-lone")
+        # A document whose own shingles alone are too many can't be linked with any.
+        left = (
+            left.join(lone, F.col("rep") == F.col("of"), "left")
+            .select("key", "rep", "n", "label", F.coalesce("lone", F.lit(0)).alias("lone"))
+            .filter(f"100 * {common} >= {percent} * n")
         )
-
-    def across(left: DataFrame) -> DataFrame:
-        right = left.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-        return (
-            left.join(right, "key")
-            .filter(f"rep < b AND label <> other AND {fits.format('n', 'm')}")
-            .select(F.col("rep").alias("a"), "b")
-        )
-
-    for step in (hashed_neighbours, across):
-        pairs = stored(step(mixed_buckets()).distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        if pairs.isEmpty():
-            continue
-        tried = tried.union(pairs)
-        links = links.union(stored(_confirmed(pairs, sets, percent), "near-links"))
-        groups = components(links)
+        if last:
+            open_ = left.select("rep", "n", "label", "lone").distinct()
+            found = _linked_across(open_.join(classes.select("rep", "halves"), "rep"), sets, halves, percent)
+        else:
+            pairs = hashed_neighbours(left).distinct().join(tried, ["a", "b"], "left_anti")
+            found = _confirmed(stored(pairs, "near-pairs"), sets, percent)
+        found = stored(found, "near-links")
+        if not found.isEmpty():
+            links = links.union(found)
+            groups = components(links)
 
     named = (
         classes.join(groups, F.col("rep") == F.col("id"), "left")
