@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -75,21 +76,23 @@ class Segmenter:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.memo: dict[str, tuple[tuple[int, ...], int]] = {}
+        self.ids: dict[str, list[int]] = {}
+        self.scores: dict[str, int] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """A short text merged: the neighbours with the best joint score first, the leftmost on a tie."""
         parts, scores = list(text), self.v.scores
-        while len(parts) > 1:
-            top, at = None, -1
-            for i in range(len(parts) - 1):
-                score = scores.get(parts[i] + parts[i + 1])
-                if score is not None and (top is None or score > top):
-                    top, at = score, i
-            if top is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        # The joint score of every two neighbours; a merge changes two of them.
+        joint = [scores.get(a + b, NEVER) for a, b in pairwise(parts)]
+        while joint and (top := max(joint)) != NEVER:
+            i = joint.index(top)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del joint[i]
+            if i < len(joint):
+                joint[i] = scores.get(parts[i] + parts[i + 1], NEVER)
+            if i:
+                joint[i - 1] = scores.get(parts[i - 1] + parts[i], NEVER)
         return parts
 
     def apart(self, left: str, right: str) -> bool:
@@ -142,31 +145,31 @@ class Segmenter:
             end -= size
         return [i for part in reversed(parts) for i in part], end
 
-    def unit(self, text: str) -> tuple[tuple[int, ...], int]:
-        found = self.memo.get(text)
-        if found is None:
+    def units(self, texts: list[str]) -> tuple[list[int], int]:
+        """The pieces of some units, which stand for themselves; each different one is cut once."""
+        new = set(texts).difference(self.ids)
+        if len(self.ids) + len(new) > _REMEMBERED:
+            self.ids.clear()
+            self.scores.clear()
+            new = set(texts)
+        for text in new:
             if len(text) <= _SHORT:
                 parts = self.merged(text)
-                ids = tuple(i for p in parts for i in self.ids_of(p))
-                found = ids, sum(self.v.scores.get(p, 0) for p in parts)
+                found = list(map(self.v.ids.get, parts))
+                if None in found:
+                    found = [i for p in parts for i in self.ids_of(p)]
+                self.ids[text] = found
+                self.scores[text] = sum([self.v.scores.get(p, 0) for p in parts])
             else:
                 sizes, best = [0], [0]
                 self.forward(text, sizes, best)
-                return tuple(self.back(text, sizes, len(text), 0)[0]), best[-1]
-            if len(self.memo) >= _REMEMBERED:
-                self.memo.clear()
-            self.memo[text] = found
-        return found
+                self.ids[text] = self.back(text, sizes, len(text), 0)[0]
+                self.scores[text] = best[-1]
+        found = list(chain.from_iterable(map(self.ids.__getitem__, texts)))
+        return found, sum(map(self.scores.__getitem__, texts))
 
     def encode(self, text: str) -> tuple[list[int], int]:
-        ids: list[int] = []
-        total = 0
-        if text:
-            for unit in _UNIT.findall(" " + text):
-                found, score = self.unit(unit)
-                ids += found
-                total += score
-        return ids, total
+        return self.units(_UNIT.findall(" " + text)) if text else ([], 0)
 
 
 # ---- the scan over the chunks of a giant document -----------------------------------------
@@ -227,19 +230,31 @@ def trace(seg: Segmenter, text: str, lead: int, before: list[int]) -> tuple[list
     for (distance, size), score in zip(states(seg, text, lead), before, strict=True):
         if score > NEVER // 2:
             sizes[lead - distance], best[lead - distance] = size, score
-    seg.forward(text, sizes, best)
-    _, last = _unit_cuts(text, lead, seg.v.longest)
-    common, entry = ([], -1) if last is None else seg.back(text, sizes, last, lead)
+    first, last = _unit_cuts(text, lead, seg.v.longest)
+    common: list[int] = []
+    entry, score = -1, 0
+    if first is None:
+        seg.forward(text, sizes, best)
+    else:
+        # All ways meet at the first cut; from there to the last one the units stand for themselves.
+        seg.forward(text[:first], sizes, best)
+        common, cut = seg.back(text, sizes, first, lead)
+        entry, score = lead - cut, best[first]
+        ids, more = seg.units(_UNIT.findall(text[first:last]))
+        common += ids
+        score += more
+        text = text[last:]
+        sizes, best = _run(seg, text, 0, 0)
     tails, entries = [], []
-    for q in range(min(seg.v.longest, len(text) - lead)):
+    for q in range(min(seg.v.longest, len(text) - (lead if first is None else 0))):
         if sizes[len(text) - q] is None:
             tails.append([])
             entries.append(-1)
             continue
-        ids, cut = seg.back(text, sizes, len(text) - q, lead if last is None else last)
+        ids, cut = seg.back(text, sizes, len(text) - q, lead if first is None else 0)
         tails.append(ids)
-        entries.append(lead - (cut if last is None else entry))
-    return common, tails, entries, best[len(text)]
+        entries.append(lead - cut if first is None else entry)
+    return common, tails, entries, score + best[len(text)]
 
 
 def transfer(seg: Segmenter, text: str, lead: int) -> np.ndarray:
@@ -253,7 +268,7 @@ def transfer(seg: Segmenter, text: str, lead: int) -> np.ndarray:
     first, last = _unit_cuts(text, lead, seg.v.longest)
     stop, base = (len(text), 0) if first is None else (first, last)
     if first is not None:
-        middle = sum(seg.unit(u)[1] for u in _UNIT.findall(text[first:last]))
+        middle = seg.units(_UNIT.findall(text[first:last]))[1]
         tail = _run(seg, text[last:], 0, 0)
     for i, (distance, size) in enumerate(starts):
         sizes, best = _run(seg, text[:stop], lead - distance, size)
