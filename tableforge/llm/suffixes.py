@@ -15,8 +15,8 @@ from tableforge.llm.texts import stored
 LENGTH = 100
 # Bytes of an anchor string; every window of LENGTH bytes has one.
 ANCHOR = 24
-FLUSH = 1 << 22
-SORT_BYTES = 1 << 22
+FLUSH = 1 << 20
+SORT_BYTES = 1 << 21
 # Contexts of one anchor that are sorted together; with more, windows are dealt out singly.
 CROWD = 4096
 # An anchor with more than this share of a sample's contexts is dealt out singly from the start.
