@@ -74,9 +74,11 @@ class LanguageModel:
         return total / n if n else None
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        z = self.logits(text) if text is not None and self.langs else None
+        z = self.logits(text) if text is not None else None
         if z is None:
             return UNKNOWN, 0.0, False
+        if not self.langs:  # nothing was learnt that could speak against a text
+            return UNKNOWN, 0.0, True
         p = _softmax(z / self.temperature)
         best = int(np.argmax(p))
         return self.langs[best], float(p[best]), bool(p[best] >= self.floor)
@@ -192,7 +194,7 @@ def detect(
     """``docs`` with ``label``, a struct of lang_pred, score and accepted; no shuffle.
 
     lang_pred is ``und``, with score 0 and not accepted, for a text that is null or has no
-    letter. Else it is the language with the highest probability, the first by name on a tie.
+    letter. A model without languages calls all others ``und`` too, but accepts them. Else it is the language with the highest probability, the first by name on a tie.
     The whole text is read, in bounded pieces. Every row is judged by its text alone.
     """
 

@@ -82,6 +82,7 @@ def test_language_of_nothing(spark):
     assert lang.language_query(empty).collect() == [] and lang.accepted_documents(empty).collect() == []
     unlabelled = table(spark, [(1, "text", None, "a")])
     assert lang.language_query(unlabelled).collect()[0].lang_pred == "und"
+    assert lang.accepted_documents(unlabelled).count() == 1
 
 
 def _brute_scores(rows, order, least):
