@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, pairwise
@@ -41,6 +42,20 @@ class Vocabulary:
         self.bytes_of |= {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
         if any(" " in piece.lstrip(" ") for piece in self.ids):
             raise ValueError("a piece with a blank after another character")
+        # What two neighbours merge into, by their ids: the better the score, the smaller the number.
+        self.base = 1 + max([*self.ids.values(), *self.byte_ids])
+        order = {score: i for i, score in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        self.joint = {}
+        for piece, i in self.ids.items():
+            for cut in range(1, len(piece)):
+                left, right = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
+                if left is not None and right is not None:
+                    self.joint[left * self.base + right] = order[self.scores[piece]] * self.base + i
+        count = Counter(self.scores.values())
+        self.tied = {i for piece, i in self.ids.items() if count[self.scores[piece]] > 1}
+        self.score_of = np.zeros(self.base, np.int64)
+        for piece, i in self.ids.items():
+            self.score_of[i] = self.scores[piece]
 
 
 def load_vocabulary(path: str) -> Vocabulary:
@@ -77,7 +92,6 @@ class Segmenter:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.ids: dict[str, list[int]] = {}
-        self.scores: dict[str, int] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -145,31 +159,46 @@ class Segmenter:
             end -= size
         return [i for part in reversed(parts) for i in part], end
 
-    def units(self, texts: list[str]) -> tuple[list[int], int]:
+    def merged_ids(self, text: str) -> list[int]:
+        """The ids of a short text merged, as ``merged`` does it."""
+        ids, joint, base = self.v.ids, self.v.joint, self.v.base
+        parts = list(map(ids.get, text))
+        if None not in parts:
+            never = base * base
+            pairs = [joint.get(a * base + b, never) for a, b in pairwise(parts)]
+            while pairs and (top := min(pairs)) != never:
+                new = top % base
+                if new in self.v.tied:
+                    break
+                i = pairs.index(top)
+                parts[i : i + 2] = [new]
+                del pairs[i]
+                if i < len(pairs):
+                    pairs[i] = joint.get(new * base + parts[i + 1], never)
+                if i:
+                    pairs[i - 1] = joint.get(parts[i - 1] * base + new, never)
+            else:
+                return parts
+        # A character without a piece, or pieces with equal scores, of which the leftmost goes first.
+        return [i for p in self.merged(text) for i in self.ids_of(p)]
+
+    def units(self, texts: list[str]) -> list[int]:
         """The pieces of some units, which stand for themselves; each different one is cut once."""
         new = set(texts).difference(self.ids)
         if len(self.ids) + len(new) > _REMEMBERED:
             self.ids.clear()
-            self.scores.clear()
             new = set(texts)
         for text in new:
             if len(text) <= _SHORT:
-                parts = self.merged(text)
-                found = list(map(self.v.ids.get, parts))
-                if None in found:
-                    found = [i for p in parts for i in self.ids_of(p)]
-                self.ids[text] = found
-                self.scores[text] = sum([self.v.scores.get(p, 0) for p in parts])
+                self.ids[text] = self.merged_ids(text)
             else:
                 sizes, best = [0], [0]
                 self.forward(text, sizes, best)
                 self.ids[text] = self.back(text, sizes, len(text), 0)[0]
-                self.scores[text] = best[-1]
-        found = list(chain.from_iterable(map(self.ids.__getitem__, texts)))
-        return found, sum(map(self.scores.__getitem__, texts))
+        return list(chain.from_iterable(map(self.ids.__getitem__, texts)))
 
-    def encode(self, text: str) -> tuple[list[int], int]:
-        return self.units(_UNIT.findall(" " + text)) if text else ([], 0)
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.units(_UNIT.findall(" " + text)) if text else [], np.int32)
 
 
 # ---- the scan over the chunks of a giant document -----------------------------------------
@@ -240,9 +269,9 @@ def trace(seg: Segmenter, text: str, lead: int, before: list[int]) -> tuple[list
         seg.forward(text[:first], sizes, best)
         common, cut = seg.back(text, sizes, first, lead)
         entry, score = lead - cut, best[first]
-        ids, more = seg.units(_UNIT.findall(text[first:last]))
+        ids = seg.units(_UNIT.findall(text[first:last]))
         common += ids
-        score += more
+        score += int(seg.v.score_of[ids].sum())
         text = text[last:]
         sizes, best = _run(seg, text, 0, 0)
     tails, entries = [], []
@@ -268,7 +297,7 @@ def transfer(seg: Segmenter, text: str, lead: int) -> np.ndarray:
     first, last = _unit_cuts(text, lead, seg.v.longest)
     stop, base = (len(text), 0) if first is None else (first, last)
     if first is not None:
-        middle = seg.units(_UNIT.findall(text[first:last]))[1]
+        middle = int(seg.v.score_of[seg.units(_UNIT.findall(text[first:last]))].sum())
         tail = _run(seg, text[last:], 0, 0)
     for i, (distance, size) in enumerate(starts):
         sizes, best = _run(seg, text[:stop], lead - distance, size)
@@ -312,8 +341,9 @@ def _direct(vocabulary: Vocabulary):
             rows = []
             for value in batch.column(1):
                 text = value.as_py() or ""
-                ids, score = seg.encode(text)
-                rows.append((np.array(ids, np.int32), score, decode_ids(ids, vocabulary) == text))
+                ids = seg.encode(text)
+                score = int(vocabulary.score_of[ids].sum())
+                rows.append((ids, score, decode_ids(ids.tolist(), vocabulary) == text))
             yield _encoded(batch.column(0), rows)
 
     return encode
