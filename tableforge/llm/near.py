@@ -149,7 +149,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Each b goes to its a, whose set is there once for every 256 partners: a centre of any
     size is spread over tasks, and one set at a time is held against it.
     """
-    fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / _FAN).cast("int").alias("fans"))
+    fans = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / _FAN).cast("int").alias("fans")), "near-fans")
     to_centre = pairs.join(fans, "a").select(
         F.col("b").alias("of"), F.col("a").alias("centre"),
         F.pmod(F.xxhash64("b"), F.col("fans")).cast("int").alias("salt"), F.lit(False).alias("own"),
@@ -308,10 +308,13 @@ def near_duplicates(
     key = f"""transform(sequence(0, {halves * halves - 1}),
         k -> xxhash64(k, halves[k div {halves}], halves[{halves} + k % {halves}]))"""
     keys = classes.select(F.expr(f"explode({key})").alias("key"), "rep", "n")
-    full = (
+    # Written, as every table joined back to many rows of a key: a large partition of a join of two
+    # plain shuffles is split at run time.
+    full = stored(
         keys.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most"))
         .filter("least <> most")
-        .select("key", "least")
+        .select("key", "least"),
+        "near-full",
     )
     buckets = stored(keys.join(full, "key"), "near-buckets")
     members = buckets.select("rep").distinct()
