@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableforge.llm.texts import UPPER, ascii_lower, lines_of, stripped, wide_hash
+from tableforge.llm.texts import UPPER, ascii_lower, lines_of, stored, stripped, wide_hash
 
 
 def dedup_lines(
@@ -48,11 +48,14 @@ def dedup_lines(
     )
     # Counted in two steps, first by line and document, so that a line of all documents is
     # spread over the tasks by its documents and arrives as one row per task.
-    shared = (
+    # Written, so that the join below is one of two plain shuffles: a partition that holds the
+    # many rows of such a line is then split at run time.
+    shared = stored(
         lines.groupBy("h1", "h2")
         .agg(F.count_distinct(F.struct("id")).alias("docs"), F.max(F.struct("id")).alias("last"))
         .filter(F.col("docs") >= min_docs)
-        .select("h1", "h2", F.col("last.id").alias("last"))
+        .select("h1", "h2", F.col("last.id").alias("last")),
+        "shared-lines",
     )
     dropped = (
         lines.join(shared, ["h1", "h2"])
