@@ -365,7 +365,12 @@ def near_duplicates(
     for last in (False, True):
         left = mixed_buckets()
         if lone is None:
-            lone = stored(_lone_shingles(sets, left.select("rep")), "near-lone")
+            # An id of several sets has no one size that its lone shingles could be taken from.
+            several = classes.groupBy("rep").agg(F.count("*").alias("sets")).filter("sets > 1")
+            lone = stored(
+                _lone_shingles(sets, left.select("rep")).join(several, F.col("of") == F.col("rep"), "left_anti"),
+                "near-lone",
+            )
         # A document whose own shingles alone are too many can't be linked with any.
         left = (
             left.join(lone, F.col("rep") == F.col("of"), "left")

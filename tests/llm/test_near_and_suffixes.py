@@ -62,6 +62,8 @@ def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(6)
     rows = awkward() + _copies(rng, 12, 6, 100) + _copies(rng, 1, 80, 300)
     rows += [(500 + i, rows[-1][1], "en", "a") for i in range(30)]
+    # One id with two texts, which ties together what each of them is like.
+    rows += [(150, rows[-80][1], "en", "a"), (150, rows[-31][1] + " and two", "en", "a")]
     df = table(spark, rows).repartition(6)
     columns = ("doc_id", "n_shingles", "component_id", "kept")
     for n in (2, 5):
