@@ -16,6 +16,8 @@ HALVES = 12
 DEPTH = 3
 PERCENT = 80
 _FAN = 256
+# Documents compared with each other at a time: larger packs send each set to fewer of them.
+_PACK = 256
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -222,7 +224,7 @@ def _pack_comparer(percent: int):
 def _linked_across(open_: DataFrame, sets: DataFrame, halves: int, percent: int) -> DataFrame:
     """The links between documents of different labels: ``a``, ``b``.
 
-    Documents that agree on a key of the first collection are put in packs of about 64. Two packs
+    Documents that agree on a key of the first collection are put in packs of about 256. Two packs
     of one key meet in a row, which lists for each document of the second its possible partners in the first:
     those that agree on a key of the second collection too and are not too different in size.
     Then each such document's set goes once to the pack, where its partners' sets are. So of all pairs in a
@@ -231,7 +233,7 @@ def _linked_across(open_: DataFrame, sets: DataFrame, halves: int, percent: int)
     rows = open_.select(
         "rep", "n", "label", "lone", "halves", F.posexplode(F.slice("halves", 1, halves)).alias("i", "key")
     )
-    parts = rows.groupBy("i", "key").agg(F.ceil(F.count("*") / 64).cast("int").alias("parts"), F.count("*").alias("of"))
+    parts = rows.groupBy("i", "key").agg(F.ceil(F.count("*") / _PACK).cast("int").alias("parts"), F.count("*").alias("of"))
     packed = stored(
         rows.join(parts.filter("of > 1").drop("of"), ["i", "key"])
         .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
