@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import pairwise
+from itertools import chain, pairwise
 from uuid import uuid4
 
 import numpy as np
@@ -34,6 +34,8 @@ _LONG_BLANK = re.compile(r"\s{1000}")
 # and a blank after another character always starts a new piece of the other one.
 _CUT_A = re.compile(r"(?<=[A-Za-z0-9])(?=[\t\n\r -/:-@\[-`{-~])")
 _CUT_B = re.compile(r"(?<=[^ ])(?= )")
+_UNIT = re.compile(" +[^ ]*")
+_REMEMBERED = 300_000
 
 
 # ---- the two tokenizers ---------------------------------------------------------------------
@@ -88,6 +90,7 @@ class Encoders:
             raise ValueError("a piece with a blank after another character")
         self.bytes_b = self._table(pieces)
         self.blank = [i for i, piece in pieces.items() if piece == b" " and not self.model.is_byte(i)][:1]
+        self.units = {" ": self.blank}
         self.len_a = np.array([len(t) for t in self.bytes_a], np.int64)
         self.len_b = np.array([len(t) for t in self.bytes_b], np.int64)
         # Ids in decimal, each followed by "," (0), "|" (1), ";" (2).
@@ -104,15 +107,24 @@ class Encoders:
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
 
     def encode_b(self, texts: list[str]) -> list[list[int]]:
-        """Pieces of texts that begin with the blank which the model adds."""
-        found = self.model.encode([t[1:] for t in texts], num_threads=1)
-        return [ids if len(t) > 1 else self.blank[: len(t)] for t, ids in zip(texts, found, strict=True)]
+        """Pieces of texts that begin with the blank which the model adds.
+
+        Blanks and what follows them stand for themselves, so the model cuts each different unit once.
+        """
+        split = [_UNIT.findall(t) for t in texts]
+        new = list(set(chain.from_iterable(split)).difference(self.units))
+        if len(self.units) + len(new) > _REMEMBERED:
+            self.units = {" ": self.blank}
+            new = list(set(chain.from_iterable(split)).difference(self.units))
+        # The model puts the first blank there itself.
+        self.units.update(zip(new, self.model.encode([u[1:] for u in new], num_threads=1), strict=True))
+        return [list(chain.from_iterable(map(self.units.__getitem__, s))) for s in split]
 
     def whole(self, a: np.ndarray, b: list[int], data_a: bytes, data_b: bytes) -> bool:
         """Whether the tokens' bytes joined are the text."""
         return (
             b"".join(map(self.bytes_b.__getitem__, b)) == data_b
-            and b"".join(map(self.bytes_a.__getitem__, a.tolist())) == data_a
+            and self.fast.decode_bytes(a.tolist()) == data_a
         )
 
 
