@@ -104,7 +104,7 @@ class Encoders:
     def encode_a(self, text: str) -> np.ndarray:
         if _LONG_BLANK.search(text):
             return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.int64)
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+        return np.array(self.fast.encode_ordinary(text), np.int64)
 
     def encode_b(self, texts: list[str]) -> list[list[int]]:
         """Pieces of texts that begin with the blank which the model adds.
