@@ -12,14 +12,17 @@ from tableforge.functions.columns import (
     to_money,
 )
 from tableforge.functions.nullability import relax_nullability
+from tableforge.operators.contents import Contents, contents
 from tableforge.operators.latest import latest_by_key, write_keyed
 from tableforge.operators.tables import (
+    create_checked,
     create_strict,
     ctas,
     drop_table,
     ensure_database,
     read_csv,
     register_external,
+    save_checked,
     save_table,
     show_tables,
     table_location,
@@ -37,6 +40,7 @@ from tableforge.plans.jobs import (
     word_count_job,
     write_formats,
 )
+from tableforge.plans.journal import Journal
 from tableforge.settings import recommended_conf
 from tableforge.sources.catalogs import NamedCatalog, ScaleCatalog
 from tableforge.sources.generated import (
@@ -46,19 +50,25 @@ from tableforge.sources.generated import (
     demo_columns,
     demo_rows,
 )
+from tableforge.sources.sequences import SequenceSource, register_sequence
 from tableforge.sources.lines import fetch_lines, lines_from_values, read_lines, spread
 from tableforge.streaming.inserts import await_sequence_end, stream_insert
 from tableforge.streaming.keyed import KeyedTable, stream_upsert
 
 __all__ = [
+    "Contents",
+    "Journal",
     "KeyedTable",
     "MaterializeError",
     "NamedCatalog",
     "ScaleCatalog",
+    "SequenceSource",
     "any_like",
     "await_sequence_end",
     "bounded_decimal",
     "bounded_int",
+    "contents",
+    "create_checked",
     "create_strict",
     "ctas",
     "datagen_batch",
@@ -78,7 +88,9 @@ __all__ = [
     "read_lines",
     "recommended_conf",
     "register_external",
+    "register_sequence",
     "relax_nullability",
+    "save_checked",
     "save_table",
     "select_tables",
     "show_tables",

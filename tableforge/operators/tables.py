@@ -12,12 +12,13 @@ import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tableforge.functions.columns import quoted
-from tableforge.workspace import delete_folder, folder_names
+from tableforge.operators.contents import CONTENT, ROWS, Contents, Written
+from tableforge.workspace import delete_folder, file_sizes, folder_names, join_files, replace_folder
 
 UNKNOWN_LOCATION = "<unknown>"
 LOCATION_PATTERN = "^[A-Za-z][A-Za-z0-9+.-]*:/"
@@ -54,14 +55,6 @@ def _options(fmt: str, columns: int, given: Mapping[str, str]) -> tuple[dict[str
     return {**common, **(mark if columns == 1 else {})}, {**common, **mark}
 
 
-def landed_rows(landed: DataFrame, table: str, written: int) -> int:
-    """The number of rows that landed, which must be the number written."""
-    found = landed.count()
-    if found != written:
-        raise RuntimeError(f"{table}: wrote {written} rows but read back {found}")
-    return found
-
-
 def literal(text: str) -> str:
     """A SQL string literal."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -164,26 +157,40 @@ def save_table(
     Rows are counted on their way out and again in the written files. Should the two
     differ, the table is left as it was.
     """
+    return save_checked(df, table, fmt, options, ROWS).rows
+
+
+def save_checked(
+    df: DataFrame,
+    table: str,
+    fmt: str = "parquet",
+    options: Mapping[str, str] | None = None,
+    check: str = CONTENT,
+) -> Contents:
+    """``save_table`` with a comparison of every cell; returns rows and fingerprint of what landed.
+
+    The fingerprint is taken while the rows are written and again from the written files, which
+    reads them once more. Should the two differ, the table is left as it was.
+    """
     if not in_session_catalog(table):
         raise ValueError(f"{table} is in a catalog of its own: use create_strict")
     spark, fmt = df.sparkSession, fmt.lower()
-    folder, reading, landed = _write_folder(df, table, fmt, options or {})
+    folder, reading, landed = _write_folder(df, table, fmt, options or {}, check)
     point_table(spark, table, folder, fmt, df.schema, reading)
     return landed
 
 
 def _write_folder(
-    df: DataFrame, table: str, fmt: str, options: Mapping[str, str]
-) -> tuple[str, dict[str, str], int]:
-    """Write a fresh folder for a table and count what landed: folder, reading options, rows."""
+    df: DataFrame, table: str, fmt: str, options: Mapping[str, str], check: str = ROWS
+) -> tuple[str, dict[str, str], Contents]:
+    """Write a fresh folder for a table and check what landed: folder, reading options, contents."""
     spark = df.sparkSession
     writing, reading = _options(fmt, len(df.columns), options)
     folder = fresh_table_folder(spark, table)
-    written = Observation()
-    counted = df.observe(written, F.count(F.lit(1)).alias("rows"))
-    counted.write.format(fmt).options(**writing).save(folder)
+    written = Written(df, check)
+    written.df.write.format(fmt).options(**writing).save(folder)
     landed = spark.read.format(fmt).schema(df.schema).options(**reading).load(folder)
-    return folder, reading, landed_rows(landed, table, written.get["rows"])
+    return folder, reading, written.matched(landed, table)
 
 
 def vacuum(spark: SparkSession, table: str) -> int:
@@ -214,7 +221,17 @@ def ctas(spark: SparkSession, table: str, query: str, fmt: str = "parquet") -> i
 def create_strict(df: DataFrame, table: str, fmt: str = "parquet", drop_first: bool = False) -> int:
     """Create a table that must not exist yet, in any catalog; returns the rows that landed.
 
-    ``drop_first`` replaces one that exists. Rows are counted on their way out and again in the
+    See ``create_checked``; here rows are counted only.
+    """
+    return create_checked(df, table, fmt, drop_first, ROWS).rows
+
+
+def create_checked(
+    df: DataFrame, table: str, fmt: str = "parquet", drop_first: bool = False, check: str = CONTENT
+) -> Contents:
+    """Create a table that must not exist yet, in any catalog; returns what landed.
+
+    ``drop_first`` replaces one that exists. Rows are checked on their way out and again in the
     table; a difference raises. In the built-in catalog the files are written and counted
     first, with the same options as in ``save_table``, so a failure leaves an old table as it
     was. Another catalog replaces its table in one commit if it can; one that cannot has the
@@ -226,14 +243,14 @@ def create_strict(df: DataFrame, table: str, fmt: str = "parquet", drop_first: b
         if exists and not drop_first:
             # Fails with the catalog's own error, before anything is written.
             spark.catalog.createTable(table, source=fmt, schema=df.schema)
-        folder, reading, landed = _write_folder(df, table, fmt, {})
+        folder, reading, landed = _write_folder(df, table, fmt, {}, check)
         if drop_first:
             point_table(spark, table, folder, fmt, df.schema, reading)
         else:
             spark.catalog.createTable(table, path=folder, source=fmt, schema=df.schema, **reading)
         return landed
-    written = Observation()
-    writer = df.observe(written, F.count(F.lit(1)).alias("rows")).writeTo(table).using(fmt)
+    written = Written(df, check)
+    writer = written.df.writeTo(table).using(fmt)
     if not drop_first:
         writer.create()
     else:
@@ -244,7 +261,7 @@ def create_strict(df: DataFrame, table: str, fmt: str = "parquet", drop_first: b
                 raise
             drop_table(spark, table)
             writer.create()
-    return landed_rows(spark.table(table), table, written.get["rows"])
+    return written.matched(spark.table(table), table)
 
 
 def register_external(
@@ -292,16 +309,39 @@ def write_csv(
 ) -> None:
     """Overwrite a CSV folder with a header, in the given order.
 
-    All tasks write files that follow each other in that order. ``single_file`` makes one
-    task sort and write the whole result; leave it off for anything big.
+    All tasks write files that follow each other in that order. ``single_file`` joins them into one file with
+    one header: the tasks still sort and write their own ranges, and the files are put together
+    afterwards, without reading rows. The old folder stays until the new file is whole.
     """
-    if single_file:
-        # Sorted where it is written: coalescing a sorted frame may mix its partitions up.
-        out = df.repartition(1)
-        out = out.sortWithinPartitions(*order_by) if order_by else out
-    else:
-        out = df.orderBy(*order_by) if order_by else df
-    out.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+    out = df.orderBy(*order_by) if order_by else df
+    if not single_file:
+        out.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+        return
+    spark, path = df.sparkSession, path.rstrip("/")
+    work = f"{path}.{uuid.uuid4().hex}"
+    try:
+        out.write.options(**{**CSV_OPTIONS, "header": "false"}).csv(f"{work}/parts")
+        # A frame without rows is a file with the header alone.
+        spark.createDataFrame([], df.schema).repartition(1).write.options(**CSV_OPTIONS).csv(f"{work}/header")
+        parts = [
+            f"{work}/{kind}/{name}"
+            for kind in ("header", "parts")
+            for name, size in sorted(file_sizes(spark, f"{work}/{kind}"), key=lambda f: _part_number(f[0]))
+            if size and name.startswith("part-")
+        ]
+        join_files(spark, parts, f"{work}/part-00000.csv")
+        delete_folder(spark, f"{work}/parts")
+        delete_folder(spark, f"{work}/header")
+        replace_folder(spark, work, path)
+    except BaseException:
+        delete_folder(spark, work)
+        raise
+
+
+def _part_number(name: str) -> tuple[int, ...]:
+    """The numbers of the task and of its file, by which files follow each other."""
+    found = re.match(r"part-(\d+)-.*?(?:-c(\d+))?(?:\.|$)", name)
+    return tuple(int(n or 0) for n in found.groups()) if found else (-1,)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:

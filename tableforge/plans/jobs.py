@@ -10,23 +10,26 @@ from threading import Lock
 from typing import NamedTuple
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tableforge.functions.columns import quoted
 from tableforge.functions.nullability import relax_nullability
+from tableforge.operators.contents import CONTENT, Written
 from tableforge.operators.tables import (
+    create_checked,
     create_strict,
     database_of,
     ensure_database,
-    landed_rows,
     read_csv,
+    save_checked,
     save_table,
     table_location,
     write_csv,
 )
 from tableforge.operators.words import by_frequency, top_words, word_count
+from tableforge.plans.journal import Journal, Landed
 from tableforge.sources.catalogs import SourceCatalog
 from tableforge.sources.generated import ROWS_PER_SECOND, SEQUENCE_END, datagen_stream
 from tableforge.streaming.inserts import COMMIT_INTERVAL
@@ -34,7 +37,9 @@ from tableforge.streaming.keyed import KeyedTable, stream_upsert
 
 OK, FAIL, SKIP = "OK", "FAIL", "SKIP"
 FAILED_ROWS = -1
-_RESULT = "position int, {unit} string, rows bigint, status string, error string, location string"
+_RESULT = (
+    "position int, {unit} string, rows bigint, status string, error string, location string, fingerprint string"
+)
 
 
 class MaterializeError(RuntimeError):
@@ -50,6 +55,7 @@ class Outcome(NamedTuple):
     status: str
     error: str | None = None
     location: str | None = None
+    fingerprint: str | None = None
 
 
 class Selection(NamedTuple):
@@ -62,18 +68,25 @@ def requested(request: str) -> list[str]:
     return re.findall(r"[^\s,](?:[^,]*[^\s,])?", request)
 
 
-def select_tables(request: str, available: Sequence[str]) -> Selection:
-    """The requested tables in request order, and the requested names that do not exist.
+def resolved(spark: SparkSession, request: str, available: Sequence[str]) -> DataFrame:
+    """``position, table_name, found``: a row for every name that a request means, in request order.
 
-    ``all`` in any case means every table. Names are trimmed, blanks dropped, case kept.
+    ``all`` in any case, alone, means every available table. Blanks around names and empty names don't count.
     """
-    names = requested(request)
-    if len(names) == 1 and names[0].lower() == "all":
-        names = list(available)
-    by_presence: dict[bool, list[str]] = {True: [], False: []}
-    for name in names:
-        by_presence[name in available].append(name)
-    return Selection(by_presence[True], by_presence[False])
+    asked = spark.createDataFrame([(request, list(available))], "request string, available array<string>")
+    trimmed = F.transform(F.split("request", ","), lambda n: F.regexp_replace(n, r"^\s+|\s+$", ""))
+    names = F.filter(trimmed, lambda n: n != "")
+    everything = (F.size(names) == 1) & (F.lower(F.get(names, F.lit(0))) == "all")
+    meant = F.when(everything, F.col("available")).otherwise(names)
+    return asked.select("available", F.posexplode(meant).alias("position", "table_name")).select(
+        "position", "table_name", F.array_contains("available", F.col("table_name")).alias("found")
+    )
+
+
+def select_tables(request: str, available: Sequence[str]) -> Selection:
+    """The requested tables in request order, and the requested names that do not exist."""
+    rows = resolved(SparkSession.active(), request, available).orderBy("position").collect()
+    return Selection([r.table_name for r in rows if r.found], [r.table_name for r in rows if not r.found])
 
 
 def _guarded(work: Callable[[str], Outcome], units: Sequence[str]) -> Callable[[str], Outcome]:
@@ -122,31 +135,54 @@ def materialize_catalog(
     strict: bool = False,
     parallel: int = 8,
     raise_on_failure: bool = False,
+    check: str = CONTENT,
+    journal: str | None = None,
 ) -> DataFrame:
-    """Copy tables of one scale into real tables and count what landed in each.
+    """Copy tables of one scale into real tables and check what landed in each.
 
     The result has one row per requested table, in request order: ``position,
-    table_name, rows, status, error, location``. A failed table has ``rows = -1`` and
+    table_name, rows, status, error, location, fingerprint``. A failed table has ``rows = -1`` and
     the message; a requested name the source lacks is a ``SKIP`` row and no failure.
     ``strict`` makes every column nullable and creates the target anew, which is what catalogs
     with their own table format need. A failed copy leaves the old table as it was, in either
     mode; see ``create_strict`` for catalogs that cannot replace a table. Columns are made nullable
     after the read: a source that fails because a column it calls required holds nulls must
     be read with a schema that allows them.
+
+    ``check`` says what of a copy is compared with what was written: every cell (``content``, or ``portable`` for a fingerprint
+    that other engines can compute), or the number of ``rows`` alone, which reads no column of parquet or ORC again.
+
+    ``journal`` is a folder in which landed copies are noted. A later run with the same folder copies only what did not land, or
+    whose source changed, or whose table no longer shows that copy; its result is that of one clean run. A source that can't tell
+    its state is copied again.
     """
     scale = scale.strip()
     database = database or quoted("tables_sf" + scale.replace(".", "_"))
     chosen = select_tables(tables, source.tables(scale))
     ensure_database(spark, database)
 
+    notes = Journal(spark, journal) if journal else None
+    known = notes.latest() if notes else {}
+    manner = f"{fmt} {'strict' if strict else 'plain'} {check}"
+
     def copy(table: str) -> Outcome:
         target = f"{database}.{quoted(table)}"
+        # Taken before the read: a source that changes meanwhile is copied again next time.
+        state = source.state(scale, table) if notes else None
+        if notes and notes.still_there(known.get(target), state, manner):
+            there = known[target]
+            return Outcome(there.rows, OK, None, there.location, there.fingerprint)
         df = source.read(scale, table)
         if strict:
-            rows = create_strict(relax_nullability(df), target, fmt, drop_first=True)
+            landed = create_checked(relax_nullability(df), target, fmt, drop_first=True, check=check)
         else:
-            rows = save_table(df, target, fmt)
-        return Outcome(rows, OK, None, table_location(spark, target))
+            landed = save_checked(df, target, fmt, check=check)
+        location = table_location(spark, target)
+        if notes and state is not None:
+            entry = Landed(target, state, manner, *landed, location)
+            known[target] = entry
+            notes.record(entry)
+        return Outcome(landed.rows, OK, None, location, landed.fingerprint)
 
     skipped = [(name, "not in the source catalog") for name in chosen.missing]
     return _run_units(
@@ -228,10 +264,9 @@ def write_formats(
         if target.strict:
             rows = create_strict(df, table, fmt, drop_first=True)
         elif target.own_log:
-            writing = Observation()
-            counted = df.observe(writing, F.count(F.lit(1)).alias("rows"))
-            counted.write.format(fmt).options(**target.options).mode("overwrite").saveAsTable(table)
-            rows = landed_rows(spark.table(table), table, writing.get["rows"])
+            written = Written(df)
+            written.df.write.format(fmt).options(**target.options).mode("overwrite").saveAsTable(table)
+            rows = written.matched(spark.table(table), table).rows
         else:
             rows = save_table(df, table, fmt, target.options)
         return Outcome(rows, OK, None, table_location(spark, table))
@@ -310,6 +345,7 @@ __all__ = [
     "format_targets",
     "generated_stream_job",
     "materialize_catalog",
+    "resolved",
     "select_tables",
     "table_job",
     "totals",

@@ -43,12 +43,61 @@ def _counts(tables: tuple[str, ...] = TABLES, more: str = "") -> str:
     )
 
 
+# Columns in order; those not named otherwise are written by a cast.
+_COLUMNS = {
+    "benchmark": "item_id text",
+    "conversations": "conv_id turn role text",
+    "customer": "c_custkey c_name c_nationkey c_acctbal:double c_mktsegment",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding:doubles label",
+    "events": "event_id ts user_id event_type value:double props",
+    "labels": "doc_id quality toxic",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity:double l_extendedprice:double "
+    "l_discount:double l_tax:double l_returnflag l_linestatus l_shipdate",
+    "nation": "n_nationkey n_name n_regionkey",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice:double o_orderdate o_orderpriority",
+    "pages": "page_id url html",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice:double",
+    "region": "r_regionkey r_name",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal:double",
+}
+
+
+def _told(column: str, text: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE length({text}) || ':' || {text} END"
+
+
+def _hex(number: str) -> str:
+    return f"replace(format('{{:a}}', {number}::DOUBLE), 'p+', 'p')"
+
+
+def _written(column: str) -> str:
+    name, _, kind = column.partition(":")
+    if kind == "double":
+        return _told(name, _hex(name))
+    if kind == "doubles":
+        return _told(name, f"array_to_string([{_told('x', _hex('x'))} FOR x IN {name}], '')")
+    return _told(name, f"CAST({name} AS VARCHAR)")
+
+
+def _fingerprint(table: str) -> str:
+    """The sums of four pieces of the MD5 of every row's written columns."""
+    row = " || ".join(f"({_written(c)})" for c in _COLUMNS[table].split())
+    sums = " || '-' || ".join(
+        f"CAST(coalesce(sum(('0x' || substr(h, {1 + 5 * i}, 5))::BIGINT), 0) AS VARCHAR)" for i in range(4)
+    )
+    return f"""
+        SELECT '{table}' AS table_name, count(*) AS "rows", 'OK' AS status, {sums} AS fingerprint
+        FROM (SELECT md5({row}) AS h FROM {table})"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "tokens": _TOKENS,
     "word_count": _WORD_COUNT,
     "top_words": f'{_WORD_COUNT} ORDER BY "count" DESC, word LIMIT 20',
     "distinct_words": f"SELECT count(DISTINCT word) AS n FROM ({_TOKENS})",
     "word_count_csv": _WORD_COUNT,
+    "word_count_one_csv": f"SELECT *, 1 AS files FROM ({_WORD_COUNT})",
     "text_lines": "SELECT unnest(string_split(text, chr(10))) AS value FROM documents",
     "lines_from_values": """
         SELECT text AS value FROM documents UNION ALL
@@ -78,7 +127,8 @@ ORACLE_SQL: dict[str, str] = {
     "catalog_subset": f"""
         SELECT table_name, "rows", CAST(CASE table_name WHEN 'lineitem' THEN 0 ELSE 1 END AS INT) AS position
         FROM ({_counts(("lineitem", "orders"))})""",
-    "materialize_summary": _counts(more=", 'OK' AS status"),
+    "materialize_summary": " UNION ALL ".join(map(_fingerprint, TABLES)),
+    "materialize_resumed": _counts(more=", 'OK' AS status, CAST(1 AS BIGINT) AS copies"),
     "materialize_with_failure": _counts(("orders", "lineitem"), ", 'OK' AS status")
     + " UNION ALL SELECT 'supplier', -1, 'FAIL'",
     "strict_csv_copy": "SELECT * FROM documents",

@@ -18,8 +18,10 @@ from tableforge.functions.columns import any_like, quoted, starts_with_any, to_m
 from tableforge.functions.nullability import relax_nullability
 from tableforge.operators import tables as tb
 from tableforge.operators import words as wd
+from tableforge.operators.contents import CONTENT, PORTABLE
 from tableforge.operators.latest import latest_by_key, write_keyed
 from tableforge.plans import jobs
+from tableforge.plans.journal import Journal
 from tableforge.sources.catalogs import ScaleCatalog
 from tableforge.sources.generated import datagen_columns, demo_columns
 from tableforge.sources.generated import datagen_stream as datagen_rows
@@ -79,6 +81,12 @@ def word_count_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.word_count_job(_texts(spark, sf_dir), path, "text").counts
 
 
+def word_count_one_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_folder(spark, "word-count-one")
+    counts = jobs.word_count_job(_texts(spark, sf_dir), path, "text", single_file=True).counts
+    return counts.withColumn("files", F.lit(len(counts.inputFiles())))
+
+
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "text-lines")
     _table(spark, sf_dir, "documents").select("text").write.text(folder)
@@ -112,7 +120,7 @@ def datagen_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").select("o_orderkey")
     start, end = orders.agg(F.coalesce(F.min("o_orderkey"), F.lit(0)), F.coalesce(F.max("o_orderkey"), F.lit(0))).first()
     target = f"{_database(spark, 'datagen_stream')}.orders_stream"
-    generated = datagen_rows(spark, end - start + 1, start, end, replayable=True)
+    generated = datagen_rows(spark, start=start, end=end, whole=True)
     stream_insert(
         generated, target, fresh_folder(spark, "datagen-checkpoint"), bounded=True
     ).awaitTermination()
@@ -199,13 +207,14 @@ def catalog_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("position", position.cast("int"))
 
 
-def _materialized(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+def _materialized(spark: SparkSession, sf_dir: str, label: str, check: str = CONTENT) -> DataFrame:
     catalog, scale = ScaleCatalog.at(spark, sf_dir)
-    return jobs.materialize_catalog(spark, catalog, scale, _database(spark, label))
+    return jobs.materialize_catalog(spark, catalog, scale, _database(spark, label), check=check)
 
 
 def materialize_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _materialized(spark, sf_dir, "materialize").select("table_name", "rows", "status")
+    results = _materialized(spark, sf_dir, "materialize", PORTABLE)
+    return results.select("table_name", "rows", "status", "fingerprint")
 
 
 def materialize_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,6 +244,17 @@ def materialize_with_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     raise AssertionError("a failed table must fail the job")
 
 
+def materialize_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The first run fails in one table; the second copies that one alone, which the journal shows.
+    catalog, scale = ScaleCatalog.at(spark, sf_dir)
+    database, journal = _database(spark, "resumed"), fresh_folder(spark, "journal")
+    jobs.materialize_catalog(spark, _BrokenSupplier(spark, catalog.root), scale, database, journal=journal)
+    results = jobs.materialize_catalog(spark, catalog, scale, database, journal=journal)
+    copies = Journal(spark, journal).entries().groupBy("target").agg(F.count("*").alias("copies"))
+    target = F.concat(F.lit(f"{database}.`"), "table_name", F.lit("`"))
+    return results.join(copies, F.col("target") == target, "left").select("table_name", "rows", "status", "copies")
+
+
 def strict_csv_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog, scale = ScaleCatalog.at(spark, sf_dir)
     database = _database(spark, "strict_csv")
@@ -338,6 +358,7 @@ QUERIES: dict[str, Query] = {
     "top_words": top_words,
     "distinct_words": distinct_words,
     "word_count_csv": word_count_csv,
+    "word_count_one_csv": word_count_one_csv,
     "text_lines": text_lines,
     "lines_from_values": memory_and_stored_lines,
     "fetch_lines": fetched_lines,
@@ -356,6 +377,7 @@ QUERIES: dict[str, Query] = {
     "catalog_subset": catalog_subset,
     "materialize_summary": materialize_summary,
     "materialize_with_failure": materialize_with_failure,
+    "materialize_resumed": materialize_resumed,
     "strict_csv_copy": strict_csv_copy,
     "materialize_totals": materialize_totals,
     "multi_format": multi_format,

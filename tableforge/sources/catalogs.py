@@ -7,7 +7,8 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 
 from tableforge.functions.columns import quoted
-from tableforge.operators.tables import show_tables
+from tableforge.operators.contents import contents
+from tableforge.operators.tables import UNKNOWN_LOCATION, show_tables, table_location
 from tableforge.workspace import folder_names
 
 
@@ -18,6 +19,16 @@ class SourceCatalog(Protocol):
 
     def read(self, scale: str, table: str) -> DataFrame: ...
 
+    def state(self, scale: str, table: str) -> str | None:
+        """A text that changes when the table does, or None if that can't be told."""
+
+
+def files_state(spark: SparkSession, path: str) -> str:
+    """The names, sizes and times of the files below a path, as one fingerprint; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    found = contents(files.select("path", "length", "modificationTime"))
+    return f"{found.rows} files {found.fingerprint}"
+
 
 class ScaleCatalog:
     """Parquet tables ``<root>/sf<scale>/<table>.parquet``."""
@@ -44,6 +55,9 @@ class ScaleCatalog:
     def read(self, scale: str, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder(scale)}/{table}{self.suffix}")
 
+    def state(self, scale: str, table: str) -> str:
+        return files_state(self.spark, f"{self.folder(scale)}/{table}{self.suffix}")
+
 
 class NamedCatalog:
     """Tables of ``<catalog>.sf<scale>``, a catalog configured in the session."""
@@ -59,3 +73,8 @@ class NamedCatalog:
 
     def read(self, scale: str, table: str) -> DataFrame:
         return self.spark.table(f"{self.database(scale)}.{quoted(table)}")
+
+    def state(self, scale: str, table: str) -> str | None:
+        """That of the table's files, if the catalog says where they are."""
+        location = table_location(self.spark, f"{self.database(scale)}.{quoted(table)}")
+        return None if location == UNKNOWN_LOCATION else files_state(self.spark, location)

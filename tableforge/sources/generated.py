@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableforge.functions.columns import bounded_decimal, bounded_int
+from tableforge.sources.sequences import register_sequence
 
 # Fixed values of the generated table.
 SEQUENCE_START, SEQUENCE_END = 1, 1_000_000
@@ -56,21 +57,22 @@ def datagen_stream(
     start: int = SEQUENCE_START,
     end: int = SEQUENCE_END,
     replayable: bool = False,
+    whole: bool = False,
 ) -> DataFrame:
     """Generated rows as a stream, with ``order_time`` to the millisecond.
 
     By default the wall clock sets the pace. ``replayable=True`` gives
-    ``rows_per_second`` rows per micro-batch instead, the same again after a restart.
-    The ids stop at ``end``; ``await_sequence_end`` then stops the query.
+    ``rows_per_second`` rows per micro-batch instead, and ``whole=True`` all ids that are left in one. Which ids a batch has is
+    in the stream's own offsets, so they come once across restarts. The ids stop at ``end``: a bounded query over the whole
+    sequence ends by itself, and ``await_sequence_end`` stops one that is paced.
     """
-    if replayable:
-        reader = (
-            spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_second)
-        )
-    else:
-        reader = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second)
-    # The highest id on offer, kept or not: past the end there are no rows left to see it by.
-    offered = reader.load().select((F.col("value") + start).alias("id"))
-    ids = offered.observe("sequence", F.max("id").alias("last_id")).filter(F.col("id") <= end)
+    reader = (
+        spark.readStream.format(register_sequence(spark))
+        .option("start", start)
+        .option("end", end)
+        .option("numPartitions", spark.sparkContext.defaultParallelism)
+    )
+    if not whole:
+        reader = reader.option("rowsPerBatch" if replayable else "rowsPerSecond", rows_per_second)
     order_time = F.date_trunc("MILLISECOND", F.localtimestamp()).cast("timestamp_ntz")
-    return datagen_columns(ids).withColumn("order_time", order_time)
+    return datagen_columns(reader.load()).withColumn("order_time", order_time)

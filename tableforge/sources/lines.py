@@ -16,10 +16,14 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tableforge.workspace import file_sizes
+
 # The fetching functions travel with the plan, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LINE_SCHEMA = "value string"
+# Bytes of a row group, as writers make them by default.
+ROW_GROUP = 128 * 1024 * 1024
 
 # An opener gets (url, first byte, last byte or None for a whole read, and the resource's tag if
 # it has one) and returns a stream.
@@ -29,15 +33,22 @@ _LINE_END = re.compile(rb"\r\n|\r|\n")
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Deal a scan's rows out to all cores when it has partitions for less than half of them.
+    """Deal a scan's rows out to all cores where its files keep less than half of them busy.
 
-    A table kept in a few big files would leave most of a cluster idle. A scan with
-    enough partitions is left alone, so at scale there is no shuffle here. Rows are
-    dealt in turn and not by hash: any number of copies of one text spread evenly.
-    Call it on a plain scan; asking another frame for its partitions may run it.
+    A table kept in a few files would leave most of a cluster idle: a file smaller than a row group is
+    read by one task, whatever its splits. With more files or row groups the scan is left
+    alone, so at scale there is no shuffle here. Rows are dealt in turn and not by hash: any number of
+    copies of one text spread evenly. Call it on a plain scan.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if 2 * scan.rdd.getNumPartitions() < cores else scan
+    spark = scan.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, scan.inputFiles()
+    if not files:
+        return scan.repartition(cores) if 2 * scan.rdd.getNumPartitions() < cores else scan
+    # Sizes are looked up for fewer files than there are cores.
+    readers = len(files)
+    if readers < cores:
+        readers = sum(max(1, -(-size // ROW_GROUP)) for f in files for _, size in file_sizes(spark, f))
+    return scan.repartition(cores) if 2 * readers < cores else scan
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import time
+import json
+from threading import Event
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.listener import StreamingQueryProgress
 
 from tableforge.operators.tables import literal, table_location
 from tableforge.workspace import folder_names
@@ -76,24 +78,66 @@ def stream_insert(
     )
 
 
-def await_sequence_end(
-    query: StreamingQuery, end: int, timeout: float | None = None, poll: float = 0.5
-) -> bool:
+def _at_end(progress: StreamingQueryProgress, end: int) -> bool:
+    """Whether a batch took the sequence beyond ``end``, by the source's own offsets."""
+    for source in progress.sources:
+        offset = json.loads(source.endOffset or "{}")
+        if isinstance(offset, dict) and offset.get("next", end) > end:
+            return True
+    return False
+
+
+class _EndOfSequence(StreamingQueryListener):
+    """Sets an event when a query has committed an id, or has terminated."""
+
+    def __init__(self, query: StreamingQuery, end: int) -> None:
+        self.run, self.end = query.runId, end
+        self.happened, self.reached = Event(), False
+
+    def saw(self, progress: StreamingQueryProgress) -> None:
+        if str(progress.runId) == self.run and _at_end(progress, self.end):
+            self.reached = True
+            self.happened.set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.saw(event.progress)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.runId) == self.run:
+            self.happened.set()
+
+
+def await_sequence_end(query: StreamingQuery, end: int, timeout: float | None = None) -> bool:
     """Wait until a generated stream has committed id ``end``, then stop it.
 
-    A stream that was restarted after its last id is done with its next batch. Returns False if the query ended or the time ran out before that.
+    The wait is woken by the stream's progress events; nothing polls, and it does not matter how many
+    batches the stream remembers. A stream that was restarted after its last id is done with its next batch. Returns
+    False if the query ended or the time ran out before that; a failed query raises its error.
     """
-    deadline = None if timeout is None else time.monotonic() + timeout
-    while deadline is None or time.monotonic() < deadline:
-        active = query.isActive
+    spark = SparkSession.active()
+    listener = _EndOfSequence(query, end)
+    spark.streams.addListener(listener)
+    try:
+        # What happened before the listener was there.
         for progress in query.recentProgress:
-            seen = progress.observedMetrics.get("sequence")
-            if seen is not None and seen["last_id"] is not None and seen["last_id"] >= end:
-                query.stop()
-                return True
-        if not active:
-            if query.exception() is not None:
-                raise query.exception()
-            return False
-        time.sleep(poll)
+            listener.saw(progress)
+        if query.isActive or listener.reached:
+            listener.happened.wait(timeout)
+        if not listener.reached:
+            # The last events of a stream that ended may still be on their way.
+            for progress in query.recentProgress:
+                listener.saw(progress)
+    finally:
+        spark.streams.removeListener(listener)
+    if listener.reached:
+        query.stop()
+        return True
+    if not query.isActive and query.exception() is not None:
+        raise query.exception()
     return False

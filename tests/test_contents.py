@@ -1,0 +1,212 @@
+"""Fingerprints, copies compared by content, resumed copies, one CSV file, the sequence source."""
+
+from __future__ import annotations
+
+import csv
+import glob
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from tableforge import (
+    MaterializeError,
+    ScaleCatalog,
+    contents,
+    create_checked,
+    datagen_stream,
+    materialize_catalog,
+    read_csv,
+    register_sequence,
+    save_checked,
+    save_table,
+    stream_insert,
+    totals,
+    write_csv,
+)
+from tableforge.operators.contents import CONTENT, PORTABLE
+from tableforge.plans.journal import Journal
+from tableforge.workspace import fresh_folder, join_files
+
+SCHEMA = (
+    "a int, b string, c double, d array<string>, e map<string,int>, f struct<x:int,y:string>, "
+    "g decimal(10,2), h timestamp_ntz, `i.j` boolean, k binary, l float"
+)
+ROW = (1, "x", 0.1, ["p", None], {"m": 1}, (1, None), Decimal("1.50"), None, True, b"\x00", 0.5)
+CHANGES = {
+    "a": 2, "b": "y", "c": 0.1 + 2**-56, "d": [None, "p"], "e": {"m": 2}, "f": (None, "1"), "g": Decimal("1.51"),
+    "i.j": False, "k": b"\x01", "l": -0.5,
+}
+
+
+def _frame(spark, rows, parts=1):
+    return spark.createDataFrame(rows, SCHEMA).repartition(parts)
+
+
+@pytest.mark.parametrize("check", [CONTENT, PORTABLE])
+def test_fingerprint_sees_every_cell_and_no_order(spark, check):
+    second = (None,) * len(ROW)
+    base = contents(_frame(spark, [ROW, second, ROW]), check)
+    assert base.rows == 3 and contents(_frame(spark, [second, ROW, ROW], 3), check) == base
+    assert contents(_frame(spark, [ROW, second]), check) != base
+    assert contents(_frame(spark, [second, ROW, second]), check) != base
+    names = [f.name for f in _frame(spark, []).schema]
+    for name, value in CHANGES.items():
+        i = names.index(name)
+        changed = ROW[:i] + (value,) + ROW[i + 1 :]
+        assert contents(_frame(spark, [ROW, second, changed]), check) != base, name
+        gone = ROW[:i] + (None,) + ROW[i + 1 :]
+        assert contents(_frame(spark, [ROW, second, gone]), check) != base, name
+    assert contents(_frame(spark, []), check).rows == 0
+
+
+def test_a_value_in_another_column_counts_as_changed(spark):
+    one = spark.createDataFrame([("x", None), ("ab", "c")], "a string, b string")
+    two = spark.createDataFrame([(None, "x"), ("a", "bc")], "a string, b string")
+    for check in (CONTENT, PORTABLE):
+        assert contents(one, check) != contents(two, check)
+
+
+@pytest.mark.parametrize("check", [CONTENT, PORTABLE])
+def test_one_changed_cell_fails_the_copy(spark, database, check):
+    df = spark.createDataFrame([(1, "a"), (2, "NONE")], "id int, s string")
+    good = save_checked(df, f"{database}.t", check=check)
+    # The text that marks a null comes back as one: as many rows, one other cell.
+    lossy = {"nullValue": "NONE"}
+    assert save_table(df, f"{database}.counted", "csv", lossy) == 2
+    with pytest.raises(RuntimeError, match="are not those written"):
+        save_checked(df, f"{database}.t", "csv", lossy, check)
+    assert contents(spark.table(f"{database}.t"), check) == good
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "csv", "json"])
+def test_formats_keep_every_cell(spark, database, sf_dir, fmt):
+    for name in ("events", "documents", "orders"):
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        assert create_checked(df, f"{database}.{name}_{fmt}", fmt) == contents(df)
+
+
+class _Flaky(ScaleCatalog):
+    """Tables that fail while they are read, and a note of those that were asked for."""
+
+    broken: tuple = ()
+
+    def __init__(self, spark, root):
+        super().__init__(spark, root)
+        self.asked = []
+
+    def read(self, scale, table):
+        self.asked.append(table)
+        df = super().read(scale, table)
+        if table in self.broken:
+            return df.withColumn(df.columns[0], F.raise_error(F.lit("broken")).cast("long"))
+        return df
+
+
+@pytest.fixture
+def source(spark, tmp_path):
+    for name, rows in (("a", 10), ("b", 20), ("c", 0)):
+        spark.range(rows).write.parquet(f"{tmp_path}/sf1/{name}.parquet")
+    return _Flaky(spark, str(tmp_path))
+
+
+def test_a_second_run_copies_only_what_did_not_land(spark, database, source, tmp_path):
+    journal = fresh_folder(spark, "journal")
+    run = lambda **more: materialize_catalog(spark, source, "1", database, journal=journal, **more)
+    source.broken = ("b",)
+    with pytest.raises(MaterializeError):
+        run(raise_on_failure=True)
+    source.broken, source.asked = (), []
+    again = run(raise_on_failure=True)
+    assert source.asked == ["b"]
+    clean = materialize_catalog(spark, source, "1", f"{database}_clean")
+    part = ("position", "table_name", "rows", "status", "error", "fingerprint")
+    assert again.select(*part).collect() == clean.select(*part).collect()
+    assert totals(again).collect() == totals(clean).collect()
+    spark.sql(f"DROP DATABASE {database}_clean CASCADE")
+    # Nothing is left to do; then a changed source, another format and a replaced table are copied anew.
+    source.asked = []
+    run()
+    assert source.asked == []
+    spark.range(11).write.mode("overwrite").parquet(f"{tmp_path}/sf1/a.parquet")
+    assert [r.rows for r in run().orderBy("position").collect()] == [11, 20, 0] and source.asked == ["a"]
+    source.asked = []
+    save_table(spark.range(3), f"{database}.`b`")
+    run()
+    assert source.asked == ["b"] and spark.table(f"{database}.b").count() == 20
+    source.asked = []
+    run(fmt="orc")
+    assert sorted(source.asked) == ["a", "b", "c"]
+    assert Journal(spark, journal).entries().count() == 8
+
+
+def test_a_source_without_a_state_is_copied_again(spark, database, source):
+    source.state = lambda scale, table: None
+    journal = fresh_folder(spark, "journal")
+    for _ in range(2):
+        materialize_catalog(spark, source, "1", database, tables="a", journal=journal)
+    assert source.asked == ["a", "a"] and Journal(spark, journal).entries().count() == 0
+
+
+def test_one_csv_file_without_one_task(spark):
+    words = spark.range(5000).selectExpr("concat('w\"', id % 700, ', ') AS word", "id AS `a,b`").repartition(8)
+    path = fresh_folder(spark, "one")
+    order = [F.col("word"), F.col("`a,b`")]
+    for rows in (words, words.limit(3), words.limit(0), words):
+        write_csv(rows, path, order, single_file=True)
+        (file,) = glob.glob(f"{path}/*.csv")
+        with open(file, newline="") as f:
+            header, *lines = list(csv.reader(f))
+        assert header == ["word", "a,b"]
+        assert lines == [[r[0], str(r[1])] for r in rows.orderBy(*order).collect()]
+        assert read_csv(spark, path, rows.schema).count() == len(lines)
+    assert not glob.glob(f"{path}.*")
+
+
+def test_the_tasks_of_one_csv_file_sort_ranges(spark, monkeypatch):
+    from tableforge.operators import tables
+
+    joined = []
+    monkeypatch.setattr(tables, "join_files", lambda s, parts, target: joined.extend(parts) or join_files(s, parts, target))
+    df = spark.range(200_000).selectExpr("cast(id AS string) AS word", "id % 7 AS n").repartition(8)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        write_csv(df, fresh_folder(spark, "one"), [F.col("word")], single_file=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # A header and a range for each of the shuffle's tasks.
+    assert len(joined) == 1 + 8
+
+
+def test_a_failed_write_leaves_the_old_file(spark):
+    path = fresh_folder(spark, "one")
+    write_csv(spark.range(3), path, single_file=True)
+    broken = spark.range(3).select(F.raise_error(F.lit("no")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        write_csv(broken, path, single_file=True)
+    assert read_csv(spark, path, "id long").count() == 3 and not glob.glob(f"{path}.*")
+
+
+def test_sequence_source_ends_by_itself_and_restarts_without_repeats(spark, database):
+    checkpoint, table = fresh_folder(spark, "cp"), f"{database}.seq"
+
+    def run(**rate):
+        reader = spark.readStream.format(register_sequence(spark)).option("start", 1).option("end", 1000)
+        for key, value in {"numPartitions": 3, **rate}.items():
+            reader = reader.option(key, value)
+        query = stream_insert(reader.load(), table, checkpoint, bounded=True)
+        assert query.awaitTermination(60)
+        return sorted(r.id for r in spark.table(table).collect())
+
+    assert run(rowsPerBatch=300) == list(range(1, 301))
+    assert run(rowsPerBatch=300) == list(range(1, 601))
+    assert run() == list(range(1, 1001))
+    assert run() == list(range(1, 1001))
+
+
+def test_a_whole_generated_sequence_is_one_bounded_run(spark, database):
+    stream = datagen_stream(spark, start=7, end=5006, whole=True)
+    query = stream_insert(stream, f"{database}.whole", fresh_folder(spark, "cp"), bounded=True)
+    assert query.awaitTermination(60)
+    ids = spark.table(f"{database}.whole").agg(F.min("id"), F.max("id"), F.count_distinct("id"), F.count("*")).first()
+    assert tuple(ids) == (7, 5006, 5000, 5000)
