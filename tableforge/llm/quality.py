@@ -43,6 +43,23 @@ def _with_hashes(docs: DataFrame) -> DataFrame:
     )
 
 
+def _gram_rows(df: DataFrame, words: str = "words") -> DataFrame:
+    """A row for every word of an array column: ``gram``, its hash, and ``pair``, that with the next word, or null.
+
+    These are the n-grams of ``_with_hashes``, one by one in compiled code. A row without words stays, with nulls.
+    """
+    rest = [c for c in df.columns if c != words]
+    following = df.select(*rest, words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("next"))
+    zipped = following.select(*rest, F.explode_outer(F.arrays_zip(F.col(words), F.col("next"))).alias("z"))
+    word, after = F.col("z")[words], F.col("z")["next"]
+    return zipped.select(
+        *rest,
+        word.alias("word"),
+        F.when(word.isNotNull(), F.xxhash64(word)).alias("gram"),
+        F.when(after.isNotNull(), F.xxhash64(F.xxhash64(word), F.xxhash64(after))).alias("pair"),
+    )
+
+
 def train(
     docs: DataFrame,
     trusted: DataFrame,
@@ -56,7 +73,8 @@ def train(
 
     Words and word pairs of all documents are hashed into ``buckets`` and counted for the raw model;
     those of at most ``trusted_docs`` documents whose id ``trusted`` holds, the ones with the smallest
-    hashes of their ids, are counted for the trusted model too. ``prior`` is added to each count.
+    hashes of their ids, are counted for the trusted model too. ``prior`` is added to each count. Where
+    those have no words, or there are none, all ratios are 0: the rules alone decide.
     The ids chosen are few, whatever the corpus, and go to all tasks; the counts are
     summed in each task, so no text and only a row per bucket and task is shuffled.
     """
@@ -65,19 +83,21 @@ def train(
         .orderBy(F.xxhash64("known"), "known")
         .limit(trusted_docs)
     )
+    marked = docs.select(F.col(doc_id).alias("id"), words_of(F.col(text)).alias("words")).join(
+        F.broadcast(known), F.col("id") == F.col("known"), "left"
+    )
     grams = (
-        _with_hashes(
-            docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(
-                F.broadcast(known), F.col("id") == F.col("known"), "left"
-            )
-        )
-        .select(F.col("known").isNotNull().cast("long").alias("good"), F.explode("grams").alias("g"))
-        .select("good", _bucket(F.col("g"), buckets).alias("bucket"))
+        _gram_rows(marked.select(F.col("known").isNotNull().cast("long").alias("good"), "words"))
+        .select("good", F.explode(F.array(_bucket(F.col("gram"), buckets), _bucket(F.col("pair"), buckets))).alias("bucket"))
+        .filter("bucket IS NOT NULL")
     )
     counts = stored(
         grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")), "quality-counts"
     )
     sums = counts.agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).first()
+    if not sums["good"]:
+        # Nothing is known of trusted documents, so nothing speaks against any.
+        return counts.select("bucket", F.lit(0).cast("long").alias("ratio"))
     smooth = prior * buckets
     ratio = F.log((F.col("good") + prior) / ((sums["good"] or 0) + smooth)) - F.log(
         (F.col("raw") + prior) / ((sums["raw"] or 0) + smooth)
@@ -95,7 +115,7 @@ def quality(
     min_words: int = 10,
     max_repeats: int = 20,
 ) -> DataFrame:
-    """The rules and the verdict for every document, in one pass without a shuffle.
+    """The rules and the verdict for every document, in one pass; only their numbers are shuffled.
 
     Returns ``doc_id``; ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
     ``n_repeat_words`` (long); ``base_failed``; ``kept``; ``ratio``, the mean log ratio per
@@ -114,19 +134,25 @@ def quality(
 
     body = F.coalesce(F.col("text"), F.lit(""))
     real_lines = F.filter(lines_of(F.col("text")), lambda x: stripped(x) != "")
-    staged = _with_hashes(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")))
+    staged = _with_hashes(
+        docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    )
     staged = staged.select(
+        "row",
         "id",
         "h",
-        "pairs",
-        "grams",
-        F.length(F.array_join(words_of(F.col("text")), "")).cast("long").alias("word_chars"),
+        words_of(F.col("text")).alias("words"),
         (F.size(F.split(body, "[#*$%&|<>]", -1)) - 1).cast("long").alias("n_symbols"),
         real_lines.alias("real_lines"),
     )
     # A hash of the five words from each place on.
-    staged = staged.withColumn("fours", _hash_runs("pairs", "pairs", 2))
-    staged = staged.withColumn("windows", _hash_runs("fours", "h", 4))
+    following = [F.slice("h", i, F.greatest(F.size("h"), F.lit(1))).alias(f"h{i}") for i in range(2, 6)]
+    zipped = staged.select("*", *following).withColumn(
+        "five", _head(F.arrays_zip("h", "h2", "h3", "h4", "h5"), F.size("h") - 4)
+    )
+    staged = zipped.withColumn("windows", F.transform("five", lambda w: F.xxhash64(w))).drop(
+        "five", "h2", "h3", "h4", "h5"
+    )
     # The places of windows found twice or more: neighbours in order of their hash.
     twice = F.size(F.array_distinct("windows")) < F.size("windows")
     placed = F.array_sort(F.transform("windows", lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
@@ -147,18 +173,29 @@ def quality(
         lambda a, p: F.struct((a["n"] + F.least(F.lit(5), p - a["last"])).alias("n"), p.alias("last")),
         lambda a: a["n"],
     )
-    total = F.aggregate(
-        "grams", F.lit(0).cast("long"), lambda a, g: a + F.get(ratios, _bucket(g, buckets))
-    )
-    n_words, n_grams = F.size("h").cast("long"), F.size("grams")
-    scored = staged.select(
-        F.col("id").alias(doc_id),
-        n_words.alias("n_words"),
-        "word_chars",
+    judged = staged.select(
+        "row",
+        "id",
         "n_symbols",
         (F.size("real_lines") - F.size(F.array_distinct("real_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.when(n_grams > 0, total / F.lit(float(UNIT)) / n_grams).alias("ratio"),
+        "words",
+    )
+    # The rows of a document follow each other in one task, which adds them up; a row per document is shuffled.
+    value = lambda g: F.coalesce(F.get(ratios, _bucket(F.col(g), buckets)), F.lit(0))
+    n_words = F.count("word")
+    n_grams = F.greatest(2 * n_words - 1, F.lit(0))
+    scored = (
+        _gram_rows(judged)
+        .groupBy("row", "id", "n_symbols", "n_dup_lines", "n_repeat_words")
+        .agg(
+            n_words.alias("n_words"),
+            F.coalesce(F.sum(F.length("word")), F.lit(0)).cast("long").alias("word_chars"),
+            F.when(n_grams > 0, F.sum(value("gram") + value("pair")) / F.lit(float(UNIT)) / n_grams).alias("ratio"),
+        )
+        .select(
+            F.col("id").alias(doc_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio"
+        )
     )
     failed = (F.col("n_words") < min_words) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeats

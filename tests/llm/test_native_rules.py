@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from helpers import awkward, table, words
 
 from tableforge.llm import quality as q
@@ -160,3 +161,13 @@ def test_clean_documents_have_no_random_spans(spark):
     rows = QUERIES["op9_secret_scan"](spark, "/root/testdata/sf0.01").collect()
     alone = [r for r in rows if not (r.n_assign or r.n_access or r.n_hex)]
     assert sum("random" in r.spans for r in alone) < 0.01 * len(alone)
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 0, 0)], [(1, 1, 1), (2, None, 0)], [(None, 1, 0)], [(77, 1, 0)]])
+def test_without_trusted_documents_the_rules_decide(spark, labels):
+    df = table(spark, awkward())
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = q.quality_query(df, known).collect()
+    assert len(rows) == df.count() and any(r.kept for r in rows)
+    assert all(r.kept == (not r.base_failed) for r in rows)
+    assert q.quality_query(df.limit(0), known).count() == 0
