@@ -20,6 +20,8 @@ SPACE = "▁"
 CHUNK = 1 << 14
 NEVER = -(2**61)
 _REMEMBERED = 300_000
+# Texts whose new units are cut together; none has two chunks.
+_TOGETHER = 256
 # Longer units are found by the scan's own forward pass.
 _SHORT = 48
 # Blanks and what follows them. No piece holds a blank after another character, so every way to cut
@@ -35,6 +37,8 @@ class Vocabulary:
     ids: dict[str, int]
     scores: dict[str, int]
     byte_ids: list[int]
+    # The model itself, which cuts short units; without it they are merged here.
+    model: bytes | None = None
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.ids))
@@ -71,7 +75,7 @@ def load_vocabulary(path: str) -> Vocabulary:
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
             piece = piece.replace(SPACE, " ")
             ids[piece], scores[piece] = i, round(model.get_score(i))
-    return Vocabulary(ids, scores, byte_ids)
+    return Vocabulary(ids, scores, byte_ids, model.serialized_model_proto())
 
 
 def decode_ids(ids, vocabulary: Vocabulary) -> str:
@@ -93,6 +97,11 @@ class Segmenter:
         self.v = vocabulary
         self.ids: dict[str, list[int]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.model = None
+        if vocabulary.model is not None:
+            import sentencepiece
+
+            self.model = sentencepiece.SentencePieceProcessor(model_proto=vocabulary.model)
 
     def merged(self, text: str) -> list[str]:
         """A short text merged: the neighbours with the best joint score first, the leftmost on a tie."""
@@ -184,10 +193,20 @@ class Segmenter:
 
     def units(self, texts: list[str]) -> list[int]:
         """The pieces of some units, which stand for themselves; each different one is cut once."""
+        self.learn(texts)
+        return list(chain.from_iterable(map(self.ids.__getitem__, texts)))
+
+    def learn(self, texts: list[str]) -> None:
+        """Cut the units that are not known yet; all of these are known then."""
         new = set(texts).difference(self.ids)
         if len(self.ids) + len(new) > _REMEMBERED:
             self.ids.clear()
             new = set(texts)
+        if self.model is not None:
+            # The model puts the first blank there itself; a lone one and a literal mark it would take otherwise.
+            plain = [t for t in new if 1 < len(t) <= _SHORT and t[0] == " " and SPACE not in t]
+            self.ids.update(zip(plain, self.model.encode([t[1:] for t in plain], num_threads=1), strict=True))
+            new.difference_update(plain)
         for text in new:
             if len(text) <= _SHORT:
                 self.ids[text] = self.merged_ids(text)
@@ -195,10 +214,16 @@ class Segmenter:
                 sizes, best = [0], [0]
                 self.forward(text, sizes, best)
                 self.ids[text] = self.back(text, sizes, len(text), 0)[0]
-        return list(chain.from_iterable(map(self.ids.__getitem__, texts)))
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array(self.units(_UNIT.findall(" " + text)) if text else [], np.int32)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The pieces of whole texts; new units of all of them are cut together."""
+        split = [_UNIT.findall(" " + text) if text else [] for text in texts]
+        self.learn(list(chain.from_iterable(split)))
+        known = self.ids.__getitem__
+        return [np.array(list(chain.from_iterable(map(known, units))), np.int32) for units in split]
 
 
 # ---- the scan over the chunks of a giant document -----------------------------------------
@@ -338,13 +363,14 @@ def _direct(vocabulary: Vocabulary):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = Segmenter(vocabulary)
         for batch in batches:
-            rows = []
-            for value in batch.column(1):
-                text = value.as_py() or ""
-                ids = seg.encode(text)
-                score = int(vocabulary.score_of[ids].sum())
-                rows.append((ids, score, decode_ids(ids.tolist(), vocabulary) == text))
-            yield _encoded(batch.column(0), rows)
+            for start in range(0, batch.num_rows, _TOGETHER):
+                part = batch.slice(start, _TOGETHER)
+                texts = [text or "" for text in part.column(1).to_pylist()]
+                rows = [
+                    (ids, int(vocabulary.score_of[ids].sum()), decode_ids(ids.tolist(), vocabulary) == text)
+                    for text, ids in zip(texts, seg.encode_all(texts), strict=True)
+                ]
+                yield _encoded(part.column(0), rows)
 
     return encode
 
