@@ -11,7 +11,7 @@ from tableforge.functions.columns import (
     starts_with_any,
     to_money,
 )
-from tableforge.functions.nullability import relax_nullability
+from tableforge.functions.nullability import read_relaxed, relax_nested, relax_nullability, relaxed_type
 from tableforge.operators.contents import Contents, contents
 from tableforge.operators.latest import latest_by_key, write_keyed
 from tableforge.operators.tables import (
@@ -86,10 +86,13 @@ __all__ = [
     "materialize_catalog",
     "read_csv",
     "read_lines",
+    "read_relaxed",
     "recommended_conf",
     "register_external",
     "register_sequence",
+    "relax_nested",
     "relax_nullability",
+    "relaxed_type",
     "save_checked",
     "save_table",
     "select_tables",

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field
-from threading import Lock
+from threading import Event, Lock, Thread
 from typing import NamedTuple
+from uuid import uuid4
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tableforge.functions.columns import quoted
-from tableforge.functions.nullability import relax_nullability
+from tableforge.functions.nullability import relax_nested
 from tableforge.operators.contents import CONTENT, Written
 from tableforge.operators.tables import (
     create_checked,
@@ -37,6 +39,8 @@ from tableforge.streaming.keyed import KeyedTable, stream_upsert
 
 OK, FAIL, SKIP = "OK", "FAIL", "SKIP"
 FAILED_ROWS = -1
+# Seconds between two looks for jobs that a unit started after its deadline.
+_CANCEL_AGAIN = 0.2
 _RESULT = (
     "position int, {unit} string, rows bigint, status string, error string, location string, fingerprint string"
 )
@@ -89,16 +93,52 @@ def select_tables(request: str, available: Sequence[str]) -> Selection:
     return Selection([r.table_name for r in rows if r.found], [r.table_name for r in rows if not r.found])
 
 
-def _guarded(work: Callable[[str], Outcome], units: Sequence[str]) -> Callable[[str], Outcome]:
+@contextmanager
+def _deadline(spark: SparkSession, unit: str, seconds: float | None) -> Iterator[Event]:
+    """Runs Spark jobs of this thread under a tag of their own, and cancels those once time is up.
+
+    The event tells whether it was. Jobs started after that are cancelled too, so that no task is left.
+    With fair scheduling every unit has its own pool.
+    """
+    context, over, done = spark.sparkContext, Event(), Event()
+    tag = f"tableforge-{uuid4().hex}"
+    context.addJobTag(tag)
+    context.setInterruptOnCancel(True)
+    context.setLocalProperty("spark.scheduler.pool", unit)
+
+    def watch() -> None:
+        if not done.wait(seconds):
+            over.set()
+            while not done.wait(_CANCEL_AGAIN):
+                context.cancelJobsWithTag(tag)
+
+    watcher = Thread(target=watch, daemon=True) if seconds is not None else None
+    if watcher:
+        watcher.start()
+    try:
+        yield over
+    finally:
+        done.set()
+        if watcher:
+            watcher.join()
+        context.setLocalProperty("spark.scheduler.pool", None)
+        context.setInterruptOnCancel(False)
+        context.removeJobTag(tag)
+
+
+def _guarded(
+    spark: SparkSession, work: Callable[[str], Outcome], units: Sequence[str], seconds: float | None
+) -> Callable[[str], Outcome]:
     # A unit asked for twice runs twice, one after the other: both write the same table.
     turns = {unit: Lock() for unit in units}
 
     def run(unit: str) -> Outcome:
-        with turns[unit]:
+        with turns[unit], _deadline(spark, unit, seconds) as over:
             try:
                 return work(unit)
             except Exception as error:  # one unit's failure must not stop the others
-                return Outcome(FAILED_ROWS, FAIL, str(error))
+                reason = f"not done after {seconds} s" if over.is_set() else str(error)
+                return Outcome(FAILED_ROWS, FAIL, reason)
 
     return run
 
@@ -111,10 +151,11 @@ def _run_units(
     parallel: int,
     raise_on_failure: bool,
     skipped: Sequence[tuple[str, str]] = (),
+    deadline: float | None = None,
 ) -> DataFrame:
     # Spark schedules the jobs; the threads only keep several of them submitted.
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        run = inheritable_thread_target(spark)(_guarded(work, units))
+        run = inheritable_thread_target(spark)(_guarded(spark, work, units, deadline))
         outcomes = list(zip(units, pool.map(run, units)))
     outcomes += [(unit, Outcome(0, SKIP, reason)) for unit, reason in skipped]
     rows = [(i, unit, *outcome) for i, (unit, outcome) in enumerate(outcomes)]
@@ -137,6 +178,7 @@ def materialize_catalog(
     raise_on_failure: bool = False,
     check: str = CONTENT,
     journal: str | None = None,
+    deadline: float | None = None,
 ) -> DataFrame:
     """Copy tables of one scale into real tables and check what landed in each.
 
@@ -155,6 +197,8 @@ def materialize_catalog(
     ``journal`` is a folder in which landed copies are noted. A later run with the same folder copies only what did not land, or
     whose source changed, or whose table no longer shows that copy; its result is that of one clean run. A source that can't tell
     its state is copied again.
+
+    A copy that takes longer than ``deadline`` seconds has its tasks cancelled and fails; the others go on.
     """
     scale = scale.strip()
     database = database or quoted("tables_sf" + scale.replace(".", "_"))
@@ -174,7 +218,7 @@ def materialize_catalog(
             return Outcome(there.rows, OK, None, there.location, there.fingerprint)
         df = source.read(scale, table)
         if strict:
-            landed = create_checked(relax_nullability(df), target, fmt, drop_first=True, check=check)
+            landed = create_checked(relax_nested(df), target, fmt, drop_first=True, check=check)
         else:
             landed = save_checked(df, target, fmt, check=check)
         location = table_location(spark, target)
@@ -186,7 +230,7 @@ def materialize_catalog(
 
     skipped = [(name, "not in the source catalog") for name in chosen.missing]
     return _run_units(
-        spark, "table_name", chosen.tables, copy, parallel, raise_on_failure, skipped
+        spark, "table_name", chosen.tables, copy, parallel, raise_on_failure, skipped, deadline
     )
 
 

@@ -144,6 +144,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT 'orders' AS table_name, true AS found, count(*) AS "rows" FROM orders
         UNION ALL SELECT 'absent', false, 0""",
     "relax_nullability": "SELECT * FROM lineitem",
+    "relax_nested": "SELECT o_orderkey, o_orderstatus, o_orderkey AS again, true AS free FROM orders",
     "latest_by_key": _LATEST_EVENT.format(order="value DESC, event_id DESC"),
     "keyed_write": """
         SELECT * FROM orders QUALIFY row_number()

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableforge.functions.columns import any_like, quoted, starts_with_any, to_money
-from tableforge.functions.nullability import relax_nullability
+from tableforge.functions.nullability import relax_nested, relax_nullability, relaxed_type
 from tableforge.operators import tables as tb
 from tableforge.operators import words as wd
 from tableforge.operators.contents import CONTENT, PORTABLE
@@ -284,6 +284,22 @@ def relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relax_nullability(_table(spark, sf_dir, "lineitem"))
 
 
+def relaxed_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Orders inside a struct, an array and a map that all call themselves required, copied strictly.
+    orders = _table(spark, sf_dir, "orders")
+    key, status = F.coalesce("o_orderkey", F.lit(0)), F.coalesce("o_orderstatus", F.lit(""))
+    nested = orders.select(
+        F.struct(key.alias("id"), F.array(status).alias("states")).alias("o"), F.create_map(status, key).alias("m")
+    )
+    target = f"{_database(spark, 'relax_nested')}.orders"
+    tb.create_strict(relax_nested(nested), target)
+    free = spark.table(target).schema == relaxed_type(nested.schema)
+    return spark.table(target).select(
+        F.col("o.id").alias("o_orderkey"), F.col("o.states")[0].alias("o_orderstatus"),
+        F.map_values("m")[0].alias("again"), F.lit(free).alias("free"),
+    )
+
+
 def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_by_key(_table(spark, sf_dir, "events"), ["user_id"], ["value", "event_id"])
 
@@ -383,6 +399,7 @@ QUERIES: dict[str, Query] = {
     "multi_format": multi_format,
     "table_location": table_location,
     "relax_nullability": relaxed,
+    "relax_nested": relaxed_nested,
     "latest_by_key": latest,
     "keyed_write": keyed_write,
     "stream_insert": inserted,

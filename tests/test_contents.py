@@ -210,3 +210,43 @@ def test_a_whole_generated_sequence_is_one_bounded_run(spark, database):
     assert query.awaitTermination(60)
     ids = spark.table(f"{database}.whole").agg(F.min("id"), F.max("id"), F.count_distinct("id"), F.count("*")).first()
     assert tuple(ids) == (7, 5006, 5000, 5000)
+
+
+def test_a_hanging_source_fails_after_its_deadline_and_leaves_no_task(spark, database, source):
+    plain = source.read
+
+    def read(scale, table):
+        df = plain(scale, table)
+        if table != "b":
+            return df
+        return df.coalesce(1).withColumn("id", F.expr("if(reflect('java.lang.Thread', 'sleep', 600000L) = '', 0L, id)"))
+
+    source.read = read
+    # Warm, so that the good tables need a fraction of the time.
+    materialize_catalog(spark, source, "1", database, tables="a")
+    rows = materialize_catalog(spark, source, "1", database, tables="a,b,c", deadline=20).orderBy("position").collect()
+    assert [(r.table_name, r.rows, r.status) for r in rows] == [("a", 10, "OK"), ("b", -1, "FAIL"), ("c", 0, "OK")]
+    assert "20 s" in rows[1].error
+    tracker = spark.sparkContext.statusTracker()
+    assert not tracker.getActiveJobsIds() and not tracker.getActiveStageIds()
+    assert not spark.catalog.tableExists(f"{database}.b")
+
+
+def test_nothing_inside_a_relaxed_column_is_required(spark, tmp_path):
+    from pyspark.sql.types import ArrayType, LongType, MapType, StringType, StructField, StructType
+
+    from tableforge import read_relaxed, relax_nested, relaxed_type
+
+    inner = StructType([StructField("x", LongType(), False, {"c": "kept"})])
+    required = StructType([
+        StructField("s", inner, False), StructField("a", ArrayType(inner, False), False),
+        StructField("m", MapType(StringType(), ArrayType(LongType(), False), False), False),
+    ])
+    df = relax_nested(spark.createDataFrame([((1,), [(2,)], {"k": [3]})], required))
+    assert df.schema == relaxed_type(required) and df.schema["s"].dataType["x"].metadata == {"c": "kept"}
+    assert [tuple(r) for r in df.collect()] == [((1,), [(2,)], {"k": [3]})]
+    # Files with nulls where their schema allows none.
+    holes = spark.createDataFrame([((None,), [None], {"k": [None]}), (None, None, None)], relaxed_type(required))
+    holes.write.parquet(f"{tmp_path}/holes")
+    got = read_relaxed(spark.read.format("parquet"), required, f"{tmp_path}/holes")
+    assert got.schema == relaxed_type(required) and sorted(map(repr, got.collect())) == sorted(map(repr, holes.collect()))
