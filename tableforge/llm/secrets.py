@@ -163,11 +163,14 @@ def scan(
     ratios = constant(model)
 
     def ratio(s: Column) -> Column:
-        code = lambda i: F.ascii(F.substring(s, i, F.lit(1)))
+        # Runs are ASCII; they are cut into characters once, so a run costs as much as it is long.
+        codes = F.transform(F.split(s, ""), lambda c: F.ascii(c))
+        state = lambda total, last: F.struct(total.alias("total"), last.alias("last"))
         return F.aggregate(
-            F.sequence(F.lit(1), F.length(s)),
-            F.lit(0).cast("long"),
-            lambda a, i: a + F.get(ratios, F.when(i > 1, code(i - 1)).otherwise(F.lit(0)) * SYMBOLS + code(i)),
+            codes,
+            state(F.lit(0).cast("long"), F.lit(0)),
+            lambda a, c: state(a["total"] + F.get(ratios, a["last"] * SYMBOLS + c), c),
+            lambda a: a["total"],
         )
 
     unit = int(threshold * UNIT)

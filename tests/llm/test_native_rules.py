@@ -171,3 +171,47 @@ def test_without_trusted_documents_the_rules_decide(spark, labels):
     assert len(rows) == df.count() and any(r.kept for r in rows)
     assert all(r.kept == (not r.base_failed) for r in rows)
     assert q.quality_query(df.limit(0), known).count() == 0
+
+
+def _random_spans(text, model, base):
+    """The runs that look random and overlap no base span, by plain Python."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        codes = [0, *m.group().encode()]
+        total = sum(int(model[a * 128 + b]) for a, b in zip(codes, codes[1:], strict=False))
+        free = all(m.end() <= s or e <= m.start() for s, _, e in base)
+        if free and total >= len(m.group()) * int(sec.THRESHOLD * sec.UNIT):
+            out.append((m.start(), "random", m.end()))
+    return out
+
+
+def test_every_random_span_is_found(spark):
+    """Against plain Python; and of strings labelled random that no pattern takes, most are found."""
+    rng = np.random.default_rng(6)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    keys = ["".join(rng.choice(letters, 40)) for _ in range(60)]
+    names = ["some_ordinary_identifier_name", "another-plain-package-name", "x" * 30, "the_end_of_all_things_here"]
+    texts = [f"é {a} then {b}, password={a[:12]} {c}" for a, b, c in zip(keys, names * 15, keys[::-1], strict=True)]
+    df = table(spark, [(1000 + i, t, "en", "a") for i, t in enumerate(texts)] + awkward())
+    model = sec.train(sec.random_strings(spark), sec.ordinary_strings(df))
+    found = 0
+    body = {r.doc_id: r.text or "" for r in df.select("doc_id", "text").collect()}
+    assert len(body) > 60
+    for r in sec.scan(df, model).collect():
+        base = [tuple(b) for b in r.base]
+        want = _random_spans(body[r.doc_id], model, base)
+        assert [tuple(f) for f in r.found if f["kind"] == "random"] == want
+        found += sum(body[r.doc_id][s:e] in keys for s, _, e in want)
+    assert found >= 0.9 * 2 * len(keys)
+
+
+def test_a_run_of_a_megabyte_takes_seconds(spark):
+    import time
+
+    rng = np.random.default_rng(1)
+    run = "".join(rng.choice(list("ABCDEFGHabcdefgh0123456789+/"), 1 << 20))
+    model = sec.train(sec.random_strings(spark), sec.ordinary_strings(table(spark, awkward())))
+    start = time.monotonic()
+    (row,) = sec.scan(table(spark, [(1, f"image {run} end", None, None)]), model).collect()
+    assert time.monotonic() - start < 60
+    assert [tuple(f) for f in row.found] == [(6, "random", 6 + len(run))]
