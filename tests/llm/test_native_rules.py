@@ -193,7 +193,8 @@ def test_every_random_span_is_found(spark):
     names = ["some_ordinary_identifier_name", "another-plain-package-name", "x" * 30, "the_end_of_all_things_here"]
     texts = [f"é {a} then {b}, password={a[:12]} {c}" for a, b, c in zip(keys, names * 15, keys[::-1], strict=True)]
     df = table(spark, [(1000 + i, t, "en", "a") for i, t in enumerate(texts)] + awkward())
-    model = sec.train(sec.random_strings(spark), sec.ordinary_strings(df))
+    prose = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = sec.train(sec.random_strings(spark), sec.ordinary_strings(prose))
     found = 0
     body = {r.doc_id: r.text or "" for r in df.select("doc_id", "text").collect()}
     assert len(body) > 60
