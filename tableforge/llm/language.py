@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -11,13 +12,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tableforge.llm.texts import stored
+
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 SIZES = (2, 3)
 PER_LANG = 1000
 MAX_SAMPLE = 20_000
-MAX_LANGS = 500
+SAMPLE_BYTES = 1 << 30
+HOLD_BACK = 5
 REJECT = 0.001
 _CHUNK = 1 << 20
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -29,30 +33,45 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
-def _codes(text: str) -> np.ndarray:
-    """Lower-case letters of a text, each run of them followed by one 0."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    letter = _letters()[codes]
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    codes = np.where(letter, codes, np.uint32(0))[keep]
-    return np.concatenate([np.zeros(1, np.uint32), codes]) if len(codes) else codes
-
+def _subwords(text: str, buckets: int) -> Iterator[np.ndarray]:
+    """The buckets of the character n-grams of one text, some at a time.
 
-def _subwords(codes: np.ndarray, buckets: int) -> Iterator[np.ndarray]:
-    """The buckets of the character n-grams of one text, some at a time."""
+    They are taken from its letters, lower-cased in pieces of a million characters, with one 0 at the
+    start and after each run of letters. No more than a piece is held.
+    """
     reach = max(SIZES) - 1
-    for start in range(0, len(codes), _CHUNK):
-        part = codes[start : start + _CHUNK + reach]
-        own = min(_CHUNK, len(codes) - start)
+    tail, after_letter = np.zeros(1, np.uint32), False
+    for start in range(0, len(text), _CHUNK):
+        codes = np.frombuffer(text[start : start + _CHUNK].lower().encode("utf-32-le"), np.uint32)
+        letter = _letters()[codes]
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        keep[0] |= after_letter
+        after_letter = letter[-1]
+        fresh = np.where(letter, codes, np.uint32(0))[keep]
+        if not len(fresh):
+            continue
+        joined = np.concatenate([tail, fresh])
         for n in SIZES:
-            runs = min(own, len(part) - n + 1)
+            # Those that end in this piece.
+            part = joined[max(len(tail) - n + 1, 0) :]
+            runs = len(part) - n + 1
             if runs > 0:
                 h = np.full(runs, n, np.uint32)
                 for i in range(n):
                     h = (h + part[i : i + runs]) * _FACTORS[i % 3]
                     h ^= h >> np.uint32(15)
                 yield (h & np.uint32(buckets - 1)).astype(np.int32)
+        tail = joined[-reach:]
+
+
+def _counted(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that a text uses, and how often it uses each."""
+    total = np.zeros(buckets, np.int64)
+    for b in _subwords(text, buckets):
+        total += np.bincount(b, minlength=buckets)
+    used = np.flatnonzero(total)
+    return used.astype(np.int32), total[used]
 
 
 @dataclass
@@ -68,7 +87,7 @@ class LanguageModel:
     def logits(self, text: str) -> np.ndarray | None:
         """None for a text without a letter."""
         total, n = np.zeros(len(self.langs)), 0
-        for b in _subwords(_codes(text), len(self.table)):
+        for b in _subwords(text, len(self.table)):
             total += self.table[b].sum(axis=0, dtype=np.float64)
             n += len(b)
         return total / n if n else None
@@ -100,8 +119,10 @@ def fit(
 ) -> LanguageModel:
     """Train on (lang, buckets, counts) by stochastic gradient descent, one text at a time.
 
-    Every fifth sample is held back. On those a temperature is fitted by least log loss, and the
-    score that all but a share ``reject`` of them reach becomes the floor.
+    A step moves the mean of a text's embeddings by the whole gradient, whatever its length. The fifth, tenth
+    and so on sample of each language is held back. On those a temperature is fitted by least log loss, and the
+    score that all but a share ``reject`` of them reach becomes the floor. With fewer than five samples of
+    every language none is held back: the temperature is 1 and no score is too low.
     """
     langs = sorted({s[0] for s in samples})
     if not langs:
@@ -110,8 +131,10 @@ def fit(
     rng = np.random.default_rng(seed)
     embedding = rng.uniform(-1 / dimensions, 1 / dimensions, (buckets, dimensions))
     output = np.zeros((dimensions, len(langs)))
-    held = samples[::5] if len(samples) >= 50 else samples
-    train = [s for i, s in enumerate(samples) if i % 5] if len(samples) >= 50 else samples
+    held, train, seen = [], [], Counter()
+    for s in samples:
+        seen[s[0]] += 1
+        (train if seen[s[0]] % HOLD_BACK else held).append(s)
     steps, done = epochs * len(train), 0
     for _ in range(epochs):
         for i in rng.permutation(len(train)):
@@ -123,10 +146,12 @@ def fit(
             step = rate * (1 - done / steps)
             back = output @ grad
             output -= step * np.outer(x, grad)
-            # A subword's own share is small; each gets the text's whole step, as the mean moves by it.
-            embedding[b] -= step * np.outer(share * min(len(b), 100), back)
+            # A subword's own share is small; so scaled, the mean moves by the whole step.
+            embedding[b] -= step * np.outer(share / (share @ share), back)
             done += 1
     table = (embedding @ output).astype(np.float32)
+    if not held:
+        return LanguageModel(langs, table, 1.0, 0.0)
     z = np.array([(c / c.sum()) @ table[b].astype(np.float64) for _, b, c in held])
     y = np.array([index[s[0]] for s in held])
     loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()
@@ -141,51 +166,77 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def _least_hashes(hashes: DataFrame, take: int) -> DataFrame:
+    """``lang, order, place``: the ``take`` least different hashes of each language, placed from 1.
+
+    Languages are not ranked whole: hashes are counted by their size, in steps of about one percent, and only the
+    rows up to the step that holds the last place are ranked, which number hardly more than ``take``
+    whatever the language's share of the input.
+    """
+    size = F.shiftrightunsigned("order", 1)
+    different = hashes.distinct().withColumn("step", F.floor(F.log2(size + 1) * 64))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("step")) - F.col("n")
+    last = (
+        different.groupBy("lang", "step").agg(F.count("*").alias("n"))
+        .withColumn("before", before)
+        .filter(F.col("before") < take)
+        .groupBy("lang")
+        .agg(F.max("step").alias("last"))
+    )
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("order", 1), "order"))
+    near = different.join(last, "lang").filter("step <= last")
+    return near.select("lang", "order", place.alias("place")).filter(F.col("place") <= take)
+
+
 def sample(
     docs: DataFrame, text: str = "text", lang: str = "lang",
     per_lang: int = PER_LANG, max_sample: int = MAX_SAMPLE, buckets: int = BUCKETS,
+    sample_bytes: int = SAMPLE_BYTES,
 ) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """A bounded sample of labelled texts as counts of their subwords.
 
-    For each language the ``per_lang`` different texts with the smallest hashes, and at most
-    ``max_sample`` texts of the at most ``MAX_LANGS`` most frequent languages. Whole texts are counted,
-    by the tasks; a row has at most ``buckets`` numbers, however long its text.
+    For each language the ``per_lang`` different texts with the smallest hashes, or fewer of each, so that the
+    sample has at most ``max_sample`` texts and ``sample_bytes`` bytes of counts, but always one of every
+    language: all are learnt. Whole texts are counted, by the tasks; a text takes at most 12 bytes
+    times ``buckets``, however long it is.
     """
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter(
         "text IS NOT NULL AND lang IS NOT NULL"
     ).withColumn("order", F.xxhash64("text"))
-    top = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not top:
+    hashes = stored(labelled.select("lang", "order").distinct(), "language-hashes")
+    langs = hashes.agg(F.count_distinct("lang")).first()[0]
+    if not langs:
         return []
-    take = max(1, min(per_lang, max_sample // len(top)))
-    named = labelled.filter(F.col("lang").isin([r["lang"] for r in top]))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
-    cuts = (
-        named.groupBy("lang", "order").agg(F.lit(1).alias("one"))
-        .withColumn("place", place)
-        .filter(F.col("place") <= take)
-        .groupBy("lang")
-        .agg(F.max("order").alias("cut"))
-    )
-    chosen = named.join(F.broadcast(cuts), "lang").filter("order <= cut").dropDuplicates(["lang", "order"])
+    take = max(1, min(per_lang, max_sample // langs))
+    # At most max_sample rows, or one a language; as a written table their size is known to the planner.
+    picked = stored(_least_hashes(hashes, take), "language-picked")
+    chosen = labelled.join(picked, ["lang", "order"]).dropDuplicates(["lang", "order"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
-            for body in batch["text"]:
-                total = np.zeros(buckets, np.int64)
-                for b in _subwords(_codes(body), buckets):
-                    total += np.bincount(b, minlength=buckets)
-                used = np.flatnonzero(total)
-                found.append((used.astype(np.int32), total[used]))
+            found = [_counted(body, buckets) for body in batch["text"]]
             yield pd.DataFrame(
-                {"lang": batch["lang"], "order": batch["order"],
-                 "b": [f[0] for f in found], "n": [f[1] for f in found]}
+                {"lang": batch["lang"], "order": batch["order"], "place": batch["place"],
+                 "b": [f[0].tobytes() for f in found], "n": [f[1].tobytes() for f in found]}
             )
 
-    rows = chosen.mapInPandas(count, "lang string, order long, b array<int>, n array<long>").collect()
+    counts = stored(
+        chosen.mapInPandas(count, "lang string, order long, place int, b binary, n binary"), "language-sample"
+    )
+    sizes = counts.groupBy("place").agg(F.sum(F.length("b") + F.length("n")).alias("bytes")).collect()
+    places, spent = 1, 0
+    for row in sorted(sizes, key=lambda r: r["place"]):
+        spent += row["bytes"]
+        if spent > sample_bytes:
+            break
+        places = row["place"]
+    rows = counts.filter(F.col("place") <= places).collect()
     rows.sort(key=lambda r: (r["order"], r["lang"]))
-    return [(r["lang"], np.array(r["b"]), np.array(r["n"], float)) for r in rows if r["b"]]
+    return [
+        (r["lang"], np.frombuffer(r["b"], np.int32), np.frombuffer(r["n"], np.int64).astype(float))
+        for r in rows
+        if r["b"]
+    ]
 
 
 def detect(

@@ -29,12 +29,11 @@ def test_held_out_accuracy(spark):
 
 
 def _model():
-    count = lambda t: np.unique(np.concatenate(list(lang._subwords(lang._codes(t), 1 << 12))), return_counts=True)
     rng = random.Random(1)
     samples = []
     for i in range(120):
         name, alphabet = (("xx", "abcde "), ("yy", "vwxyz "))[i % 2]
-        b, n = count("".join(rng.choice(alphabet) for _ in range(60)) + "a" * (i % 2 == 0))
+        b, n = lang._counted("".join(rng.choice(alphabet) for _ in range(60)) + "a" * (i % 2 == 0), 1 << 12)
         samples.append((name, b, n.astype(float)))
     return lang.fit(samples, buckets=1 << 12)
 
@@ -85,6 +84,106 @@ def test_language_of_nothing(spark):
     assert lang.accepted_documents(unlabelled).count() == 1
 
 
+def _plain_subwords(text, buckets):
+    """The same n-grams one by one, of the whole text."""
+    codes = [0]
+    for c in text.lower():
+        if c.isalpha():
+            codes.append(ord(c))
+        elif codes[-1]:
+            codes.append(0)
+    found = Counter()
+    for n in lang.SIZES:
+        for at in range(len(codes) - n + 1):
+            h = n
+            for i in range(n):
+                h = (h + codes[at + i]) * int(lang._FACTORS[i]) % 2**32
+                h ^= h >> 15
+            found[h % buckets] += 1
+    return found if len(codes) > 1 else Counter()
+
+
+@pytest.mark.parametrize("text", ["", "7!", "a", " Ab\tcd, e", "x1yé ", "ΑΒΓ δεζ" * 7])
+@pytest.mark.parametrize("chunk", [1, 3, 1 << 20])
+def test_subwords_one_by_one(monkeypatch, text, chunk):
+    monkeypatch.setattr(lang, "_CHUNK", chunk)
+    b, n = lang._counted(text, 1 << 10)
+    assert dict(zip(b.tolist(), n.tolist())) == _plain_subwords(text, 1 << 10)
+
+
+def _plain_training(samples, buckets, dimensions, epochs, rate, seed):
+    """The training and the logits again, number by number."""
+    langs = sorted({s[0] for s in samples})
+    rng = np.random.default_rng(seed)
+    emb = rng.uniform(-1 / dimensions, 1 / dimensions, (buckets, dimensions)).tolist()
+    out = [[0.0] * len(langs) for _ in range(dimensions)]
+    train = []
+    for name in langs:
+        train += [s for i, s in enumerate([s for s in samples if s[0] == name], 1) if i % 5]
+    train = [s for s in samples if any(s is t for t in train)]
+    done, steps = 0, epochs * len(train)
+    for _ in range(epochs):
+        for i in rng.permutation(len(train)):
+            name, b, n = train[i]
+            share = [c / sum(n) for c in n]
+            x = [sum(w * emb[k][d] for w, k in zip(share, b)) for d in range(dimensions)]
+            z = [math.exp(sum(x[d] * out[d][j] for d in range(dimensions))) for j in range(len(langs))]
+            grad = [e / sum(z) - (langs[j] == name) for j, e in enumerate(z)]
+            step = rate * (1 - done / steps)
+            back = [sum(out[d][j] * grad[j] for j in range(len(langs))) for d in range(dimensions)]
+            for d in range(dimensions):
+                for j in range(len(langs)):
+                    out[d][j] -= step * x[d] * grad[j]
+                for w, k in zip(share, b):
+                    emb[k][d] -= step * w / sum(v * v for v in share) * back[d]
+            done += 1
+    return lambda b, n: [
+        sum(c * sum(emb[k][d] * out[d][j] for d in range(dimensions)) for k, c in zip(b, n)) / sum(n)
+        for j in range(len(langs))
+    ]
+
+
+def test_training_number_by_number():
+    rng = random.Random(3)
+    texts = [(name, "".join(rng.choice(a) for _ in range(25))) for name, a in (("p", "abc "), ("q", "bcd "), ("r", "xyz ")) * 6]
+    samples = [(name, *lang._counted(t, 1 << 8)) for name, t in texts]
+    model = lang.fit(samples, buckets=1 << 8, dimensions=4, epochs=3, rate=0.5, seed=5)
+    plain = _plain_training(samples, 1 << 8, 4, 3, 0.5, 5)
+    for t in ("abc bca", "xyzzy", texts[4][1]):
+        found = _plain_subwords(t, 1 << 8)
+        assert model.logits(t) == pytest.approx(plain(list(found), list(found.values())), abs=1e-5)
+
+
+def test_six_hundred_languages_are_all_learnt(spark):
+    # Each language writes in a letter pair of its own.
+    letters = [chr(0x4E00 + i) for i in range(600)]
+    rows = [(4 * i + k, f"{c}a{c} {c}{'b' * (k + 1)}{c}", f"l{i:03}", "s") for i, c in enumerate(letters) for k in range(4)]
+    picked = lang.sample(table(spark, rows), buckets=1 << 14)
+    assert len({p[0] for p in picked}) == 600 and len(picked) == 2400
+    model = lang.fit(picked, buckets=1 << 14)
+    assert len(model.langs) == 600 and (model.temperature, model.floor) == (1.0, 0.0)
+    assert np.mean([model.predict(f"{c}a{c}")[0] == f"l{i:03}" for i, c in enumerate(letters)]) > 0.95
+    # With next to no bytes, one text of each is still taken.
+    assert len(lang.sample(table(spark, rows), buckets=1 << 14, sample_bytes=1)) == 600
+
+
+def test_ten_samples_hold_back_two():
+    model = lang.fit([(name, *lang._counted(a * 9, 1 << 8)) for name, a in (("p", "ab "), ("q", "xy ")) for _ in range(5)], buckets=1 << 8)
+    assert model.predict("ab ab")[0] == "p" and model.predict("xyx")[0] == "q" and model.floor > 0.5
+    one = lang.fit([("p", *lang._counted("ab", 1 << 8))], buckets=1 << 8)
+    assert one.predict("zz")[:1] == ("p",) and one.predict("zz")[2]
+
+
+def test_least_hashes_of_a_hot_language(spark):
+    rng = random.Random(2)
+    hashes = [("hot", rng.getrandbits(64) - 2**63) for _ in range(5000)] + [("rare", rng.getrandbits(64) - 2**63) for _ in range(3)]
+    df = spark.createDataFrame(hashes + hashes[:2000], "lang string, order long")
+    got = lang._least_hashes(df, 40).collect()
+    for name in ("hot", "rare"):
+        least = sorted((h for n, h in hashes if n == name), key=lambda h: h % 2**64)[:40]
+        assert [r.order for r in sorted(got, key=lambda r: r.place) if r.lang == name] == least
+
+
 def _brute_scores(rows, order, least):
     counts = Counter()
     texts = [words(t) for _, t, *_ in rows]
