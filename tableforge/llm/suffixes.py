@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,9 @@ HOT_SHARE = 1e-4
 SAMPLE = 16
 
 _BASE = 0x9E3779B97F4A7C15
+_byte_hash = xxhash.xxh3_64_intdigest
 _MARK, _SORT, _SINGLE = 0, 1, 2
-_OUT = "kind int, key long, key2 long, doc long, start long, n long"
+_OUT = "kind int, key long, key2 long, key3 long, doc long, start long, n long"
 
 
 # ---- two-stage suffix sorting -------------------------------------------------------------
@@ -216,13 +218,13 @@ def _contexts(docs: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarr
 
     A window's anchor is the string of ANCHOR bytes with the least hash in it, the leftmost on a tie, so
     equal windows have equal anchors at equal offsets. ``docs`` has (id, place of the first
-    byte, bytes). Returns for every run of windows with one anchor: the anchor's hash, a hash of all the
-    run covers, the id, the place of the first window, and the number of windows.
+    byte, bytes). Returns for every run of windows with one anchor: the anchor's hash, two unlike hashes of
+    all the run covers, the id, the place of the first window, and the number of windows.
     """
     text = np.frombuffer(b"".join(d[2] for d in docs), np.uint8)
     sizes = np.array([len(d[2]) for d in docs])
     if len(text) < length:
-        return tuple(np.empty(0, np.int64) for _ in range(5))
+        return tuple(np.empty(0, np.int64) for _ in range(6))
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     sums = _prefix_sums(text)
     places = np.arange(len(text) - ANCHOR + 1)
@@ -243,54 +245,59 @@ def _contexts(docs: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarr
     at = np.searchsorted(offsets, start, side="right") - 1
     content = _string_hash(sums, start, start + count + length - 1)
     content = _stirred(content ^ ((anchor[head] - start).astype(np.uint64) << np.uint64(40)))
+    # A polynomial modulo 2**64 alone can be made to collide.
+    raw = text.tobytes()
+    ends = (start + count + length - 1).tolist()
+    other = np.fromiter((_byte_hash(raw[a:b]) for a, b in zip(start.tolist(), ends, strict=True)), np.uint64, len(start))
     ids, bases = np.array([d[0] for d in docs]), np.array([d[1] for d in docs])
     return (
         anchors[anchor[head]].view(np.int64),
         content.view(np.int64),
+        other.view(np.int64),
         ids[at],
         start - offsets[at] + bases[at],
         count,
     )
 
 
-def _firsts(key, key2, doc, start):
-    """An order by key, key2, doc, start, which rows head a (key, key2) and which equal its head."""
-    order = np.lexsort((start, doc, key2, key))
-    key, key2, doc, start = key[order], key2[order], doc[order], start[order]
+def _firsts(key, key2, key3, doc, start):
+    """An order by the keys, doc, start, which rows head their keys and which equal that head."""
+    order = np.lexsort((start, doc, key3, key2, key))
+    key, key2, key3, doc, start = (c[order] for c in (key, key2, key3, doc, start))
     head = np.ones(len(order), bool)
-    head[1:] = (key[1:] != key[:-1]) | (key2[1:] != key2[:-1])
+    head[1:] = (key[1:] != key[:-1]) | (key2[1:] != key2[:-1]) | (key3[1:] != key3[:-1])
     lead = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
     return order, head, (doc == doc[lead]) & (start == start[lead])
 
 
-def _batch(kind, key, key2, doc, start, n) -> pa.RecordBatch:
+def _batch(kind, key, key2, key3, doc, start, n) -> pa.RecordBatch:
     size = len(doc)
-    columns = [np.broadcast_to(np.asarray(c), size) for c in (kind, key, key2, doc, start, n)]
-    kinds = [pa.int32(), *[pa.int64()] * 5]
-    names = ["kind", "key", "key2", "doc", "start", "n"]
+    columns = [np.broadcast_to(np.asarray(c), size) for c in (kind, key, key2, key3, doc, start, n)]
+    kinds = [pa.int32(), *[pa.int64()] * 6]
+    names = ["kind", "key", "key2", "key3", "doc", "start", "n"]
     return pa.RecordBatch.from_arrays(
         [pa.array(np.ascontiguousarray(c), t) for c, t in zip(columns, kinds, strict=True)], names
     )
 
 
-def _once(kind: int, key, key2, doc, start, n) -> Iterator[pa.RecordBatch]:
-    """Of equal (key, key2), the first row as ``kind`` and the others as marks.
+def _once(kind: int, key, key2, key3, doc, start, n) -> Iterator[pa.RecordBatch]:
+    """Of equal keys, the first row as ``kind`` and the others as marks.
 
     So a string that is everywhere leaves a task as one row per flush, and its other places in the
     flush are settled.
     """
     if len(doc):
-        order, head, same = _firsts(key, key2, doc, start)
-        yield _batch(kind, *(c[order[head]] for c in (key, key2, doc, start, n)))
+        order, head, same = _firsts(key, key2, key3, doc, start)
+        yield _batch(kind, *(c[order[head]] for c in (key, key2, key3, doc, start, n)))
         later = order[~same]
-        yield _batch(_MARK, 0, 0, doc[later], start[later], n[later])
+        yield _batch(_MARK, 0, 0, 0, doc[later], start[later], n[later])
 
 
 def _context_rows(docs: list[tuple[int, int, bytes]], length: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Contexts, each once; the windows of hot anchors singly."""
-    key, key2, doc, start, n = _contexts(docs, length)
+    key, key2, key3, doc, start, n = _contexts(docs, length)
     single = np.isin(key, hot)
-    yield from _once(_SORT, *(c[~single] for c in (key, key2, doc, start, n)))
+    yield from _once(_SORT, *(c[~single] for c in (key, key2, key3, doc, start, n)))
     if single.any():
         texts = {(d, base): data for d, base, data in docs}
         pieces = []
@@ -348,30 +355,30 @@ def _columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> dict[str, p
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks for all but the first place of a context; anchors with several contexts go on."""
-    names = ["kind", "key", "key2", "doc", "start", "n"]
+    names = ["kind", "key", "key2", "key3", "doc", "start", "n"]
     found = _columns(batches, names)
     if found is None:
         return
-    kind, key, key2, doc, start, n = (found[c].to_numpy() for c in names)
+    kind, key, key2, key3, doc, start, n = (found[c].to_numpy() for c in names)
     mark, single = kind == _MARK, kind == _SINGLE
-    yield _batch(_MARK, 0, 0, doc[mark], start[mark], n[mark])
+    yield _batch(_MARK, 0, 0, 0, doc[mark], start[mark], n[mark])
     if single.any():
         some = np.flatnonzero(single)
-        order, _, same = _firsts(*(c[some] for c in (key, key2, doc, start)))
+        order, _, same = _firsts(*(c[some] for c in (key, key2, key3, doc, start)))
         later = some[order[~same]]
-        yield _batch(_MARK, 0, 0, doc[later], start[later], n[later])
-    key, key2, doc, start, n = (c[kind == _SORT] for c in (key, key2, doc, start, n))
+        yield _batch(_MARK, 0, 0, 0, doc[later], start[later], n[later])
+    key, key2, key3, doc, start, n = (c[kind == _SORT] for c in (key, key2, key3, doc, start, n))
     if not len(key):
         return
-    order, head, same = _firsts(key, key2, doc, start)
+    order, head, same = _firsts(key, key2, key3, doc, start)
     later = order[~same]
-    yield _batch(_MARK, 0, 0, doc[later], start[later], n[later])
+    yield _batch(_MARK, 0, 0, 0, doc[later], start[later], n[later])
     lead = order[head]
     anchor, at = np.unique(key[lead], return_inverse=True)
     crowd = np.bincount(at, minlength=len(anchor))[at]
     for kind, some in ((_SORT, (crowd > 1) & (crowd <= CROWD)), (_SINGLE, crowd > CROWD)):
         of = lead[some]
-        yield _batch(kind, key[of], key2[of], doc[of], start[of], n[of])
+        yield _batch(kind, key[of], key2[of], key3[of], doc[of], start[of], n[of])
 
 
 def _fetch(length: int):
@@ -393,7 +400,7 @@ def _fetch(length: int):
                     starts.append(w["start"])
                     counts.append(w["n"])
                     bytes_.append(piece)
-            parts = [_batch(_SORT, np.array(keys, np.int64), 0, np.array(docs, np.int64), np.array(starts, np.int64), np.array(counts, np.int64))]
+            parts = [_batch(_SORT, np.array(keys, np.int64), 0, 0, np.array(docs, np.int64), np.array(starts, np.int64), np.array(counts, np.int64))]
             data = [pa.array(bytes_, pa.binary())]
             for start in range(0, len(single), 1 << 15):
                 for part in _windows(single[start : start + (1 << 15)], length):
@@ -418,7 +425,7 @@ def _windows(pieces: list[tuple[int, int, bytes]], length: int) -> Iterator[pa.R
     half = _string_hash(_prefix_sums(text[::-1].copy()), len(text) - start - length, len(text) - start)
     doc, first = np.array([p[0] for p in pieces]), np.array([p[1] for p in pieces])
     yield from _once(
-        _SINGLE, _stirred(h).view(np.int64), _stirred(half).view(np.int64),
+        _SINGLE, _stirred(h).view(np.int64), _stirred(half).view(np.int64), np.zeros(len(at), np.int64),
         doc[at], first[at] + place, np.ones(len(at), np.int64),
     )
 
@@ -442,7 +449,7 @@ def _sort_contexts(data: list[bytes], doc, start, n, length: int) -> Iterator[pa
     order, group = order[several], group[several]
     at = np.searchsorted(offsets, order, side="right") - 1
     docs, starts = doc[at], start[at] + order - offsets[at]
-    by, _, same = _firsts(group, np.zeros_like(group), docs, starts)
+    by, _, same = _firsts(group, np.zeros_like(group), np.zeros_like(group), docs, starts)
     docs, starts = docs[by[~same]], starts[by[~same]]
     # Neighbouring windows of a document make one mark.
     by = np.lexsort((starts, docs))
@@ -451,22 +458,22 @@ def _sort_contexts(data: list[bytes], doc, start, n, length: int) -> Iterator[pa
         new = np.append(True, (docs[1:] != docs[:-1]) | (np.diff(starts) > 1))
         head = np.flatnonzero(new)
         last = np.append(head[1:], len(docs)) - 1
-        yield _batch(_MARK, 0, 0, docs[head], starts[head], starts[last] - starts[head] + 1)
+        yield _batch(_MARK, 0, 0, 0, docs[head], starts[head], starts[last] - starts[head] + 1)
 
 
 def _sorted_marks(length: int):
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "key", "key2", "doc", "start", "n"]
+        names = ["kind", "key", "key2", "key3", "doc", "start", "n"]
         found = _columns(batches, [*names, "data"])
         if found is None:
             return
-        kind, key, key2, doc, start, n = (found[c].to_numpy() for c in names)
+        kind, key, key2, key3, doc, start, n = (found[c].to_numpy() for c in names)
         mark, single = kind == _MARK, np.flatnonzero(kind == _SINGLE)
-        yield _batch(_MARK, 0, 0, doc[mark], start[mark], n[mark])
+        yield _batch(_MARK, 0, 0, 0, doc[mark], start[mark], n[mark])
         if len(single):
-            order, _, same = _firsts(*(c[single] for c in (key, key2, doc, start)))
+            order, _, same = _firsts(*(c[single] for c in (key, key2, key3, doc, start)))
             later = single[order[~same]]
-            yield _batch(_MARK, 0, 0, doc[later], start[later], n[later])
+            yield _batch(_MARK, 0, 0, 0, doc[later], start[later], n[later])
         # Equal windows have equal anchors, so some anchors at a time are sorted.
         some = np.flatnonzero(kind == _SORT)
         some = some[np.argsort(key[some], kind="stable")]
@@ -521,7 +528,8 @@ def remove_repeats(
     A suffix array of all texts would be many times their size and in one place, so the windows
     are first dealt out: each belongs to the anchor string with the least hash in it, and equal windows
     have equal anchors. Windows next to each other with one anchor form a context. Equal
-    contexts leave a task once; all but the first place of a context is settled by its hash. The
+    contexts leave a task once; all but the first place of a context is settled by two unlike hashes of
+    64 bits besides the anchor's. The
     different contexts of an anchor are sorted by two-stage suffix sorting in the anchor's
     task, a few megabytes at a time, and adjacent common prefixes of ``length`` bytes give the equal
     windows. An anchor with very many different contexts, such as a short line of many documents, has its

@@ -190,3 +190,35 @@ def _some_anchors(rows):
 
 def test_nothing_to_repeat(spark):
     assert remove_repeats(table(spark, [])).collect() == []
+
+
+def test_contexts_that_collide_in_one_hash_stay_apart(monkeypatch):
+    """With a polynomial hash that is the same for every context, the other hash tells them apart."""
+    rng = random.Random(8)
+    anchor = "".join(rng.choice("abcdefgh") for _ in range(40))
+    texts = ["".join(rng.choice("ijklmnop") for _ in range(90)) + anchor + f"{i:04}" * 25 for i in range(30)]
+    texts += texts[:10]
+    docs = [(i, 0, t.encode()) for i, t in enumerate(texts)]
+    plain = suffixes._contexts(docs, 100)
+    stirred = suffixes._stirred
+    monkeypatch.setattr(suffixes, "_stirred", lambda h: stirred(h) if h.size > len(plain[0]) else h * np.uint64(0))
+    found = suffixes._contexts(docs, 100)
+    assert (found[0] == plain[0]).all() and not found[1].any()
+    batches = list(suffixes._once(suffixes._SORT, *found))
+    settled = list(suffixes._settle(iter(batches[:1])))
+    marks = [m for b in batches[1:] + settled for m in b.to_pylist() if m["kind"] == suffixes._MARK]
+    # Only places in the copies are settled: a context of any other text stays to be sorted.
+    same = {}
+    lost = set()
+    for key, other, doc, start, n in zip(found[0], found[2], found[3], found[4], found[5]):
+        body = docs[doc][2][start : start + n + 99]
+        if same.setdefault((key, other), body) != body:
+            lost.add((doc, start))
+    assert not lost
+    assert {m["doc"] for m in marks} and all(m["doc"] >= 30 or _earlier(docs, m) for m in marks)
+
+
+def _earlier(docs, mark):
+    """Whether what a mark covers also starts in an earlier text, or earlier in its own."""
+    body = docs[mark["doc"]][2][mark["start"] : mark["start"] + mark["n"] + 99]
+    return any(body in d[2] for d in docs[: mark["doc"]]) or docs[mark["doc"]][2].find(body) < mark["start"]
