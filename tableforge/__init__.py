@@ -15,6 +15,7 @@ from tableforge.functions.nullability import read_relaxed, relax_nested, relax_n
 from tableforge.operators.contents import Contents, contents
 from tableforge.operators.latest import latest_by_key, write_keyed
 from tableforge.operators.tables import (
+    add_new_partitions,
     create_checked,
     create_strict,
     ctas,
@@ -88,6 +89,8 @@ __all__ = [
     "read_lines",
     "read_relaxed",
     "recommended_conf",
+    "add_new_partitions",
+    "read_urls",
     "register_external",
     "register_sequence",
     "relax_nested",

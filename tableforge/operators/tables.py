@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +23,9 @@ from tableforge.operators.contents import CONTENT, ROWS, Contents, Written
 from tableforge.workspace import delete_folder, file_sizes, folder_names, join_files, replace_folder
 
 UNKNOWN_LOCATION = "<unknown>"
+# Fixed value: the folder name of a partition whose value is null.
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+_PER_STATEMENT = 500
 LOCATION_PATTERN = "^[A-Za-z][A-Za-z0-9+.-]*:/"
 
 # Words survive a round trip only if quotes are doubled and blanks are kept.
@@ -281,7 +286,49 @@ def register_external(
         f"CREATE TABLE {table} ({schema.toDDL()}) USING {fmt} {partitions} LOCATION {literal(folder)}"
     )
     if partitioned_by:
-        spark.sql(f"MSCK REPAIR TABLE {table}")
+        add_new_partitions(spark, table)
+
+
+def add_new_partitions(spark: SparkSession, table: str) -> int:
+    """Register the partitions whose folders a table does not know yet; returns their number.
+
+    The folder is listed by Spark's own parallel listing, no file is opened, and the partitions found are joined with
+    those that the table has: only new ones reach the driver and the catalog, some hundreds per statement.
+    ``table`` must have its database in its name. Partitions without a folder are left as they are.
+    """
+    database_of(table)
+    columns = [c for c in spark.catalog.listColumns(table) if c.isPartition]
+    if not columns:
+        raise ValueError(f"{table} has no partition columns")
+    # The details follow the columns, one of which may have the same name.
+    described = spark.sql(f"DESCRIBE FORMATTED {table}").filter("col_name = 'Provider'").collect()[-1]
+    # A session of its own, so that the caller's settings stay as they are: partitions come from the listing alone.
+    own = spark.newSession()
+    own.conf.set("spark.sql.optimizer.metadataOnly", "true")
+    files = own.read.schema(spark.table(table).schema).format(described["data_type"]).load(table_location(spark, table))
+    names = [c.name for c in columns]
+    found = files.select(*(F.col(quoted(n)) for n in names)).distinct()
+    parts = F.split("partition", "/")
+
+    def value(i: int) -> Column:
+        escaped = F.substring_index(F.get(parts, F.lit(i)), "=", -1)
+        plain = F.url_decode(F.replace(escaped, F.lit("+"), F.lit("%2B")))
+        return F.when(escaped != _NO_VALUE, plain).cast(columns[i].dataType)
+
+    known = own.sql(f"SHOW PARTITIONS {table}").select(
+        F.lit(True).alias("is known"), *(value(i).alias(f"known {i}") for i in range(len(names)))
+    )
+    same = reduce(and_, (F.col(quoted(n)).eqNullSafe(F.col(f"`known {i}`")) for i, n in enumerate(names)))
+    # An anti-join would be pushed below the distinct, and the files be read for it.
+    missing = found.join(known, same, "left").filter(F.col("`is known`").isNull())
+    new = missing.select(*(F.col(quoted(n)).cast("string") for n in names)).collect()
+    for at in range(0, len(new), _PER_STATEMENT):
+        specs = (
+            ", ".join(f"{quoted(n)} = {'null' if v is None else literal(v)}" for n, v in zip(names, row, strict=True))
+            for row in new[at : at + _PER_STATEMENT]
+        )
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {' '.join(f'PARTITION ({s})' for s in specs)}")
+    return len(new)
 
 
 def show_tables(spark: SparkSession, database: str) -> DataFrame:

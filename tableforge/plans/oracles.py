@@ -105,6 +105,8 @@ ORACLE_SQL: dict[str, str] = {
                               ('two  blanks'), ('end '), ('the end')) v(value)""",
     "fetch_lines": """
         SELECT unnest(string_split(text, chr(10))) AS value FROM documents WHERE text IS NOT NULL""",
+    "url_source": """
+        SELECT unnest(string_split(text, chr(10))) AS value FROM documents WHERE text IS NOT NULL""",
     "demo_rows": """
         SELECT o_orderkey AS id, 'name_' || o_orderkey AS name, o_orderkey * 1.5::DOUBLE AS score
         FROM orders""",
@@ -122,6 +124,8 @@ ORACLE_SQL: dict[str, str] = {
     "ctas_parquet": "SELECT * FROM lineitem",
     "create_strict": "SELECT * FROM customer",
     "register_external": "SELECT event_id, ts, user_id, value, props, event_type FROM events",
+    "new_partitions": """
+        SELECT event_id, ts, user_id, value, props, event_type, CAST(1 AS INT) AS added FROM events""",
     "catalog_tables": _counts(),
     "show_tables": _counts(),
     "catalog_subset": f"""

@@ -26,6 +26,7 @@ from tableforge.sources.catalogs import ScaleCatalog
 from tableforge.sources.generated import datagen_columns, demo_columns
 from tableforge.sources.generated import datagen_stream as datagen_rows
 from tableforge.sources.lines import fetch_lines, lines_from_values, read_lines, spread
+from tableforge.sources.urls import read_urls
 from tableforge.streaming.inserts import stream_insert
 from tableforge.streaming.keyed import KeyedTable, stream_upsert
 from tableforge.workspace import fresh_folder
@@ -107,6 +108,13 @@ def fetched_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetch_lines(spark.createDataFrame([(f,) for f in files], "url string"))
 
 
+def url_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_folder(spark, "url-source")
+    texts = _table(spark, sf_dir, "documents").select("text").filter("text IS NOT NULL")
+    texts.write.option("maxRecordsPerFile", 1000).text(folder)
+    return read_urls(spark, spark.read.text(folder).inputFiles())
+
+
 def demo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demo_columns(_table(spark, sf_dir, "orders"), "o_orderkey")
 
@@ -176,6 +184,20 @@ def register_external(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(target)
 
 
+def new_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Registered with the events of all types but the first; those come later, as a folder of their own.
+    events = _table(spark, sf_dir, "events")
+    first = events.agg(F.min("event_type").alias("t")).first()["t"]
+    folder = fresh_folder(spark, "new-partitions")
+    late = F.col("event_type").eqNullSafe(F.lit(first))
+    events.filter(~late).write.partitionBy("event_type").parquet(folder)
+    target = f"{_database(spark, 'new_partitions')}.events"
+    tb.register_external(spark, target, folder, events.schema, partitioned_by=["event_type"])
+    events.filter(late).write.mode("append").partitionBy("event_type").parquet(folder)
+    added = tb.add_new_partitions(spark, target)
+    return spark.table(target).withColumn("added", F.lit(added))
+
+
 def _row_counts(named: Iterable[tuple[str, DataFrame]]) -> DataFrame:
     counts = [
         df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), "rows")
@@ -378,6 +400,7 @@ QUERIES: dict[str, Query] = {
     "text_lines": text_lines,
     "lines_from_values": memory_and_stored_lines,
     "fetch_lines": fetched_lines,
+    "url_source": url_source,
     "demo_rows": demo_rows,
     "datagen_batch": datagen_batch,
     "datagen_stream": datagen_stream,
@@ -388,6 +411,7 @@ QUERIES: dict[str, Query] = {
     "ctas_parquet": ctas_parquet,
     "create_strict": create_strict,
     "register_external": register_external,
+    "new_partitions": new_partitions,
     "catalog_tables": catalog_tables,
     "show_tables": show_tables,
     "catalog_subset": catalog_subset,
