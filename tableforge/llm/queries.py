@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tableforge.llm.align import alignment_query
 from tableforge.llm.language import language_query
 from tableforge.llm.lines import LINE_SQL, line_digest
-from tableforge.llm.lm import lm_query
+from tableforge.llm.lm import LM_SQL, lm_query
 from tableforge.llm.mixing import MIX_SQL, mix_digest
 from tableforge.llm.near import NEAR_SQL, near_query
 from tableforge.llm.phrases import PHRASE_SQL, decontamination_query
@@ -44,6 +44,7 @@ QUERIES: dict[str, Query] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": MIX_SQL,
+    "op3_lm_scores": LM_SQL,
     "op5_line_dedup": LINE_SQL,
     "op6_near_dedup": NEAR_SQL,
     "op7_top_k": TOP_SQL,

@@ -14,6 +14,7 @@ from tableforge.llm import language as lang
 from tableforge.llm import lm
 from tableforge.llm import pieces as pc
 from tableforge.llm.queries import QUERIES
+from tableforge.llm.texts import stored
 
 SMALL, TENTH = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -204,11 +205,13 @@ def _brute_scores(rows, order, least):
         yield i, len(w), sum(round(score(w, j, min(order, j + 1)) * lm.UNIT) for j in range(len(w))) / lm.UNIT
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_scores_against_brute_force(spark, order):
+@pytest.mark.parametrize(
+    ("order", "block_bytes", "fan"), [(1, 9000, 256), (2, 9000, 3), (3, 1 << 20, 256), (3, 4000, 2), (4, 9000, 4)]
+)
+def test_scores_against_brute_force(spark, order, block_bytes, fan):
     rows = awkward()
     df = table(spark, rows).repartition(3)
-    got = lm.backoff_scores(df, order=order, block_bytes=9000, bucket_bytes=7000).collect()
+    got = lm.backoff_scores(df, order=order, block_bytes=block_bytes, fan=fan).collect()
     rank = lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])
     got = sorted(((r.doc_id, r.n_words, r.log_score) for r in got), key=rank)
     want = sorted(_brute_scores(rows, order, 2), key=rank)
@@ -216,6 +219,42 @@ def test_scores_against_brute_force(spark, order):
     assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-3)
 
 
+def test_levels_have_room_for_every_block():
+    for places in (1, 2, 3, 255, 256, 257, 65536, 65537, 10**7):
+        levels, fan = lm._levels(places, 256)
+        assert fan <= 256 and fan**levels >= places
+        assert levels == 1 or 256 ** (levels - 1) < places
+
+
+@pytest.mark.parametrize("part", [0, 3])
+def test_parts_cut_hashes_once(part):
+    fan, step = 5, 2**64 // 20
+    hashes = np.unique(np.random.default_rng(2).integers(part * fan * step, (part + 1) * fan * step, 400, np.uint64))
+    cut = lm._cut(hashes, part, fan, step)
+    assert [x for _, x, _ in cut] == [0, *[y for _, _, y in cut[:-1]]] and cut[-1][2] == len(hashes)
+    assert all(int(h) // step == p for p, x, y in cut for h in hashes[x:y])
+
+
+def test_rows_grow_with_the_corpus_and_not_its_square(spark, monkeypatch):
+    """Twice the text gives about twice the rows at every level."""
+    rng = random.Random(4)
+    made = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(40)), "en", "a") for i in range(160)]
+    tables = []
+
+    def kept(df, label, by=()):
+        tables.append(stored(df, label, by))
+        return tables[-1]
+
+    monkeypatch.setattr(lm, "stored", kept)
+    rows = []
+    for n in (80, 160):
+        tables.clear()
+        lm.backoff_scores(table(spark, made[:n]), block_bytes=1000, fan=4).count()
+        assert len(tables) > 2
+        rows.append(max(t.count() for t in tables))
+    assert rows[1] <= 2.5 * rows[0]
+
+
 def test_scores_of_nothing(spark):
     assert lm.lm_query(table(spark, [])).collect() == []
     assert bag(lm.lm_query(table(spark, [(1, None, "en", "a")])), "n_words", "log_score", "mean_log_score") == [(0, 0.0, None)]
