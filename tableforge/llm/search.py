@@ -103,7 +103,7 @@ def top_k(
     """The ``k`` highest integer inner products for each vector whose id ``every`` divides.
 
     Components count as floor(scale * x). Every vector but those with the query's id is a
-    candidate. The candidates are dealt into shards by a hash of the row, the queries into
+    candidate. The candidates are dealt into shards by a hash of the row, of equal rows the first ``k``, the queries into
     blocks; each task gets one shard and one block, and MaxScore finds the shard's best
     for each query. The best of the shards are merged by query, k rows per shard each.
 
@@ -122,10 +122,13 @@ def top_k(
     ).first()
     shards = max(1, -(-sizes["n"] // shard_rows))
     blocks = max(1, -(-sizes["asked"] // block_queries))
-    # Rows of one id may be many: their place in the input splits them.
-    spot = F.xxhash64("id", F.monotonically_increasing_id())
-    left = rows.withColumn("shard", F.pmod(spot, F.lit(shards))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    # Rows of one id are split by their vectors, and of equal rows no more than k can be among the best. So
+    # a row's shard does not depend on where it was read, and a row that is run again goes to the same one.
+    kept = rows.groupBy("id", "v").agg(F.least(F.count("*"), F.lit(k)).alias("times"))
+    left = (
+        kept.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+        .select("id", "v", F.pmod(F.xxhash64("id", "v", "copy"), F.lit(shards)).alias("shard"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     )
     right = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn(
         "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))

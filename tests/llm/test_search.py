@@ -45,6 +45,17 @@ def test_top_k_against_brute_force(spark, sizes):
     assert sorted(tuple(r) for r in got.collect()) == _brute(rows, 50, 5)
 
 
+def test_many_equal_rows_count_each(spark):
+    rows = [(7, [1.0, 2.0])] * 90 + [(7, [1.0, 1.0])] * 3 + [(50, [1.0, 1.0])] * 2 + [(100, [0.5, 2.0]), (9, [1.0, 2.0])]
+    got = top_k(_frame(spark, rows).repartition(4), shard_rows=10)
+    assert sorted(tuple(r) for r in got.collect()) == _brute(rows, 50, 5)
+
+
+def test_shards_do_not_depend_on_places_in_the_input(spark):
+    plan = top_k(_frame(spark, [(50, [1.0]), (3, [2.0])]))._jdf.queryExecution().toString()
+    assert "monotonically_increasing_id" not in plan
+
+
 def test_few_and_no_vectors(spark):
     assert top_k(_frame(spark, [])).collect() == []
     assert top_k(_frame(spark, [(50, [1.0])])).collect() == []
