@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableforge.llm.texts import sequence_hashes, stored, word_hashes, words_of
+from tableforge.llm.texts import bucketed, sequence_hashes, stored, word_hashes, words_of
 
 ORDER = 3
 MIN_COUNT = 2
@@ -21,15 +21,31 @@ UNIT = 1 << 20
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Whole numbers, byte by byte in planes, so that the bytes that hardly change cost little."""
+    """Whole numbers, byte by byte in planes, so that the bytes that hardly change cost little.
+
+    A plane is a frame of its own: bytes that look random would spoil the code of their neighbours.
+    """
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    compressor = zstandard.ZstdCompressor(level=1)
+    frames = [compressor.compress(np.ascontiguousarray(plane).tobytes()) for plane in planes]
+    return np.array([len(f) for f in frames], "<u4").tobytes() + b"".join(frames)
 
 
 def _unpack(data: bytes, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
+    ends = np.cumsum(np.frombuffer(data, "<u4", size)) + 4 * size
+    expander = zstandard.ZstdDecompressor()
+    planes = [expander.decompress(data[x:y]) for x, y in zip([4 * size, *ends[:-1]], ends, strict=True)]
+    return np.ascontiguousarray(np.frombuffer(b"".join(planes), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _pack_sorted(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as their distances."""
+    return _pack(np.diff(hashes, prepend=np.uint64(0)))
+
+
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, np.uint64), dtype=np.uint64)
 
 
 def _grams(texts: list[str | None], order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -83,13 +99,13 @@ def _rows(rows: list[tuple], names: list[str]) -> pa.Table:
 
 
 def _asked_rows(source: int, part: int, hashes: np.ndarray, counts: np.ndarray, fan: int, step: int) -> pa.Table:
-    rows = [(source, to, _pack(hashes[x:y]), _pack(counts[x:y])) for to, x, y in _cut(hashes, part, fan, step)]
+    rows = [(source, to, _pack_sorted(hashes[x:y]), _pack(counts[x:y])) for to, x, y in _cut(hashes, part, fan, step)]
     return _rows(rows, ["source", "part", "hashes", "counts"])
 
 
 def _merged(asked: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """The count table of some rows: distinct hashes in order, their totals, and where each row's are in it."""
-    hashes = [_unpack(h, np.uint64) for h in asked["hashes"].to_pylist()]
+    hashes = [_unpack_sorted(h) for h in asked["hashes"].to_pylist()]
     counts = np.concatenate([_unpack(c, np.int64) for c in asked["counts"].to_pylist()])
     distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
     totals = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
@@ -234,20 +250,24 @@ def backoff_scores(
         F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.size(words_of(F.col("text")))).alias("words")
     ).first()
     blocks = max(1, -(-(size["bytes"] or 0) // block_bytes))
+    spark = docs.sparkSession
+    buckets = min(blocks, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     placed = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
+    # Texts are shuffled once: both passes over a block read it where it is.
+    name, placed = bucketed(placed, "lm-texts", buckets, "block")
     answers = _count(placed, order, *_levels(blocks, max(2, fan)))
-    return (
+    scores = stored(
         placed.groupBy("block")
         .cogroup(answers.groupBy("source"))
-        .applyInArrow(
-            _scorer(order, min_count, backoff, size["words"] or 0), "id long, n_words long, total long"
-        )
-        .select(
-            F.col("id").alias(doc_id),
-            "n_words",
-            (F.col("total") / UNIT).alias("log_score"),
-            F.when(F.col("n_words") > 0, F.col("total") / UNIT / F.col("n_words")).alias("mean_log_score"),
-        )
+        .applyInArrow(_scorer(order, min_count, backoff, size["words"] or 0), "id long, n_words long, total long"),
+        "lm-scores",
+    )
+    spark.sql(f"DROP TABLE {name}")
+    return scores.select(
+        F.col("id").alias(doc_id),
+        "n_words",
+        (F.col("total") / UNIT).alias("log_score"),
+        F.when(F.col("n_words") > 0, F.col("total") / UNIT / F.col("n_words")).alias("mean_log_score"),
     )
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from uuid import uuid4
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,26 +28,50 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` written to the shared folder and read again.
-
-    This cuts the lineage with a table that survives lost executors. Shuffle files of the
-    write are removed when it ends, so that steps one after another don't add up on disk.
-    """
-    spark = df.sparkSession
-    folder = fresh_folder(spark, label)
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write are removed when it ends, so that steps one after another don't add up on disk."""
     before = spark.conf.get(_CLEAN_UP, None)
     spark.conf.set(_CLEAN_UP, "true")
     try:
-        df.write.partitionBy(*by).parquet(folder)
+        yield
     finally:
         if before is None:
             spark.conf.unset(_CLEAN_UP)
         else:
             spark.conf.set(_CLEAN_UP, before)
+
+
+def stored(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` written to the shared folder and read again.
+
+    This cuts the lineage with a table that survives lost executors.
+    """
+    spark = df.sparkSession
+    folder = fresh_folder(spark, label)
+    with _shuffles_removed(spark):
+        df.write.partitionBy(*by).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def bucketed(df: DataFrame, label: str, buckets: int, key: str) -> tuple[str, DataFrame]:
+    """``df`` written once as a table with a file per bucket of ``key``, by which it is grouped without a shuffle.
+
+    Returns the table's name besides; drop it when nothing reads it any more.
+    """
+    spark = df.sparkSession
+    name = f"{label.replace('-', '_')}_{uuid4().hex}"
+    with _shuffles_removed(spark):
+        (
+            df.repartition(buckets, key)
+            .write.bucketBy(buckets, key)
+            .option("path", fresh_folder(spark, label))
+            .option("compression", "zstd")
+            .saveAsTable(name)
+        )
+    return name, spark.table(name)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, everything else as it is."""
     plain = F.octet_length(text) == F.length(text)

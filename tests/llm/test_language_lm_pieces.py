@@ -226,6 +226,15 @@ def test_levels_have_room_for_every_block():
         assert levels == 1 or 256 ** (levels - 1) < places
 
 
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 5000):
+        hashes = np.unique(np.append(rng.integers(0, 2**64, size, np.uint64, endpoint=False), np.uint64(2**64 - 1)))
+        assert (lm._unpack_sorted(lm._pack_sorted(hashes)) == hashes).all()
+        counts = rng.integers(1, 2**40, size)
+        assert (lm._unpack(lm._pack(counts), np.int64) == counts).all()
+
+
 @pytest.mark.parametrize("part", [0, 3])
 def test_parts_cut_hashes_once(part):
     fan, step = 5, 2**64 // 20
