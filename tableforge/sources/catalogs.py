@@ -31,21 +31,25 @@ def files_state(spark: SparkSession, path: str) -> str:
 
 
 class ScaleCatalog:
-    """Parquet tables ``<root>/sf<scale>/<table>.parquet``."""
+    """Parquet tables ``<root>/sf<scale>/<table>.parquet``; ``prefix`` is what stands before a scale."""
 
     suffix = ".parquet"
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, prefix: str = "sf") -> None:
+        self.spark, self.root, self.prefix = spark, root.rstrip("/"), prefix
 
     @classmethod
     def at(cls, spark: SparkSession, folder: str) -> tuple[ScaleCatalog, str]:
-        """The catalog and the scale that a folder ``<root>/sf<scale>`` belongs to."""
+        """The catalog and the scale that a folder ``<root>/sf<scale>`` belongs to.
+
+        A folder of another name is a scale of that name.
+        """
         root, _, name = folder.rstrip("/").rpartition("/")
-        return cls(spark, root), name.removeprefix("sf")
+        prefix = "sf" if name.startswith("sf") else ""
+        return cls(spark, root, prefix), name.removeprefix(prefix)
 
     def folder(self, scale: str) -> str:
-        return f"{self.root}/sf{scale}"
+        return f"{self.root}/{self.prefix}{scale}"
 
     def tables(self, scale: str) -> list[str]:
         """Table names in order; one listing of the folder, not of the files in the tables."""
