@@ -16,6 +16,7 @@ COUNTS = sorted((name, len(rows)) for name, (rows, _) in ROWS.items())
 COPIED = [(name, rows, "OK") for name, rows in COUNTS]
 EXPECTED = {
     "catalog_subset": [("lineitem", 3, 0), ("orders", 2, 1)],
+    "catalog_tables": COUNTS,
 }
 
 
