@@ -17,6 +17,7 @@ COPIED = [(name, rows, "OK") for name, rows in COUNTS]
 EXPECTED = {
     "catalog_subset": [("lineitem", 3, 0), ("orders", 2, 1)],
     "catalog_tables": COUNTS,
+    "materialize_totals": [(4, 4, 8)],
     "show_tables": COUNTS,
 }
 
