@@ -269,8 +269,9 @@ def materialize_with_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def materialize_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The first run fails in one table; the second copies that one alone, which the journal shows.
     catalog, scale = ScaleCatalog.at(spark, sf_dir)
+    broken, _ = _BrokenSupplier.at(spark, sf_dir)
     database, journal = _database(spark, "resumed"), fresh_folder(spark, "journal")
-    jobs.materialize_catalog(spark, _BrokenSupplier(spark, catalog.root), scale, database, journal=journal)
+    jobs.materialize_catalog(spark, broken, scale, database, journal=journal)
     results = jobs.materialize_catalog(spark, catalog, scale, database, journal=journal)
     copies = Journal(spark, journal).entries().groupBy("target").agg(F.count("*").alias("copies"))
     target = F.concat(F.lit(f"{database}.`"), "table_name", F.lit("`"))
