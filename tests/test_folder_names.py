@@ -18,6 +18,7 @@ EXPECTED = {
     "catalog_subset": [("lineitem", 3, 0), ("orders", 2, 1)],
     "catalog_tables": COUNTS,
     "materialize_resumed": [(*copied, 1) for copied in COPIED],
+    "materialize_summary": COPIED,
     "materialize_totals": [(4, 4, 8)],
     "materialize_with_failure": [("lineitem", 3, "OK"), ("orders", 2, "OK"), ("supplier", -1, "FAIL")],
     "show_tables": COUNTS,
