@@ -22,6 +22,7 @@ EXPECTED = {
     "materialize_totals": [(4, 4, 8)],
     "materialize_with_failure": [("lineitem", 3, "OK"), ("orders", 2, "OK"), ("supplier", -1, "FAIL")],
     "show_tables": COUNTS,
+    "strict_csv_copy": [(1, "a b"), (2, "")],
 }
 
 
