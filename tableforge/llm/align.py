@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import pairwise
+from itertools import chain, pairwise
 from uuid import uuid4
 
 import numpy as np
@@ -30,6 +30,8 @@ _LINKS = 2_000_000
 _CHARS = 1_000_000
 # The fast byte-level encoder recurses over white space; longer runs of it go to the plain one.
 _LONG_BLANK = re.compile(r"\s{1000}")
+# Such a run holds four neighbours among every 250th character, which is looked for first.
+_MAYBE_LONG, _STEP = re.compile(r"\s{4}"), 250
 # A word's last character and what follows it are never in one token of the byte-level tokenizer,
 # and a blank after another character always starts a new piece of the other one.
 _CUT_A = re.compile(r"(?<=[A-Za-z0-9])(?=[\t\n\r -/:-@\[-`{-~])")
@@ -92,28 +94,55 @@ class Encoders:
         self.len_b = np.array([len(t) for t in self.bytes_b], np.int64)
         # Ids in decimal, each followed by "," (0), "|" (1), ";" (2).
         most = max(len(self.bytes_a), len(self.bytes_b))
-        self.decimal = [f"{i}{sep}".encode() for i in range(most) for sep in ",|;"]
+        self.decimal = _entries([f"{i}{sep}".encode() for i in range(most) for sep in ",|;"])
+        self.entries_a, self.entries_b = _entries(self.bytes_a), _entries(self.bytes_b)
 
     @staticmethod
     def _table(tokens: dict[int, bytes]) -> list[bytes]:
         return [tokens.get(i, b"") for i in range(1 + max(tokens))]
 
     def encode_a(self, text: str) -> np.ndarray:
-        if _LONG_BLANK.search(text):
+        if _MAYBE_LONG.search(text[::_STEP]) and _LONG_BLANK.search(text):
             return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.int64)
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+        return np.array(self.fast.encode_ordinary(text), np.int64)
 
     def encode_b(self, texts: list[str]) -> list[list[int]]:
         """Pieces of texts that begin with the blank which the model adds."""
         found = self.model.encode([t[1:] for t in texts], num_threads=1)
         return [ids if len(t) > 1 else self.blank[: len(t)] for t, ids in zip(texts, found, strict=True)]
 
-    def whole(self, a: np.ndarray, b: list[int], data_a: bytes, data_b: bytes) -> bool:
-        """Whether the tokens' bytes joined are the text."""
-        return (
-            b"".join(map(self.bytes_b.__getitem__, b)) == data_b
-            and b"".join(map(self.bytes_a.__getitem__, a.tolist())) == data_a
-        )
+    def whole(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, texts_a: list[bytes], texts_b: list[bytes]) -> np.ndarray:
+        """Whether the joined bytes of both kinds' tokens are the text: for texts with so many tokens each, one after another."""
+        same_a = [x == t for x, t in zip(_spelled(self.entries_a, a, n_a), texts_a, strict=True)]
+        same_b = [x == t for x, t in zip(_spelled(self.entries_b, b, n_b), texts_b, strict=True)]
+        return np.array(same_a, bool) & np.array(same_b, bool)
+
+
+def _entries(values: list[bytes]) -> pa.LargeBinaryArray:
+    return pa.array(values, pa.large_binary())
+
+
+def _spelled(entries: pa.LargeBinaryArray, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The entries of ids, joined for each of the runs that have so many ids."""
+    if not len(ids):
+        return [b""] * len(sizes)
+    _, ends, data = entries.take(pa.array(ids)).buffers()
+    ends = np.frombuffer(ends, np.int64, len(ids) + 1)
+    data = data.to_pybytes() if data else b""
+    return [data[i:j] for i, j in pairwise(ends[_edges(sizes)].tolist())]
+
+
+def _edges(sizes: np.ndarray) -> np.ndarray:
+    """Where runs of so many items begin, and where the last one ends."""
+    return np.append(0, np.cumsum(sizes)).astype(np.int64)
+
+
+def _flat(ids: list) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one after another, and how many each list or array has."""
+    sizes = np.array([len(x) for x in ids], np.int64)
+    if ids and isinstance(ids[0], np.ndarray):
+        return np.concatenate(ids), sizes
+    return np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum())), sizes
 
 
 @lru_cache(maxsize=2)
@@ -146,9 +175,21 @@ class Tokens:
     def __len__(self) -> int:
         return len(self.a) + len(self.b)
 
+    def shared(self) -> tuple[np.ndarray, np.ndarray]:
+        """For every token of either kind, whether one of the other kind ends where it does."""
+        if not len(self.a) or not len(self.b):
+            return np.zeros(len(self.a), bool), np.zeros(len(self.b), bool)
+        first, last = min(self.ends_a[0], self.ends_b[0]), max(self.ends_a[-1], self.ends_b[-1])
+        a, b, marks = self.ends_a - first, self.ends_b - first, np.zeros(last - first + 1, bool)
+        marks[a] = True
+        in_b = marks[b]
+        marks[a] = False
+        marks[b] = True
+        return marks[a], in_b
+
     def common(self) -> np.ndarray:
         """The bytes at which tokens of both kinds end."""
-        return np.intersect1d(self.ends_a, self.ends_b, assume_unique=True)
+        return self.ends_a[self.shared()[0]]
 
     def upto(self, end: int) -> tuple[Tokens, Tokens]:
         """The tokens that end at ``end`` or before, and the others."""
@@ -205,21 +246,22 @@ class Fragment:
 
 def _groups(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, int]:
     """The group of every token of either kind, and how many groups there are."""
-    common = tokens.common()
-    return np.searchsorted(common, tokens.ends_a), np.searchsorted(common, tokens.ends_b), len(common)
+    # A token's group is the number of common ends before its own.
+    a, b = tokens.shared()
+    return np.cumsum(a) - a, np.cumsum(b) - b, int(np.count_nonzero(a))
 
 
-def _written(tokens: Tokens, enc: Encoders) -> bytes:
-    """``a1,a2|b1;a3|b2,b3``: the ids of every group, in order."""
+def _written(tokens: Tokens, enc: Encoders, sizes: np.ndarray) -> list[bytes]:
+    """``a1,a2|b1;a3|b2,b3``: the ids of every group, in order, for each of the runs that have so many tokens of both kinds."""
     ga, gb, n = _groups(tokens)
     if not n:
-        return b""
+        return [b""] * len(sizes)
     start_b, end_a = np.searchsorted(gb, ga), np.searchsorted(ga, gb, "right")
     out = np.empty(len(ga) + len(gb), np.int64)
     last = lambda g: np.append(g[1:] != g[:-1], True)
     out[np.arange(len(ga)) + start_b] = tokens.a * 3 + last(ga)
     out[np.arange(len(gb)) + end_a] = tokens.b * 3 + 2 * last(gb)
-    return b"".join(map(enc.decimal.__getitem__, out.tolist()))[:-1]
+    return [data[:-1] for data in _spelled(enc.decimal, out, sizes)]
 
 
 def _links(tokens: Tokens, base: int, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -278,6 +320,11 @@ def _packed(ids) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
+def _cut_packed(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    data = _packed(ids)
+    return [data[4 * i : 4 * j] for i, j in pairwise(_edges(sizes).tolist())]
+
+
 def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4").astype(np.int64)
 
@@ -314,19 +361,27 @@ def _short(pair: Pair, block: int):
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, blocks = encoders(pair), _Blocks(block)
         for batch in _sliced(batches, 2):
-            rows, ids, texts = (c.to_pylist() for c in batch.columns)
-            texts = [" " + t if t else "" for t in texts]
-            out = []
-            for row, doc, text, b in zip(rows, ids, texts, enc.encode_b(texts), strict=True):
-                a, data = enc.encode_a(text), text.encode()
-                if not text or not enc.whole(a, b, data, data):
-                    out.append((blocks.of(0), row, doc, 0, 0, 0, 0, "", b"", b""))
-                    continue
-                tokens = _tokens(a, np.array(b, np.int64), enc)
-                sha = hashlib.sha256(_written(tokens, enc)).hexdigest()
-                groups = len(tokens.common())
-                out.append((blocks.of(len(tokens)), row, doc, 0, len(a), len(b), groups, sha, _packed(a), _packed(b)))
-            yield _batch(out, _RUN_SCHEMA)
+            texts = [" " + t if t else "" for t in batch.column(2).to_pylist()]
+            data = [t.encode() for t in texts]
+            (a, n_a), (b, n_b) = _flat([enc.encode_a(t) for t in texts]), _flat(enc.encode_b(texts))
+            sound = enc.whole(a, n_a, b, n_b, data, data) & (n_a > 0)
+            a, b = a[np.repeat(sound, n_a)], b[np.repeat(sound, n_b)]
+            n_a, n_b = n_a * sound, n_b * sound
+            # Both kinds of a sound text cover its bytes, so texts one after another stay aligned.
+            tokens = _tokens(a, b, enc)
+            common, ends = tokens.common(), np.cumsum([len(d) if ok else 0 for d, ok in zip(data, sound, strict=True)])
+            groups = np.diff(np.searchsorted(common, ends, "right"), prepend=0)
+            written = _written(tokens, enc, n_a + n_b)
+            shas = [hashlib.sha256(w).hexdigest() if ok else "" for w, ok in zip(written, sound, strict=True)]
+            numbers = [blocks.of(n) for n in (n_a + n_b).tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(numbers, pa.int64()), batch.column(0), batch.column(1), pa.array(np.zeros(len(texts), np.int64)),
+                    pa.array(n_a), pa.array(n_b), pa.array(groups.astype(np.int64)), pa.array(shas, pa.string()),
+                    pa.array(_cut_packed(a, n_a), pa.binary()), pa.array(_cut_packed(b, n_b), pa.binary()),
+                ],
+                schema=_RUN_SCHEMA,
+            )
 
     return short
 
@@ -408,9 +463,8 @@ def _chunked(pair: Pair):
         for batch in _sliced(batches, 4):
             out = []
             for r in batch.to_pylist():
-                a, b = enc.encode_a(r["text_a"]), enc.encode_b([r["text_b"]])[0]
-                whole = enc.whole(a, b, r["text_a"].encode(), r["text_b"].encode())
-                b = np.array(b, np.int64)
+                (a, n_a), (b, n_b) = _flat([enc.encode_a(r["text_a"])]), _flat(enc.encode_b([r["text_b"]]))
+                whole = bool(enc.whole(a, n_a, b, n_b, [r["text_a"].encode()], [r["text_b"].encode()])[0])
                 tokens = Tokens(
                     a, r["at_a"] + np.cumsum(enc.len_a[a]), b, r["at_b"] + np.cumsum(enc.len_b[b])
                 )
@@ -464,7 +518,8 @@ def _long_hashes(pair: Pair):
         for batch in batches:
             out = []
             for key, a, b in zip(*(batch.column(c) for c in ("row", "a", "b")), strict=True):
-                written = _written(_tokens(_unpacked(a.as_py()), _unpacked(b.as_py()), enc), enc)
+                tokens = _tokens(_unpacked(a.as_py()), _unpacked(b.as_py()), enc)
+                written = _written(tokens, enc, np.array([len(tokens)]))[0]
                 if key.as_py() == row:
                     digest.update(b";" + written)
                     continue
@@ -503,7 +558,7 @@ def _pairs(pair: Pair):
             seen = [_different(part, key) for part, key, _ in _links(tokens, base, run)]
             if not seen:
                 continue
-            part, key = _different(*(np.concatenate(c) for c in zip(*seen, strict=True)))
+            part, key = _different(*(np.concatenate(c) for c in zip(*seen, strict=True))) if len(seen) > 1 else seen[0]
             single = lone[part]
             for b in np.unique(block):
                 here = single & (block[part] == b)
@@ -524,10 +579,12 @@ def _pairs(pair: Pair):
 
 
 def _different(part: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((key, part))
-    p, k = part[order], key[order]
-    fresh = np.append(True, (p[1:] != p[:-1]) | (k[1:] != k[:-1])) if len(p) else np.empty(0, bool)
-    return p[fresh], k[fresh]
+    if not len(key):
+        return part, key
+    # As one number each: a batch has few runs, and a key has two ids.
+    span = int(key.max()) + 1
+    both = np.sort(part * span + key)
+    return np.divmod(both[np.append(True, both[1:] != both[:-1])], span)
 
 
 _SCORE = (

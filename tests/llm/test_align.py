@@ -7,8 +7,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tableforge.llm import align as al
 from tableforge.llm.align import Fragment, Tokens, align, default_pair, encoders
 from tests.llm.helpers import awkward, bag, table
 
@@ -143,3 +145,32 @@ def test_fast_encoder_gives_the_ids_of_the_vocabulary_file():
     samples += [" " * 3000 + "x", "\n" * 1500, "<|endoftext|>"]
     for text in samples:
         assert enc.encode_a(text).tolist() == enc.plain.encode(text, add_special_tokens=False).ids
+
+
+class _Task:
+    @staticmethod
+    def get():
+        return _Task()
+
+    def partitionId(self):
+        return 0
+
+
+def test_texts_of_a_slice_are_aligned_together(monkeypatch):
+    monkeypatch.setattr(al, "TaskContext", _Task)
+    calls, written = [], al._written
+    monkeypatch.setattr(al, "_written", lambda *args: calls.append(1) or written(*args))
+    texts = ["one two", None, "", "a▁b", " ", "x" + " " * 1500 + "y", "日本語", "<|endoftext|>", "end "]
+    short = al._short(al.default_pair(), 1000)
+
+    def run(part):
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(range(len(part)), pa.int64()), pa.nulls(len(part), pa.int64()), pa.array(part, pa.string())],
+            ["row", "id", "text"],
+        )
+        return [{k: v for k, v in r.items() if k not in ("block", "row")} for b in short(iter([batch])) for r in b.to_pylist()]
+
+    together = run(texts)
+    assert len(calls) == 1
+    assert together == [run([text])[0] for text in texts]
+    assert [r["n_a"] > 0 for r in together] == [True, False, False, False, True, True, True, True, True]
